@@ -36,16 +36,16 @@ def slice_bounds(df: DataFrame, order: str, slices: int) -> list[float]:
     return sorted({float(v) for v in found or []})
 
 
-def with_slice(df: DataFrame, order: str, slices: int | None = None, out: str = "_slice") -> DataFrame:
-    """Add the slice number of ``order``; equal values always share a slice."""
-    slices = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bounds = slice_bounds(df.select(order), order, slices)
+def with_slice(df: DataFrame, order: str, bounds: Sequence[float]) -> DataFrame:
+    """Add ``_slice``, the number of the slice ``order`` falls in (-1 for NULL);
+    equal values always share a slice."""
     if not bounds:
-        return df.withColumn(out, F.lit(0))
+        return df.withColumn("_slice", F.lit(0))
     cut = Bucketizer(splits=[float("-inf"), *bounds, float("inf")], inputCol="_slice_at", outputCol="_slice_cut")
     # Bucketizer takes doubles; order values up to 2^53 stay exact.
     sliced = cut.transform(df.withColumn("_slice_at", F.col(order).cast("double")))
-    return sliced.withColumn(out, F.col("_slice_cut").cast("int")).drop("_slice_at", "_slice_cut")
+    number = F.coalesce(F.col("_slice_cut").cast("int"), F.lit(-1))
+    return sliced.withColumn("_slice", number).drop("_slice_at", "_slice_cut")
 
 
 def running_sum(
@@ -56,27 +56,33 @@ def running_sum(
     out: str,
     ties: Sequence[str] = (),
     slices: int | None = None,
+    movements: DataFrame | None = None,
 ) -> DataFrame:
     """Running sum of ``value`` per key along the numeric column ``order``.
 
     With ``ties`` each row gets its own sum (rows of equal order are taken in the
     order of ``ties``); without, rows of equal order all get the sum after them.
-    Rows whose order is NULL come first.
+    Rows whose order is NULL come first.  The slice bounds and totals take a pass
+    over the keys, ``order`` and ``value`` each; pass ``movements`` (rows with
+    the same sums) if they can be had from cheaper input than ``df`` itself, and
+    store ``df`` first if it is costly to compute.
     """
-    sliced = with_slice(df, order, slices)
-    sliced = sliced.withColumn("_slice", F.coalesce("_slice", F.lit(-1)))
+    movements = df if movements is None else movements
+    slices = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = slice_bounds(movements, order, slices)
+    sliced = with_slice(df, order, bounds)
     group = [*keys, "_slice"]
     within = Window.partitionBy(*group).orderBy(order, *ties)
     frame = within.rowsBetween if ties else within.rangeBetween
     local = F.sum(value).over(frame(Window.unboundedPreceding, Window.currentRow))
 
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    totals = sliced.groupBy(*group).agg(F.sum(value).alias("_total"))
+    totals = with_slice(movements, order, bounds).groupBy(*group).agg(F.sum(value).alias("_total"))
     offsets = totals.select(*group, F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset"))
 
-    summed = sliced.withColumn(out, local).alias("s").join(
-        offsets.alias("o"), [F.col(f"s.`{k}`").eqNullSafe(F.col(f"o.`{k}`")) for k in group], "left"
-    )
+    same_group = [F.col(f"s.`{k}`").eqNullSafe(F.col(f"o.`{k}`")) for k in keys]
+    same_group.append(F.col("s._slice") == F.col("o._slice"))
+    summed = sliced.withColumn(out, local).alias("s").join(offsets.alias("o"), same_group, "left")
     kept = [F.col(f"s.`{c}`") for c in df.columns if c != out]
     return summed.select(*kept, (F.col(f"s.`{out}`") + F.col("o._offset")).alias(out))
 
@@ -101,17 +107,26 @@ def window_counts(
     shuffle; each such count then enters the sum at its instant and leaves it
     right after the window has passed, so one running sum gives the answer.
     """
-    counted = df.groupBy(*keys, ts).agg(F.count("*").alias("_n")).where(F.col(ts).isNotNull())
     at = micros(ts)
-    # Entries at t count for t itself, leavers due at t go after it: 2t and 2t+1.
-    moves = F.array(
-        F.struct((2 * at).alias("step"), F.col("_n").alias("change"), F.lit(True).alias("enters")),
-        F.struct(
-            (2 * (at + seconds * MICROS) + 1).alias("step"), (-F.col("_n")).alias("change"), F.lit(False).alias("enters")
-        ),
+
+    def moves(rows: DataFrame, n: Column) -> DataFrame:
+        # What enters at t counts for t itself, what leaves at t goes after it:
+        # steps 2t and 2t+1.
+        enter = F.struct((2 * at).alias("step"), n.alias("change"), F.lit(True).alias("enters"))
+        leave = F.struct((2 * (at + seconds * MICROS) + 1).alias("step"), (-n).alias("change"), F.lit(False).alias("enters"))
+        return rows.select(*keys, ts, F.inline(F.array(enter, leave)))
+
+    timed = df.where(F.col(ts).isNotNull())
+    counted = timed.groupBy(*keys, ts).agg(F.count("*").alias("_n"))
+    summed = running_sum(
+        moves(counted, F.col("_n")),
+        keys,
+        "step",
+        "change",
+        "requests",
+        slices=slices,
+        movements=moves(timed, F.lit(1).cast("bigint")),
     )
-    swept = counted.select(*keys, ts, F.inline(moves))
-    summed = running_sum(swept, keys, "step", "change", "requests", slices=slices)
     return summed.where("enters").select(*keys, ts, "requests")
 
 

@@ -42,7 +42,9 @@ def object_catalog(
     """Every file below ``root``: ``key, path, length, modified``.
 
     The listing runs on Spark's parallel file index and reads no file content.
-    Names that start with ``.`` or ``_`` are hidden, as in every Spark scan.
+    Names that start with ``.`` or ``_`` and files of zero bytes are hidden, as in
+    every Spark scan; for a store too big to list, pass an inventory table with
+    the same columns to the operators instead.
     """
     files = (
         spark.read.format("binaryFile")

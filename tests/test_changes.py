@@ -1,0 +1,152 @@
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from quayline.operators import changes as c
+from quayline.operators import rules as r
+from quayline.operators.tables import read_table, write_routed
+from quayline.sources.changes import pipeline_checkpoint, range_predicates, snapshot_changes
+from quayline.streaming.changes import merge_changes, read_current, rebuild_current
+
+ROW = "struct<id: bigint, `Order Date`: string, sales: double>"
+SCHEMA = f"op string, lsn bigint, schema string, table string, id bigint, before {ROW}, after {ROW}"
+
+
+def image(i, n=0):
+    return (i, "31/12/2020", float(n))
+
+
+def change(op, lsn, i, n=0, table="superstore_sales_data"):
+    before = None if op == "I" else image(i, n - 1)
+    after = None if op == "D" else image(i, n)
+    return (op, lsn, "public", table, i, before, after)
+
+
+def random_log(size=300, seed=3):
+    rng = random.Random(seed)
+    return [change(rng.choice("IUUUD"), lsn, 0 if rng.random() < 0.4 else rng.randrange(20), lsn) for lsn in range(size)]
+
+
+def state(log):
+    last = {}
+    for op, lsn, _, table, i, *_ in sorted(log, key=lambda row: row[1]):
+        last[(table, i)] = (op, lsn)
+    return {k: lsn for k, (op, lsn) in last.items() if op != "D"}
+
+
+def found(df):
+    return {(x.table, x.id): x.lsn for x in df.collect()}
+
+
+def test_current_state(spark):
+    log = random_log()
+    df = spark.createDataFrame(log, SCHEMA)
+    assert found(c.cdc_current(df, ["schema", "table", "id"])) == state(log)
+
+
+def test_publication(spark):
+    df = spark.createDataFrame([change("I", 1, 1), change("I", 2, 2, table="other")], SCHEMA)
+    published = spark.createDataFrame([("public", "other"), ("public", "other"), ("x", "superstore_sales_data")], "schema string, table string")
+    assert [x.lsn for x in c.publication_filter(df, published).collect()] == [2]
+
+
+def test_bootstrap_misses_and_doubles_nothing(spark):
+    log = random_log()
+    df = spark.createDataFrame(log, SCHEMA)
+    keys = ["schema", "table", "id"]
+    for position in (-1, 0, 150, 299):
+        copied = c.cdc_current(df.where(F.col("lsn") <= position), keys)
+        rows = copied.select("after.*")
+        snapshot = snapshot_changes(rows, "public", "superstore_sales_data", ["id"], position).drop("op", "lsn")
+        current = c.cdc_current(c.bootstrap_and_tail(snapshot, df, position), keys)
+        assert {k for k, in current.select("id").collect()} == {k for _, k in state(log)}
+
+
+def test_changed_columns(spark):
+    rows = [
+        ("U", 1, "s", "t", 1, (1, "a", 1.0), (1, "b", 2.0)),
+        ("U", 2, "s", "t", 1, (1, None, 1.0), (1, None, 1.0)),
+        ("I", 3, "s", "t", 1, None, (1, "a", 1.0)),
+        ("D", 4, "s", "t", 1, (1, "a", 1.0), None),
+    ]
+    got = {x.lsn: x.changed_columns for x in c.change_columns(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {1: ["Order Date", "sales"], 2: [], 3: [], 4: []}
+
+
+def test_values_arrive_as_text(spark, tmp_path):
+    log = [change("I", i, i, 7) for i in range(5)] + [change("D", 9, 1, 4)]
+    write_routed(c.change_rows(spark.createDataFrame(log, SCHEMA)), str(tmp_path), "first")
+    rows = read_table(spark, str(tmp_path), "public_superstore__sales__data")
+    assert rows.count() == 6
+    docs = {x[0] for x in rows.select(F.to_json("doc")).collect()}
+    assert '{"Order Date":"31/12/2020","id":"1","sales":"3.0"}' in docs
+
+
+@pytest.mark.parametrize("size", [1, 37, 300])
+def test_merge_in_any_batches_and_again(spark, tmp_path, size):
+    log = random_log(60 if size == 1 else 300)
+    df = spark.createDataFrame(log, SCHEMA)
+    batches = [df.where(f"lsn >= {start} and lsn < {start + size}") for start in range(0, len(log), size)][:12]
+    done = log[: size * len(batches)]
+    root = str(tmp_path / "current")
+    for batch in batches:
+        merge_changes(batch, root, ["id"], 4)
+    merge_changes(batches[0], root, ["id"], 4)  # late and repeated
+    assert found(read_current(spark, root, df.schema)) == state(done)
+    rebuilt = str(tmp_path / "rebuilt")
+    rebuild_current(df.where(F.col("lsn") < len(done)), rebuilt, ["id"], 4)
+    assert found(read_current(spark, rebuilt, df.schema)) == state(done)
+
+
+def test_merge_of_nothing(spark, tmp_path):
+    df = spark.createDataFrame([], SCHEMA)
+    merge_changes(df, str(tmp_path / "current"), ["id"], 4)
+    assert read_current(spark, str(tmp_path / "current"), df.schema).count() == 0
+
+
+def test_ranges_cover_every_key(spark):
+    df = spark.createDataFrame([(k,) for k in [None, -5, 0, 1, 2, 3, 10, 10, 99]], "k int")
+    for bounds in ([], [0], [0, 3, 10], [3, 3, 1]):
+        parts = [df.where(p).count() for p in range_predicates("k", bounds)]
+        assert sum(parts) == df.count()
+
+
+def test_pipeline_ids():
+    assert pipeline_checkpoint("/c/", 12) == "/c/pipeline=12"
+    for bad in ("0", "01", "-1", "x", "", "1.5"):
+        with pytest.raises(ValueError):
+            pipeline_checkpoint("/c", bad)
+
+
+# ---- rules
+
+
+def logs(spark):
+    rows = [
+        (1, 0, "10.0.0.1", "Mozilla", "FR"), (2, 10, "10.0.0.1", "SQLMAP/1.0", "FR"), (3, 20, "10.0.0.1", "Mozilla", "IR"),
+        (4, 30, "10.0.0.1", "nmap", "KP"), (5, 40, "10.0.0.2", None, None), (6, 400, "10.0.0.1", "x-DirBuster", "SY"),
+    ]
+    df = spark.createDataFrame(rows, "i int, second int, client_ip string, user_agent string, country string")
+    return df.withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("second")))
+
+
+def test_first_matching_rule_wins(spark):
+    judged = r.evaluate_rules(logs(spark), r.sample_rules(limit=3))
+    got = {x.i: (x.action, x.rule) for x in judged.collect()}
+    assert got == {
+        1: ("allow", None),
+        2: ("block", "block-suspicious-ua"),
+        3: ("block", "geo-block"),
+        4: ("block", "rate-limit-per-ip"),
+        5: ("allow", None),
+        6: ("block", "geo-block"),
+    }
+    hits = {(x.rule, x.action): x.hits for x in r.rule_summary(judged).collect()}
+    assert hits[("geo-block", "block")] == 2 and hits[(None, "allow")] == 2
+
+
+def test_no_rules_allow_everything(spark):
+    assert {(x.action, x.rule) for x in r.evaluate_rules(logs(spark), []).collect()} == {("allow", None)}
+    with pytest.raises(ValueError):
+        r.evaluate_rules(logs(spark), [r.Rule("x", 1, "magic", "country")])
