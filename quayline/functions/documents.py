@@ -9,11 +9,23 @@ from pyspark.sql import types as T
 from quayline.functions.text import col
 
 
+STRICT_JSON = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+
+
+def parsed_document(c: Column | str) -> Column:
+    """One JSON text -> VARIANT, NULL if the text is not exactly one document.
+
+    Parsed as the only element of an array: plain parsing would stop at the end
+    of the first document and silently ignore a second one behind it.
+    """
+    items = F.from_json(F.concat(F.lit("["), col(c), F.lit("]")), "array<variant>", STRICT_JSON)
+    return F.get(F.transform(F.array(items), lambda x: F.when(F.size(x) == 1, F.get(x, F.lit(0)))), F.lit(0))
+
+
 def document(c: Column | str) -> Column:
     """One JSON text -> VARIANT.  Text that is no JSON is kept as a string value,
     so no row is lost."""
-    text = col(c)
-    return F.coalesce(F.try_parse_json(text), text.cast("variant"))
+    return F.coalesce(parsed_document(c), col(c).cast("variant"))
 
 
 def field_path(name: str) -> str:

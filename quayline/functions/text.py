@@ -76,12 +76,30 @@ def outside_prefixes(c: Column | str, prefixes: Iterable[str]) -> Column:
 def base64_bytes(c: Column | str) -> Column:
     """Strict base64: padding required, only CR and LF ignored, else NULL.
 
-    Spark's own decoder also takes missing padding and inner blanks, so the
-    alphabet and the length are checked first.
+    Spark's own decoder also takes missing padding and skips inner blanks; both
+    show in the number of bytes it returns.
     """
-    packed = F.regexp_replace(col(c), "[\r\n]", "")
-    valid = F.rlike(packed, F.lit("^[A-Za-z0-9+/]*={0,2}$")) & (F.length(packed) % 4 == 0)
-    return F.when(valid, F.try_to_binary(packed, F.lit("base64")))
+    packed = F.translate(col(c), "\r\n", "")
+    decoded = F.try_to_binary(packed, F.lit("base64"))
+    return F.when(_strict_base64(packed, decoded), decoded)
+
+
+def _strict_base64(packed: Column, decoded: Column) -> Column:
+    length = F.length(packed)
+    padding = length - F.length(F.rtrim(packed, F.lit("=")))
+    return (length % 4 == 0) & (padding <= 2) & (F.octet_length(decoded) == length * 3 / 4 - padding)
+
+
+def base64_texts(data: Column) -> Column:
+    """Texts of an array of base64 values; NULL for a value that is not strict.
+
+    Each step binds its result to a lambda variable, so nothing is decoded twice.
+    """
+    packed = F.transform(data, lambda x: F.translate(x, "\r\n", ""))
+    pairs = F.transform(
+        packed, lambda x: F.struct(x.alias("packed"), F.try_to_binary(x, F.lit("base64")).alias("decoded"))
+    )
+    return F.transform(pairs, lambda p: F.when(_strict_base64(p["packed"], p["decoded"]), bytes_text(p["decoded"])))
 
 
 def bytes_text(c: Column | str) -> Column:

@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from quayline.functions import constants as K
 from quayline.functions.names import is_delivery_path
-from quayline.functions.text import base64_bytes, bytes_text, trim_space
+from quayline.functions.rows import computed_once
+from quayline.functions.text import trim_space
 
 
-def undecodable(records: str = "records") -> Column:
-    """True if the data of any record is not strict base64."""
-    return F.exists(records, lambda r: base64_bytes(F.coalesce(r["data"], F.lit(""))).isNull())
+def undecodable(payloads: str = "payloads") -> Column:
+    """True if any record of a request was not strict base64."""
+    return F.exists(payloads, lambda p: p.isNull())
 
 
 def classify_deliveries(df: DataFrame, expected_key: str | None = None) -> DataFrame:
@@ -40,32 +41,30 @@ def classify_deliveries(df: DataFrame, expected_key: str | None = None) -> DataF
     error = F.when(F.col("body").isNull() & (F.col("status") == 400), K.UNREADABLE_BODY)
     for code, message in K.DELIVERY_ERRORS.items():
         error = error.when(F.col("status") == code, message)
-    return df.withColumn("status", status).withColumn("error", error)
+    judged = computed_once(df, {"status": status})
+    return judged.withColumn("error", error)
 
 
-def record_lines(data: Column) -> Column:
-    """The non-blank lines, trimmed, of one base64 record."""
-    whole = trim_space(bytes_text(base64_bytes(F.coalesce(data, F.lit("")))))
-    lines = F.transform(F.split(whole, "\n", -1), lambda line: trim_space(line))
+def payload_lines(payload: Column) -> Column:
+    """The non-blank lines, trimmed, of one record."""
+    lines = F.transform(F.split(trim_space(payload), "\n", -1), lambda line: trim_space(line))
     return F.filter(lines, lambda line: line != "")
 
 
 def explode_records(df: DataFrame, keep: Sequence[str] = ("request_id",)) -> DataFrame:
     """One row per non-blank line: ``rec_pos`` and ``line_pos`` give the order."""
-    records = df.select(*keep, F.posexplode("records").alias("rec_pos", "_record"))
-    return records.select(
-        *keep, "rec_pos", F.posexplode(record_lines(F.col("_record")["data"])).alias("line_pos", "line")
-    )
+    records = df.select(*keep, F.posexplode("payloads").alias("rec_pos", "_payload"))
+    return records.select(*keep, "rec_pos", F.posexplode(payload_lines(F.col("_payload"))).alias("line_pos", "line"))
 
 
 def delivery_stats(df: DataFrame, keep: Sequence[str] = ("request_id",)) -> DataFrame:
     """Records in each request and rows they hold, without unnesting anything."""
     rows = F.aggregate(
-        F.transform("records", lambda r: F.size(record_lines(r["data"]))), F.lit(0), lambda a, x: a + x
+        F.transform("payloads", lambda p: F.coalesce(F.size(payload_lines(p)), F.lit(0))), F.lit(0), lambda a, x: a + x
     )
     return df.select(
         *keep,
-        F.size("records").cast("bigint").alias("records_in_batch"),
+        F.size("payloads").cast("bigint").alias("records_in_batch"),
         rows.cast("bigint").alias("ingested"),
     )
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quayline.operators import deliveries as d
 from quayline.operators.running import assign_batches, running_total
 from quayline.operators.tables import dump_tables, table_counts, write_routed
-from quayline.plans.inputs import requests, table
+from quayline.plans.inputs import requests, staged_parquet, table
 from quayline.session import run_folder
 from quayline.sources.events import delivery_requests, route
 from quayline.streaming.deliveries import classified_requests, delivered_rows
@@ -19,7 +19,7 @@ def parsed(spark, sf_dir):
 
 def delivery_parse(spark, sf_dir):
     rows = parsed(spark, sf_dir)
-    return rows.select("event_id", "request_id", "sent_at", "valid_json", F.size("records").cast("bigint").alias("records"))
+    return rows.select("event_id", "request_id", "sent_at", "valid_json", F.size("payloads").cast("bigint").alias("records"))
 
 
 def delivery_classify(spark, sf_dir):
@@ -70,6 +70,8 @@ def delivery_unseen(spark, sf_dir):
 def running_totals(spark, sf_dir):
     rows = parsed(spark, sf_dir).where("valid_json").where(~d.undecodable())
     stats = d.delivery_stats(rows, keep=("event_type", "event_id", "sent_at"))
+    # The running total takes three passes, so the parsed numbers are stored first.
+    stats = spark.read.schema(stats.schema).parquet(staged_parquet(spark, stats, "stats"))
     totals = running_total(stats, table="event_type", arrival="sent_at", tie="event_id")
     return totals.select("event_type", "event_id", "ingested", "total")
 

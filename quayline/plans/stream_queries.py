@@ -27,7 +27,7 @@ def stream_ingest(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select(*EVENT_FIELDS).withColumn("kind", F.col("event_type"))
     folder = staged_json(spark, rows.repartition(4, "event_id"), "stream", ("kind",), compression="gzip")
     root = run_folder(spark, "lake")
-    files = stream_objects(spark, folder, "json", pattern="^kind=(click|view)/", max_bytes=65536)
+    files = stream_objects(spark, folder, "json", pattern="^kind=(click|view)/", max_bytes=262144)
     drain(ingest_stream(files, root, "events", run_folder(spark, "checkpoint")))
     return read_table(spark, root, "events", EVENT_TYPES)
 

@@ -12,11 +12,13 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # A document that names a key twice keeps the last value, as JSON readers do.
+    "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Apply the run-time settings every operator here expects."""
+    """Apply the run-time settings the operators here expect; call it once."""
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
     return spark

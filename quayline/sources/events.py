@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quayline.functions.constants import CDN_DEFAULT_FIELDS
+from quayline.functions.documents import STRICT_JSON
 from quayline.functions.names import endpoint_part
-from quayline.functions.text import url_decode_plus
+from quayline.functions.rows import computed_once
+from quayline.functions.text import base64_texts, url_decode_plus
 from quayline.operators.projections import canonical_order
 
 EVENT_SCHEMA = (
@@ -17,7 +19,6 @@ EVENT_SCHEMA = (
     "detail struct<bucket: struct<name: string>, object: struct<key: string>>"
 )
 REQUEST_SCHEMA = "requestId string, timestamp bigint, records array<struct<data: string>>"
-STRICT_JSON = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 
 
 def object_events(df: DataFrame, json_col: str = "body") -> DataFrame:
@@ -50,10 +51,11 @@ def object_events(df: DataFrame, json_col: str = "body") -> DataFrame:
 
 
 def delivery_requests(df: DataFrame, body_col: str = "body", header_id_col: str | None = None) -> DataFrame:
-    """Parse delivery requests; adds ``request_id, sent_at, records, valid_json``.
+    """Parse delivery requests; adds ``valid_json, request_id, sent_at, payloads``.
 
     An empty or absent id falls back to the id of the request header, and then
-    to the empty string; an invalid body has no id.  ``records`` is never NULL.  A body with anything after
+    to the empty string; an invalid body has no id.  ``payloads`` holds
+    the decoded text of each record, NULL for a record that is not base64.  A body with anything after
     its document is invalid; the literal ``null`` is an empty request.
     """
     # The body is parsed as the value of a one-field object: text after the end
@@ -67,20 +69,18 @@ def delivery_requests(df: DataFrame, body_col: str = "body", header_id_col: str
     header = F.col(header_id_col) if header_id_col else F.lit(None).cast("string")
     request = F.col("_parsed.r")
     valid = F.col("_parsed").isNotNull() & F.col("_parsed._malformed").isNull()
-    return (
-        df.withColumn("_parsed", parsed)
-        .withColumns(
-            {
-                "valid_json": valid,
-                "request_id": F.when(
-                    valid, F.coalesce(F.nullif(request.requestId, F.lit("")), header, F.lit(""))
-                ).otherwise(""),
-                "sent_at": F.when(valid, request.timestamp),
-                "records": F.coalesce(F.when(valid, request.records), F.array().cast("array<struct<data: string>>")),
-            }
-        )
-        .drop("_parsed")
-    )
+    data = F.transform(F.when(valid, request.records), lambda r: F.coalesce(r["data"], F.lit("")))
+    return computed_once(
+        df.withColumn("_parsed", parsed),
+        {
+            "valid_json": valid,
+            "request_id": F.when(
+                valid, F.coalesce(F.nullif(request.requestId, F.lit("")), header, F.lit(""))
+            ).otherwise(""),
+            "sent_at": F.when(valid, request.timestamp),
+            "payloads": F.coalesce(base64_texts(data), F.array().cast("array<string>")),
+        },
+    ).drop("_parsed")
 
 
 def _struct_fields(ddl: str) -> str:

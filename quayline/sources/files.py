@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quayline.functions.constants import FORMAT_EXTENSIONS
-from quayline.functions.documents import document, typed_columns
+from quayline.functions.documents import STRICT_JSON, document, parsed_document, typed_columns
 from quayline.functions.text import ends_with_any, trim_space
 from quayline.operators.filters import filter_objects
 from quayline.sources.objects import file_key
@@ -53,31 +53,37 @@ def json_whole(df: DataFrame) -> DataFrame:
     """``key, body`` (one row per file) -> ``key, doc``.
 
     If every non-blank line of a body is a document by itself the file is JSON
-    Lines; otherwise the body is one document.  An array yields its elements.
+    Lines; otherwise the body is one array or one document.  An array yields its
+    elements.
     """
     body = _strip("body")
     lines = F.filter(F.split(body, "\n", -1), lambda x: trim_space(x) != "")
-    parsed = F.transform(lines, lambda x: F.try_parse_json(x))
-    is_lines = F.forall(parsed, lambda x: x.isNotNull())
-    docs = F.when(is_lines, parsed).otherwise(F.array(document(body)))
-    return _elements(df.select("key", F.explode(docs).alias("doc")))
+    # The first line of an array or of an indented document rarely parses; the
+    # other lines are tried only if it does.
+    first_parses = (F.size(lines) == 0) | parsed_document(F.get(lines, F.lit(0))).isNotNull()
+    parsed = F.when(first_parses, F.transform(lines, parsed_document))
+    is_lines = F.coalesce(F.forall(parsed, lambda x: x.isNotNull()), F.lit(False))
+    of_lines = F.flatten(F.transform(parsed, _elements))
+    # Text after the end of an array makes the wrapped text malformed.
+    wrapped = F.from_json(F.concat(F.lit('{"items":'), body, F.lit("}")), "items array<variant>", STRICT_JSON)
+    of_body = F.coalesce(wrapped["items"], F.array(document(body)))
+    return df.select("key", F.explode(F.when(is_lines, of_lines).otherwise(of_body)).alias("doc"))
 
 
 def _strip(c: str):
     return F.btrim(F.col(c), F.lit(BYTE_ORDER_MARK + " \t\r\n"))
 
 
-def _elements(df: DataFrame) -> DataFrame:
-    """Replace every array document by its elements."""
-    items = F.coalesce(F.try_variant_get("doc", "$", "array<variant>"), F.array("doc"))
-    return df.select("key", F.explode(items).alias("doc"))
+def _elements(doc):
+    """The elements of an array document; any other document by itself."""
+    return F.coalesce(F.try_variant_get(doc, "$", "array<variant>"), F.array(doc))
 
 
 def _line_or_error():
     """A line of a file too big to be held whole.  Text that shows the file to be
     an array or an indented document stops the query instead of being misread."""
     line = _strip("value")
-    not_lines = F.try_parse_json(line).isNull() & F.rlike(line, F.lit(r"^\[|^[{}\]],?$|,$"))
+    not_lines = parsed_document(line).isNull() & F.rlike(line, F.lit(r"^\[|^[{}\]],?$|,$"))
     message = F.concat(F.lit("not JSON Lines, pass layout='whole': "), F.col("key"))
     return F.when(not_lines, F.raise_error(message).cast("string")).otherwise(line)
 

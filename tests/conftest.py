@@ -9,6 +9,8 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
+from quayline.session import tune  # noqa: E402
+
 
 def session() -> SparkSession:
     spark = (
@@ -22,7 +24,7 @@ def session() -> SparkSession:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    return spark
+    return tune(spark)
 
 
 @pytest.fixture(scope="session")

@@ -79,9 +79,9 @@ def test_answers_in_order(spark):
 def test_json_bodies(spark, text, valid):
     row = parsed(spark, [{"body": text, "header": "h"}]).first()
     assert row.valid_json is valid
-    assert row.records is not None
+    assert row.payloads is not None
     if not valid:
-        assert row.request_id == "" and row.records == []
+        assert row.request_id == "" and row.payloads == []
 
 
 def test_request_ids(spark):

@@ -123,6 +123,22 @@ def test_json_whole_takes_lines_of_arrays(spark):
     assert sorted(r[0] for r in json_whole(df).select(F.to_json("doc")).collect()) == ["1", "2", "3"]
 
 
+def test_odd_documents(spark):
+    bodies = {
+        "[[1,2],\n[3]]": ["[1,2]", "[3]"],
+        '[{"a":1,"a":2},\n5]': ['{"a":2}', "5"],
+        '[{"a":1},\n{"a":2}] tail': ['"[{\\"a\\":1},\\n{\\"a\\":2}] tail"'],
+        "null": ["null"],
+        '{"a":1,\n"a":3}': ['{"a":3}'],
+        "no\njson": ['"no\\njson"'],
+    }
+    df = spark.createDataFrame([(b, b) for b in bodies], "key string, body string")
+    got = {}
+    for r in json_whole(df).select("key", F.to_json("doc").alias("doc")).collect():
+        got.setdefault(r.key, []).append(r.doc)
+    assert got == bodies
+
+
 def test_csv_files_with_unlike_headers(spark, tmp_path):
     (tmp_path / "a.csv").write_text('x,y\n1,"q ""2"" z"\n')
     (tmp_path / "b.csv").write_text("y,z\n3,4\n")
