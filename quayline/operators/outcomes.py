@@ -48,12 +48,14 @@ def file_results(rows: DataFrame, bad: Column, catalog: DataFrame | None = None,
     return counted.withColumn("ok", F.col("bad_rows") == 0)
 
 
-def batch_summary(results: DataFrame, ok: str = "ok") -> DataFrame:
-    """``matched, ok, errors`` of a run and whether it ``failed``."""
+def batch_summary(results: DataFrame, ok: str = "ok", sums: Sequence[str] = ()) -> DataFrame:
+    """``matched, ok, errors`` of a run, whether it ``failed``, and the sums of
+    further columns of the results."""
     return results.agg(
         F.count("*").alias("matched"),
         F.count_if(F.col(ok)).alias("ok"),
         F.count_if(~F.col(ok)).alias("errors"),
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums],
     ).withColumn("failed", F.col("errors") > 0)
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 MICROS = 1_000_000
 QUANTILE_ACCURACY = 10_000
+MOST_SLICES = 4096
 
 
 def micros(ts: str) -> Column:
@@ -32,7 +33,8 @@ def slice_bounds(df: DataFrame, order: str, slices: int) -> list[float]:
     shares = [i / slices for i in range(1, slices)]
     if not shares:
         return []
-    found = df.agg(F.percentile_approx(order, shares, QUANTILE_ACCURACY).alias("q")).first()["q"]
+    accuracy = max(QUANTILE_ACCURACY, 4 * slices)
+    found = df.agg(F.percentile_approx(order, shares, accuracy).alias("q")).first()["q"]
     return sorted({float(v) for v in found or []})
 
 
@@ -68,7 +70,7 @@ def running_sum(
     store ``df`` first if it is costly to compute.
     """
     movements = df if movements is None else movements
-    slices = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slices = slices or min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), MOST_SLICES)
     bounds = slice_bounds(movements, order, slices)
     sliced = with_slice(df, order, bounds)
     group = [*keys, "_slice"]

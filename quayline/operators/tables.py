@@ -10,6 +10,7 @@ repeated batch harmless.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -78,10 +79,14 @@ def row_document(columns: Sequence[str]) -> Column:
 # ---- reading
 
 
-def read_tables(spark: SparkSession, root: str) -> DataFrame:
-    """All rows of all tables; a root nobody wrote to yet has no rows."""
+def read_tables(spark: SparkSession, root: str, folder: str = "") -> DataFrame:
+    """All rows of all tables; a root nobody wrote to yet has no rows.
+
+    ``folder`` is a pattern of partition folders below the root: only those are
+    listed.
+    """
     try:
-        return spark.read.schema(TABLE_SCHEMA).parquet(root)
+        return spark.read.schema(TABLE_SCHEMA).option("basePath", root).parquet(root + folder)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -97,14 +102,27 @@ def read_table(
 ) -> DataFrame:
     """Rows of one table: documents, or typed columns read out of them.
 
-    The table test prunes directories, and only the named fields are read.
+    Only the folders of the table are listed, and only the named fields are read.
     """
-    rows = read_tables(spark, root).where(F.col("table") == table)
+    # A name with other characters is escaped in its folder; then all folders are
+    # listed and the test on the partition column prunes them.
+    plain = re.fullmatch(r"[A-Za-z0-9_.-]+", table)
+    rows = read_tables(spark, root, f"/org=*/project=*/table={table}" if plain else "")
+    rows = rows.where(F.col("table") == table)
     if namespace is not None:
         rows = rows.where((F.col("org") == namespace[0]) & (F.col("project") == namespace[1]))
     return rows if schema is None else rows.select(*typed_columns("doc", schema))
 
 
+def create_table_view(
+    spark: SparkSession, root: str, table: str, schema: T.StructType | str | None = None, name: str | None = None
+) -> None:
+    """Make a table known to Spark SQL under its own or another name, so that
+    ``SELECT count(*) AS cnt FROM <table>`` can be asked (not ``count()``, which
+    is no Spark SQL)."""
+    read_table(spark, root, table, schema).createOrReplaceTempView(name or table)
+
+
 def document_schema(df: DataFrame, doc: str = "doc") -> DataFrame:
     """The merged schema of all documents as one DDL-like text (``schema``)."""
     return df.agg(F.schema_of_variant_agg(doc).alias("schema"))

@@ -99,9 +99,8 @@ def backfill_summary(spark, sf_dir):
     one_each = rows.select("o_orderkey", "o_custkey", "state").repartitionByRange("state")
     root = staged_csv(spark, one_each, "summary", ("state",))
     results = backfill(spark, root, run_folder(spark, "lake"), "orders", "csv", "first")
-    summary = batch_summary(results)
-    total = results.agg(F.sum("rows").alias("rows"))
-    return summary.select((F.col("matched") == F.col("ok")).alias("all_ok"), "errors", "failed").join(total)
+    summary = batch_summary(results, sums=["rows"])
+    return summary.select((F.col("matched") == F.col("ok")).alias("all_ok"), "errors", "failed", "rows")
 
 
 QUERIES = {

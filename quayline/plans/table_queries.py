@@ -23,6 +23,19 @@ def count_table(spark, sf_dir):
     return known.union(tables.count_table(spark, root, "nothing").select(F.lit("nothing"), "cnt"))
 
 
+def sql_count(spark, sf_dir):
+    """The count query of each table, asked in Spark SQL over the documents."""
+    root = run_folder(spark, "lake")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    tables.append_table(orders, root, "orders_log", "first")
+    tables.create_table_view(spark, root, "orders_log")
+    tables.create_table_view(spark, root, "orders_log", "o_custkey bigint, o_orderpriority string", "orders_typed")
+    return spark.sql(
+        """SELECT 'all' AS part, (SELECT count(*) AS cnt FROM orders_log) AS cnt
+           UNION ALL SELECT o_orderpriority, count(*) FROM orders_typed WHERE o_custkey > 100 GROUP BY o_orderpriority"""
+    )
+
+
 def table_growth(spark, sf_dir):
     """Two loads of orders, one table per status: counts before and after."""
     orders = table(spark, sf_dir, "orders")
@@ -122,6 +135,7 @@ def route_as_of(spark, sf_dir):
 
 QUERIES = {
     "count_table": count_table,
+    "sql_count": sql_count,
     "table_growth": table_growth,
     "backup_split": backup_split,
     "backup_replay": backup_replay,
@@ -135,6 +149,9 @@ QUERIES = {
 ORACLES = {
     "count_table": """
         SELECT 'lines' AS name, count(*) AS cnt FROM lineitem UNION ALL SELECT 'nothing', 0""",
+    "sql_count": """
+        SELECT 'all' AS part, count(*) AS cnt FROM orders
+        UNION ALL SELECT o_orderpriority, count(*) FROM orders WHERE o_custkey > 100 GROUP BY o_orderpriority""",
     "table_growth": """
         WITH r AS (
           SELECT 'status_' || o_orderstatus AS "table",

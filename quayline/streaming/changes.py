@@ -67,7 +67,7 @@ def rebuild_current(changes: DataFrame, root: str, keys: Sequence[str], buckets:
 def cdc_stream(
     changes: DataFrame,
     log_root: str,
-    current_root: str,
+    current_root: str | None,
     keys: Sequence[str],
     checkpoint: str,
     buckets: int = 64,
@@ -77,14 +77,19 @@ def cdc_stream(
     """Append a change stream to the log tables and keep the current rows.
 
     Choose ``buckets`` so that one holds a few hundred MB of current rows; the
-    number belongs to the table and must not change afterwards.
+    number belongs to the table and must not change afterwards.  A batch with
+    more keys than there are buckets rewrites nearly all of them, so give a big
+    table a long trigger: the cost per change falls with the size of the batch.
+    Without a ``current_root`` only the log is written; current rows can be taken
+    from a log at any time.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         batch.persist()
         try:
             write_routed(change_rows(batch), log_root, f"{name}-{number}")
-            merge_changes(batch, current_root, keys, buckets)
+            if current_root is not None:
+                merge_changes(batch, current_root, keys, buckets)
         finally:
             batch.unpersist()
 

@@ -22,5 +22,13 @@ def test_query_equals_sql(spark, con, name):
 
 def test_entry(spark):
     rows = e.entry(spark).collect()
-    assert {r.event_type for r in rows} == {"click", "view", "signup", "purchase", "error"}
-    assert sum(r.rows for r in rows) == rows[0].cnt == 1000
+    counts = {r.event_type: r.rows for r in rows}
+    assert set(counts) == {"click", "view", "signup", "purchase", "error", "all"}
+    assert sum(counts.values()) == 2 * counts["all"] == 2000
+
+
+@pytest.mark.parametrize("name", sorted(e.queries()))
+def test_plans_have_no_cross_join_and_no_python(spark, name):
+    plan = e.queries()[name](spark, f"/root/testdata/{SF}")._jdf.queryExecution().executedPlan().toString()
+    for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "PythonUDF", "EvalPython", "InPandas", "InArrow"):
+        assert bad not in plan

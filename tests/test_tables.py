@@ -45,6 +45,31 @@ def test_count_reads_no_columns_and_prunes_tables(spark, tmp_path):
     assert "ReadSchema: struct<doc:struct<0:bigint" in one_field
 
 
+def test_names_that_need_escapes(spark, tmp_path):
+    root = str(tmp_path / "lake")
+    names = ["plain", "with space", "a=b", "50%", "ü", "x*", "{y}", "007", "a.b-c_d"]
+    for name in names:
+        tables.append_table(spark.range(3), root, name, "l1")
+    for name in names:
+        assert tables.count_table(spark, root, name).first()["cnt"] == 3, name
+    assert {r.table for r in tables.table_counts(spark, root).collect()} == set(names)
+
+
+def test_only_folders_of_the_table_are_listed(spark, tmp_path):
+    root = str(tmp_path / "lake")
+    for name in ("t", "u"):
+        tables.append_table(spark.range(3), root, name, "l1")
+    (tmp_path / "lake/org=default/project=default/table=u/load_id=l1/broken.parquet").write_bytes(b"x")
+    assert tables.read_table(spark, root, "t", "id bigint").count() == 3
+    assert all("table=t" in f for f in tables.read_table(spark, root, "t").inputFiles())
+
+
+def test_views(spark, tmp_path):
+    tables.append_table(spark.range(3), str(tmp_path), "t_view", "l1")
+    tables.create_table_view(spark, str(tmp_path), "t_view")
+    assert spark.sql("SELECT count(*) AS cnt FROM t_view").first()["cnt"] == 3
+
+
 def test_retarget_leaves_old_rows(spark, tmp_path):
     root = str(tmp_path / "lake")
     tables.append_table(spark.range(5), root, "old", "l1")
