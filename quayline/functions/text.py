@@ -30,7 +30,10 @@ def url_decode_path(c: Column | str) -> Column:
 
 
 def url_encode_query(c: Column | str) -> Column:
-    return F.url_encode(col(c))
+    """Encode a query value: blanks as ``+``, all but letters, digits and ``_.-~``
+    as ``%XX``.  (Java keeps ``*`` and encodes ``~``.)"""
+    encoded = F.replace(F.url_encode(col(c)), F.lit("*"), F.lit("%2A"))
+    return F.replace(encoded, F.lit("%7E"), F.lit("~"))
 
 
 def ends_with_any(c: Column | str, suffixes: Iterable[str]) -> Column:

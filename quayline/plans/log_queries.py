@@ -137,6 +137,13 @@ def trimmed_lines(spark, sf_dir):
     )
 
 
+def url_encoded(spark, sf_dir):
+    """Whole texts as query values, and back."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", text.url_encode_query("text").alias("encoded"))
+    back = text.url_decode_plus("encoded") == F.col("text")
+    return docs.select("doc_id", "encoded", back.alias("same"))
+
+
 def rank_order(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", F.lit(1).alias("one"))
     ranked = orders.withColumn("rank", p.rank_of("o_orderpriority", PRIORITIES).cast("bigint"))
@@ -172,6 +179,7 @@ QUERIES = {
     "quoted_pages": quoted_pages,
     "value_rules": value_rules,
     "trimmed_lines": trimmed_lines,
+    "url_encoded": url_encoded,
     "rank_order": rank_order,
     "sorted_entries": sorted_entries,
 }
@@ -254,6 +262,7 @@ ORACLES = {
           SELECT doc_id, trim(unnest(string_split(text, chr(10))), {_SPACE}) AS line FROM documents)
         SELECT doc_id, count(*) AS lines, CAST(sum(length(line)) AS BIGINT) AS chars, min(line) AS least
         FROM lines WHERE line <> '' GROUP BY doc_id""",
+    "url_encoded": "SELECT doc_id, replace(url_encode(text), '%20', '+') AS encoded, true AS same FROM documents",
     "rank_order": """
         WITH ranked AS (
           SELECT o_orderkey, o_orderpriority,

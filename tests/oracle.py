@@ -42,8 +42,7 @@ def counted(columns, rows):
     return [columns[i] for i in order], Counter(tuple(plain(row[i]) for i in order) for row in rows)
 
 
-def mismatch(spark, con, query, sql: str, sf: str) -> str | None:
-    df = query(spark, str(DATA / sf))
+def mismatch(con, df, sql: str) -> str | None:
     got_names, got = counted(df.columns, [tuple(r) for r in df.collect()])
     cursor = con.execute(sql)
     names = [d[0] for d in cursor.description]
@@ -71,7 +70,8 @@ def main(sf: str, chosen: list[str]) -> int:
             continue
         start = time.time()
         try:
-            problem = mismatch(spark, con, query, oracles[name], sf) if name in oracles else "no oracle"
+            df = query(spark, str(DATA / sf))
+            problem = mismatch(con, df, oracles[name]) if name in oracles else "no oracle"
         except Exception as error:  # noqa: BLE001
             problem = f"{type(error).__name__}: {str(error)[:600]}"
         bad += problem is not None

@@ -25,6 +25,12 @@ def test_url_decode(spark):
     assert values(spark, ["a+b%20c"], text.url_decode_path) == ["a+b c"]
 
 
+def test_url_encode(spark):
+    cases = {"a b+c": "a+b%2Bc", "*~_.-": "%2A~_.-", "é/?&=": "%C3%A9%2F%3F%26%3D", "": ""}
+    assert values(spark, cases, text.url_encode_query) == list(cases.values())
+    assert values(spark, cases, lambda c: text.url_decode_plus(text.url_encode_query(c))) == list(cases)
+
+
 def test_base64_is_strict(spark):
     cases = {
         "YQ==": b"a", "YWI=": b"ab", "YQ==\n": b"a", "YW\r\nI=": b"ab", "": b"", "YR==": b"a",
