@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quayline.functions import constants as K
+from quayline.operators.writes import write_partitioned
 
 MICROS_FORMAT = {
     "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
@@ -37,15 +38,9 @@ def write_backup(df: DataFrame, root: str, ts: str, load_id: str) -> None:
     """
     when = F.col(ts)
     hours = {name: F.coalesce(F.date_format(when, fmt), F.lit("unknown")) for name, fmt in HOUR_PARTS.items()}
-    (
-        df.withColumns({**hours, "load_id": F.lit(load_id)})
-        .hint("rebalance", *[F.col(p) for p in HOUR_PARTS])
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .options(compression="gzip", **MICROS_FORMAT)
-        .partitionBy(*HOUR_PARTS, "load_id")
-        .json(root)
-    )
+    rows = df.withColumns({**hours, "load_id": F.lit(load_id)})
+    parts = list(HOUR_PARTS)
+    write_partitioned(rows, root, "json", parts, [*parts, "load_id"], compression="gzip", **MICROS_FORMAT)
 
 
 def _hour() -> Column:

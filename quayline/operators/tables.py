@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quayline.functions.documents import typed_columns
+from quayline.operators.writes import write_partitioned
 
 PARTITIONS = ("org", "project", "table", "load_id")
 TABLE_SCHEMA = "doc variant, origin string, org string, project string, table string, load_id string"
@@ -32,18 +33,11 @@ DEFAULT_NAMESPACE = ("default", "default")
 def write_routed(df: DataFrame, root: str, load_id: str) -> None:
     """Append rows with ``doc, origin, org, project, table`` to their tables.
 
-    Tables come into being with their first row.  Spark rebalances the rows by
-    table first: small tables get one file, and a table that holds most rows is
-    split over many tasks.
+    Tables come into being with their first row.  Rows are rebalanced by table:
+    small tables get one file, one that holds most rows is split over many tasks.
     """
     rows = df.select("doc", "origin", "org", "project", "table", F.lit(load_id).alias("load_id"))
-    (
-        rows.hint("rebalance", *[F.col(c) for c in PARTITIONS[:3]])
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*PARTITIONS)
-        .parquet(root)
-    )
+    write_partitioned(rows, root, "parquet", PARTITIONS[:3], PARTITIONS)
 
 
 def append_table(

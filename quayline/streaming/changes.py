@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from quayline.operators.changes import change_rows, latest
 from quayline.operators.tables import write_routed
+from quayline.operators.writes import write_partitioned
 from quayline.streaming.ingest import AVAILABLE_NOW
 
 IDENTITY = ("schema", "table")
@@ -49,19 +50,13 @@ def merge_changes(batch: DataFrame, root: str, keys: Sequence[str], buckets: int
         return
     current = read_current(spark, root, batch.schema, deleted=True).where(F.col("bucket").isin(touched))
     merged = latest(current.unionByName(incoming), identity)
-    (
-        merged.hint("rebalance", F.col("bucket"))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("bucket")
-        .parquet(root)
-    )
+    write_partitioned(merged, root, "parquet", ["bucket"])
 
 
 def rebuild_current(changes: DataFrame, root: str, keys: Sequence[str], buckets: int) -> None:
     """Write the current table anew from a complete change log."""
     rows = latest(changes, [*IDENTITY, *keys]).withColumn("bucket", _bucket(keys, buckets))
-    rows.hint("rebalance", F.col("bucket")).write.mode("overwrite").partitionBy("bucket").parquet(root)
+    write_partitioned(rows, root, "parquet", ["bucket"], replace_all=True)
 
 
 def cdc_stream(

@@ -95,6 +95,19 @@ def test_delivery_stream(spark, tmp_path):
     assert failed[0].arrived == datetime(2024, 1, 1, 10, 0, 0, 123456)
 
 
+def test_a_batch_writes_one_file_per_hour_and_table(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for i in range(4):  # many tasks, each with rows of both hours
+        rows = [envelope(method="GET", body=str(n), arrived=f"2024-01-01T0{n % 2}:00:00Z") for n in range(20)]
+        rows += [envelope(body=body(f"{i}-{n}", '{"a":1}')) for n in range(20)]
+        (tmp_path / "in" / f"{i}.json").write_text("\n".join(rows))
+    stream = spark.readStream.schema(ENVELOPE_SCHEMA).json(str(tmp_path / "in"))
+    drain(delivery_stream(stream, str(tmp_path / "lake"), str(tmp_path / "backup"), str(tmp_path / "c")))
+    assert len(list((tmp_path / "backup").rglob("part-*"))) == 2
+    assert len(list((tmp_path / "lake").rglob("part-*"))) == 1
+    assert spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled") == "true"
+
+
 def test_all_data_backup(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "1.json").write_text(envelope(body=body("r1", "a")) + "\n" + envelope(method="GET", body="x") + "\n")
