@@ -14,6 +14,12 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Remembered request ids may outgrow memory: keep them on disk and checkpoint
+    # only what changed.
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     # A document that names a key twice keeps the last value, as JSON readers do.
     "spark.sql.variant.allowDuplicateKeys": "true",
 }

@@ -35,19 +35,14 @@ def object_events(df: DataFrame, json_col: str = "body") -> DataFrame:
             value = value[name]
         return F.coalesce(value, F.lit(""))
 
-    return (
-        df.withColumn("_event", event)
-        .withColumns(
-            {
-                "source": part("source"),
-                "detail_type": part("detail-type"),
-                "bucket": part("detail/bucket/name"),
-                "raw_key": part("detail/object/key"),
-                "key": url_decode_plus(part("detail/object/key")),
-            }
-        )
-        .drop("_event")
-    )
+    parts = {
+        "source": part("source"),
+        "detail_type": part("detail-type"),
+        "bucket": part("detail/bucket/name"),
+        "raw_key": part("detail/object/key"),
+        "key": url_decode_plus(part("detail/object/key")),
+    }
+    return computed_once(df.withColumn("_event", event), parts).drop("_event")
 
 
 def delivery_requests(df: DataFrame, body_col: str = "body", header_id_col: str | None = None) -> DataFrame:

@@ -8,18 +8,19 @@ typed columns.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quayline.functions.constants import FORMAT_EXTENSIONS
 from quayline.functions.documents import STRICT_JSON, document, parsed_document, typed_columns
-from quayline.functions.text import ends_with_any, trim_space
-from quayline.operators.filters import filter_objects
-from quayline.sources.objects import file_key
+from quayline.functions.rows import computed_once
+from quayline.functions.text import trim_space
+from quayline.sources.objects import file_key, load_keys
 
-LINE_SUFFIXES = (".jsonl", ".jsonl.gz", ".ndjson", ".ndjson.gz")
+LINES_NAME = r"(?i)[.](jsonl|ndjson)([.]gz)?$"
 WHOLE_FILE_LIMIT = 128 * 1024 * 1024
 LAYOUTS = ("auto", "lines", "whole")
 BYTE_ORDER_MARK = "\ufeff"
@@ -33,8 +34,10 @@ def format_glob(fmt: str) -> str:
     return "*{" + ",".join(any_case(s) for s in FORMAT_EXTENSIONS[fmt]) + "}"
 
 
-def _reader(spark: SparkSession):
-    return spark.read.option("recursiveFileLookup", True)
+def _reader(spark: SparkSession, fmt: str | None):
+    read = spark.read.option("recursiveFileLookup", True)
+    # The format is tested on file names while listing, not row by row.
+    return read.option("pathGlobFilter", format_glob(fmt)) if fmt in FORMAT_EXTENSIONS else read
 
 
 def _typed(rows: DataFrame, schema: T.StructType | str | None, keep_key: bool) -> DataFrame:
@@ -44,9 +47,19 @@ def _typed(rows: DataFrame, schema: T.StructType | str | None, keep_key: bool) -
     return rows.select(*key, *typed_columns("doc", schema))
 
 
-def json_lines(df: DataFrame) -> DataFrame:
-    """``key, line`` -> ``key, doc``; blank lines are dropped."""
-    return df.where(trim_space("line") != "").select("key", document(_strip("line")).alias("doc"))
+def named_as_lines():
+    """Test on the name of the file a row comes from: JSON Lines by its suffix."""
+    return F.rlike(F.col("_metadata.file_name"), F.lit(LINES_NAME))
+
+
+def json_lines(df: DataFrame, or_else: Column | None = None) -> DataFrame:
+    """``key, line`` -> ``key, doc``; blank lines are dropped.
+
+    A line that is no document becomes ``or_else``, by default its text.
+    """
+    line = _strip("line")
+    doc = document(line) if or_else is None else F.coalesce(parsed_document(line), or_else)
+    return df.where(trim_space("line") != "").select("key", doc.alias("doc"))
 
 
 def json_whole(df: DataFrame) -> DataFrame:
@@ -58,16 +71,18 @@ def json_whole(df: DataFrame) -> DataFrame:
     """
     body = _strip("body")
     lines = F.filter(F.split(body, "\n", -1), lambda x: trim_space(x) != "")
+    split = computed_once(df.select("key", "body"), {"body": body, "lines": lines})
     # The first line of an array or of an indented document rarely parses; the
     # other lines are tried only if it does.
-    first_parses = (F.size(lines) == 0) | parsed_document(F.get(lines, F.lit(0))).isNotNull()
-    parsed = F.when(first_parses, F.transform(lines, parsed_document))
-    is_lines = F.coalesce(F.forall(parsed, lambda x: x.isNotNull()), F.lit(False))
-    of_lines = F.flatten(F.transform(parsed, _elements))
+    first_parses = (F.size("lines") == 0) | parsed_document(F.get("lines", F.lit(0))).isNotNull()
+    parsed = F.when(first_parses, F.transform("lines", parsed_document))
+    tried = computed_once(split, {"parsed": parsed})
+    is_lines = F.coalesce(F.forall("parsed", lambda x: x.isNotNull()), F.lit(False))
+    of_lines = F.flatten(F.transform("parsed", _elements))
     # Text after the end of an array makes the wrapped text malformed.
-    wrapped = F.from_json(F.concat(F.lit('{"items":'), body, F.lit("}")), "items array<variant>", STRICT_JSON)
-    of_body = F.coalesce(wrapped["items"], F.array(document(body)))
-    return df.select("key", F.explode(F.when(is_lines, of_lines).otherwise(of_body)).alias("doc"))
+    wrapped = F.from_json(F.concat(F.lit('{"items":'), "body", F.lit("}")), "items array<variant>", STRICT_JSON)
+    of_body = F.coalesce(wrapped["items"], F.array(document("body")))
+    return tried.select("key", F.explode(F.when(is_lines, of_lines).otherwise(of_body)).alias("doc"))
 
 
 def _strip(c: str):
@@ -79,13 +94,15 @@ def _elements(doc):
     return F.coalesce(F.try_variant_get(doc, "$", "array<variant>"), F.array(doc))
 
 
-def _line_or_error():
-    """A line of a file too big to be held whole.  Text that shows the file to be
-    an array or an indented document stops the query instead of being misread."""
-    line = _strip("value")
-    not_lines = parsed_document(line).isNull() & F.rlike(line, F.lit(r"^\[|^[{}\]],?$|,$"))
+def _text_or_error():
+    """What a line that is no document becomes: its text.  But in a file too big to
+    be held whole, whose name does not say JSON Lines, text that shows the file to
+    be an array or an indented document stops the query instead of being misread."""
+    looks_cut = F.rlike(_strip("line"), F.lit(r"^\[|^[{}\]],?$|,$"))
     message = F.concat(F.lit("not JSON Lines, pass layout='whole': "), F.col("key"))
-    return F.when(not_lines, F.raise_error(message).cast("string")).otherwise(line)
+    stop = F.raise_error(message).cast("string")
+    text = F.when(~F.col("named_as_lines") & looks_cut, stop).otherwise(F.col("line"))
+    return text.cast("variant")
 
 
 def scan_json(
@@ -115,41 +132,33 @@ def scan_json(
     if layout not in LAYOUTS:
         raise ValueError(f"layout must be one of {LAYOUTS}")
 
+    keys = {"prefix": prefix, "pattern": pattern, "internal_prefixes": internal_prefixes}
+    if layout == "lines" and schema is not None:
+        read = _reader(spark, fmt).schema(schema).options(**STRICT_JSON)
+        rows = load_keys(read.json, root, lambda: file_key(root), **keys, name="_key")
+        names = [F.col(f"`{c}`") for c in rows.columns if c != "_key"]
+        return rows.select(*([F.col("_key").alias("key")] if keep_key else []), *names)
+
     def files(whole: bool) -> DataFrame:
-        read = _reader(spark)
-        if fmt in FORMAT_EXTENSIONS:
-            read = read.option("pathGlobFilter", format_glob(fmt))
-        raw = read.text(root, wholetext=whole).withColumn("key", file_key(root))
-        return filter_objects(raw, "key", fmt, prefix, pattern, internal_prefixes)
+        load = partial(_reader(spark, fmt).text, wholetext=whole)
+        return load_keys(load, root, lambda: file_key(root), **keys)
 
-    def lines(rows: DataFrame) -> DataFrame:
-        return json_lines(rows.select("key", F.col("value").alias("line")))
+    def lines() -> DataFrame:
+        return files(False).withColumnRenamed("value", "line")
 
-    def whole(rows: DataFrame) -> DataFrame:
-        return json_whole(rows.select("key", F.col("value").alias("body")))
+    def whole() -> DataFrame:
+        return files(True).withColumnRenamed("value", "body")
 
-    if layout == "lines" and schema is not None:
-        read = _reader(spark).schema(schema).options(**STRICT_JSON)
-        if fmt in FORMAT_EXTENSIONS:
-            read = read.option("pathGlobFilter", format_glob(fmt))
-        rows = read.json(root)
-        names = [F.col(f"`{c}`") for c in rows.columns]
-        rows = rows.select(*names, file_key(root).alias("_key"))
-        rows = filter_objects(rows, "_key", fmt, prefix, pattern, internal_prefixes)
-        return rows.select(*([F.col("_key").alias("key")] if keep_key else []), *names)
     if layout == "lines":
-        rows = lines(files(False))
+        rows = json_lines(lines())
     elif layout == "whole":
-        rows = whole(files(True))
+        rows = json_whole(whole())
     else:
         # Two scans of disjoint files: the predicates use file metadata only, so
         # each scan drops the files of the other while it is planned.
-        named_lines = ends_with_any("key", LINE_SUFFIXES)
-        by_line = named_lines | (F.col("_metadata.file_size") > whole_file_limit)
-        checked = F.when(named_lines, F.col("value")).otherwise(_line_or_error())
-        rows = lines(files(False).where(by_line).withColumn("value", checked)).unionByName(
-            whole(files(True).where(~by_line))
-        )
+        by_line = named_as_lines() | (F.col("_metadata.file_size") > whole_file_limit)
+        some_lines = lines().where(by_line).withColumn("named_as_lines", named_as_lines())
+        rows = json_lines(some_lines, _text_or_error()).unionByName(json_whole(whole().where(~by_line)))
     return _typed(rows, schema, keep_key)
 
 
@@ -173,20 +182,13 @@ def scan_csv(
     quoted value is doubled; ``multi_line`` allows line breaks in quoted values,
     at the price of reading each file in one task.
     """
-    read = _reader(spark).options(header=header, escape='"', multiLine=multi_line)
-    if fmt in FORMAT_EXTENSIONS:
-        read = read.option("pathGlobFilter", format_glob(fmt))
-    if schema is not None and not header:
-        rows = read.schema(schema).csv(root)
-        names = rows.columns
-    else:
-        rows = read.option("singleVariantColumn", "doc").csv(root)
-        names = ["doc"]
-    rows = rows.select("*", file_key(root).alias("key"))
-    rows = filter_objects(rows, "key", fmt, prefix, pattern, internal_prefixes).select("key", *names)
-    if names == ["doc"]:
-        return _typed(rows, schema, keep_key)
-    return rows if keep_key else rows.drop("key")
+    read = _reader(spark, fmt).options(header=header, escape='"', multiLine=multi_line)
+    by_position = schema is not None and not header
+    read = read.schema(schema) if by_position else read.option("singleVariantColumn", "doc")
+    rows = load_keys(read.csv, root, lambda: file_key(root), prefix, pattern, internal_prefixes)
+    if by_position:
+        return rows if keep_key else rows.drop("key")
+    return _typed(rows.select("key", "doc"), schema, keep_key)
 
 
 def scan_parquet(
@@ -203,15 +205,11 @@ def scan_parquet(
 ) -> DataFrame:
     """Rows of Parquet files (``.parquet``, ``.pq``) with their own columns, or as
     documents.  Column pruning and predicate push-down reach the files."""
-    read = _reader(spark).option("mergeSchema", merge_schema)
-    if fmt in FORMAT_EXTENSIONS:
-        read = read.option("pathGlobFilter", format_glob(fmt))
+    read = _reader(spark, fmt).option("mergeSchema", merge_schema)
     if schema is not None:
         read = read.schema(schema)
-    rows = read.parquet(root)
-    names = rows.columns
-    keyed = rows.select("*", file_key(root).alias("_key"))
-    keyed = filter_objects(keyed, "_key", fmt, prefix, pattern, internal_prefixes)
+    keyed = load_keys(read.parquet, root, lambda: file_key(root), prefix, pattern, internal_prefixes, name="_key")
+    names = [c for c in keyed.columns if c != "_key"]
     if as_documents:
         row = F.to_variant_object(F.struct(*[F.col(f"`{n}`") for n in names]))
         return keyed.select(F.col("_key").alias("key"), row.alias("doc"))

@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from datetime import datetime
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quayline.functions import constants as K
-from quayline.operators.filters import filter_objects
-from quayline.operators.tables import DEFAULT_NAMESPACE, append_table
-from quayline.sources.files import LINE_SUFFIXES, json_lines, json_whole
-from quayline.functions.text import ends_with_any
-from quayline.sources.objects import file_key
+from quayline.operators.tables import DEFAULT_NAMESPACE, append_table, row_document
+from quayline.sources.files import format_glob, json_lines, json_whole, named_as_lines
+from quayline.sources.objects import file_key, load_keys
 
 AVAILABLE_NOW = {"availableNow": True}
 
@@ -50,26 +49,25 @@ def stream_objects(
     a schema, as in every file stream.
     """
     read = spark.readStream.option("recursiveFileLookup", True)
+    if fmt in K.FORMAT_EXTENSIONS:
+        read = read.option("pathGlobFilter", format_glob(fmt))
     if max_bytes:
         read = read.option("maxBytesPerTrigger", max_bytes)
 
-    def pruned(rows: DataFrame) -> DataFrame:
-        rows = rows.withColumn("key", file_key(root))
+    def load(reader: Callable[[str], DataFrame]) -> DataFrame:
+        rows = load_keys(reader, root, lambda: file_key(root), prefix, pattern, internal_prefixes)
         if since is not None:
             rows = rows.where(F.col("_metadata.file_modification_time") >= F.lit(since))
-        return filter_objects(rows, "key", fmt, prefix, pattern, internal_prefixes)
+        return rows
 
     if fmt == "csv":
-        read = read.options(header=True, escape='"', singleVariantColumn="doc")
-        return pruned(read.csv(root)).select("key", "doc")
+        return load(read.options(header=True, escape='"', singleVariantColumn="doc").csv).select("key", "doc")
     if fmt == "parquet":
-        rows = pruned(read.schema(schema).parquet(root))
-        names = [c for c in rows.columns if c != "key"]
-        return rows.select("key", F.to_variant_object(F.struct(*names)).alias("doc"))
-    lines = ends_with_any("key", LINE_SUFFIXES)
-    by_line = pruned(read.text(root)).where(lines).select("key", F.col("value").alias("line"))
-    by_file = pruned(read.text(root, wholetext=True)).where(~lines).select("key", F.col("value").alias("body"))
-    return json_lines(by_line).unionByName(json_whole(by_file))
+        rows = load(read.schema(schema).parquet)
+        return rows.select("key", row_document([c for c in rows.columns if c != "key"]).alias("doc"))
+    lines = load(read.text).where(named_as_lines()).withColumnRenamed("value", "line")
+    whole = load(partial(read.text, wholetext=True)).where(~named_as_lines()).withColumnRenamed("value", "body")
+    return json_lines(lines).unionByName(json_whole(whole))
 
 
 def ingest_stream(

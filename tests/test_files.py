@@ -188,6 +188,22 @@ def test_files_are_pruned_before_they_are_read(spark, tmp_path):
     assert read_objects(spark, str(tmp_path), "json", pattern="f[14]").count() == 2
 
 
+def test_prefixes_narrow_the_listing(spark, tmp_path):
+    names = ["data/json/a.json", "data/json/ab.jsonl", "data/jsonb.json", "data2/x.json", "we[i]rd{1}/a,b.json", "wei/a.json", "top.json"]
+    for name in names:
+        path = tmp_path / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text('{"a":1}\n')
+    (tmp_path / "data/_own").mkdir()
+    (tmp_path / "data/_own/x.json").write_text('{"a":1}\n')
+    prefixes = ["", "data/", "data", "data/json", "data/json/", "data/json/a", "data/json/ab", "none/", "none", "we[i]rd{1}/",
+                "we[", "w", "/data/", "data//", "../", "data/_own/", "top.json", "data/json/a.json/x"]
+    for prefix in prefixes:
+        want = {n for n in names if n.startswith(prefix)}
+        assert {r.key for r in read_objects(spark, str(tmp_path), "json", prefix=prefix).collect()} == want, prefix
+        assert {r.key for r in object_catalog(spark, str(tmp_path), prefix=prefix).collect()} == want, prefix
+
+
 def test_backfill_reports_every_file(spark, store, tmp_path):
     (store / "data/json/bad.jsonl").write_text('{"a":1}\nnot json\n')
     (store / "data/json/blank.jsonl").write_text("\n \n")
