@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from datetime import datetime
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -142,6 +143,12 @@ def lenient_count(c: Column | str) -> Column:
     return digits.try_cast("bigint")
 
 
+def instant(ts: datetime) -> Column:
+    """A Python time as a timestamp.  Without a zone it is meant in the session's
+    time zone, not in that of the machine the driver runs on."""
+    return F.lit(ts.isoformat(sep=" ")).cast("timestamp")
+
+
 def millis_timestamp(c: Column | str) -> Column:
     """Epoch milliseconds -> timestamp."""
     return F.timestamp_millis(col(c))

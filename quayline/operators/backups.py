@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quayline.functions import constants as K
+from quayline.functions.text import instant
 from quayline.operators.writes import write_partitioned
 
 MICROS_FORMAT = {
@@ -47,8 +48,8 @@ def _hour() -> Column:
     return F.concat_ws("-", *HOUR_PARTS)
 
 
-def _hour_text(ts: datetime) -> str:
-    return ts.strftime("%Y-%m-%d-%H")
+def _hour_of(ts: datetime) -> Column:
+    return F.date_format(instant(ts), "yyyy-MM-dd-HH")
 
 
 def replay_backup(
@@ -67,11 +68,11 @@ def replay_backup(
     parts = T.StructType([T.StructField(p, T.StringType()) for p in (*HOUR_PARTS, "load_id")])
     rows = spark.read.schema(T.StructType(fields.fields + parts.fields)).options(**MICROS_FORMAT).json(root)
     if since is not None:
-        rows = rows.where(_hour() >= _hour_text(since))
-        rows = rows.where(F.col(ts) >= F.lit(since)) if ts else rows
+        rows = rows.where(_hour() >= _hour_of(since))
+        rows = rows.where(F.col(ts) >= instant(since)) if ts else rows
     if until is not None:
-        rows = rows.where(_hour() <= _hour_text(until))
-        rows = rows.where(F.col(ts) < F.lit(until)) if ts else rows
+        rows = rows.where(_hour() <= _hour_of(until))
+        rows = rows.where(F.col(ts) < instant(until)) if ts else rows
     return rows.drop(*HOUR_PARTS, "load_id")
 
 

@@ -60,11 +60,11 @@ def explode_records(df: DataFrame, keep: Sequence[str] = ("request_id",)) -> Dat
 def delivery_stats(df: DataFrame, keep: Sequence[str] = ("request_id",)) -> DataFrame:
     """Records in each request and rows they hold, without unnesting anything."""
     rows = F.aggregate(
-        F.transform("payloads", lambda p: F.coalesce(F.size(payload_lines(p)), F.lit(0))), F.lit(0), lambda a, x: a + x
+        F.transform("payloads", lambda p: F.coalesce(F.array_size(payload_lines(p)), F.lit(0))), F.lit(0), lambda a, x: a + x
     )
     return df.select(
         *keep,
-        F.size("payloads").cast("bigint").alias("records_in_batch"),
+        F.array_size("payloads").cast("bigint").alias("records_in_batch"),
         rows.cast("bigint").alias("ingested"),
     )
 

@@ -45,7 +45,7 @@ def table_growth(spark, sf_dir):
         F.lit("acme").alias("org"),
         F.lit("shop").alias("project"),
         F.concat(F.lit("status_"), "o_orderstatus").alias("table"),
-        (F.col("o_orderdate") < F.lit(datetime(1997, 1, 1))).alias("old"),
+        (F.col("o_orderdate") < F.lit("1997-01-01").cast("timestamp_ntz")).alias("old"),
     )
     root = run_folder(spark, "lake")
     tables.write_routed(rows.where("old").where("table <> 'status_P'"), root, "first")

@@ -173,6 +173,7 @@ def scan_csv(
     internal_prefixes: Iterable[str] = (),
     keep_key: bool = False,
     multi_line: bool = False,
+    same_header: bool = False,
 ) -> DataFrame:
     """Rows of CSV files; the header of each file names the fields of its rows.
 
@@ -181,9 +182,14 @@ def scan_csv(
     whose columns differ or are ordered differently still line up.  A quote in a
     quoted value is doubled; ``multi_line`` allows line breaks in quoted values,
     at the price of reading each file in one task.
+
+    ``same_header`` says that every file has just the columns of the schema in its
+    order (a file with others stops the query); rows are then parsed straight into
+    columns, which is several times faster.
     """
     read = _reader(spark, fmt).options(header=header, escape='"', multiLine=multi_line)
-    by_position = schema is not None and not header
+    by_position = schema is not None and (same_header or not header)
+    read = read.option("enforceSchema", not same_header)
     read = read.schema(schema) if by_position else read.option("singleVariantColumn", "doc")
     rows = load_keys(read.csv, root, lambda: file_key(root), prefix, pattern, internal_prefixes)
     if by_position:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quayline.functions import constants as K
+from quayline.functions.text import instant
 from quayline.operators.tables import DEFAULT_NAMESPACE, append_table, row_document
 from quayline.sources.files import format_glob, json_lines, json_whole, named_as_lines
 from quayline.sources.objects import file_key, load_keys
@@ -57,7 +58,7 @@ def stream_objects(
     def load(reader: Callable[[str], DataFrame]) -> DataFrame:
         rows = load_keys(reader, root, lambda: file_key(root), prefix, pattern, internal_prefixes)
         if since is not None:
-            rows = rows.where(F.col("_metadata.file_modification_time") >= F.lit(since))
+            rows = rows.where(F.col("_metadata.file_modification_time") >= instant(since))
         return rows
 
     if fmt == "csv":

@@ -150,6 +150,16 @@ def test_csv_files_with_unlike_headers(spark, tmp_path):
     assert len(rows) == 4
 
 
+def test_csv_files_with_the_same_header(spark, tmp_path):
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.csv").write_text('x,y\n1,"q ""2"""\n')
+    rows = scan_csv(spark, str(tmp_path), schema="x int, y string", same_header=True, keep_key=True)
+    assert sorted((r.key, r.x, r.y) for r in rows.collect()) == [("a.csv", 1, 'q "2"'), ("b.csv", 1, 'q "2"')]
+    (tmp_path / "c.csv").write_text("y,x\nq,1\n")
+    with pytest.raises(Exception, match="CSV header|FAILED_READ_FILE"):
+        scan_csv(spark, str(tmp_path), schema="x int, y string", same_header=True).collect()
+
+
 def test_parquet_and_pq(spark, tmp_path):
     pd.DataFrame({"a": [1, 2]}).to_parquet(tmp_path / "one.parquet")
     pd.DataFrame({"a": [3], "b": ["x"]}).to_parquet(tmp_path / "two.PQ")

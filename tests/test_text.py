@@ -1,4 +1,5 @@
-from datetime import datetime
+import time
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import functions as F
 
@@ -135,6 +136,18 @@ def test_times(spark):
     assert row[1] == "2023/11/14/22"
 
 
+def test_instants_do_not_depend_on_the_machine(spark, monkeypatch):
+    monkeypatch.setenv("TZ", "Asia/Tokyo")
+    time.tzset()
+    try:
+        naive, aware = datetime(2024, 1, 1, 5), datetime(2024, 1, 1, 5, tzinfo=timezone(timedelta(hours=2)))
+        row = spark.range(1).select(F.unix_seconds(text.instant(naive)), F.unix_seconds(text.instant(aware))).first()
+    finally:
+        monkeypatch.undo()
+        time.tzset()
+    assert tuple(row) == (1704085200, 1704078000)
+
+
 def test_hash(spark):
     a, b = values(spark, ["test-key", "other"], text.sha256_hex)
     assert len(a) == 64 and a != b
