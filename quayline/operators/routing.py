@@ -30,7 +30,12 @@ def effective_ranges(routes: DataFrame, source: str, since: str = "valid_from")
 
     Configuration history: a source has as many rows as it was retargeted.
     """
-    return routes.withColumn("valid_to", F.lead(since).over(Window.partitionBy(source).orderBy(since)))
+    # Grouped by a hash of the source instead of the source itself: a join on the
+    # source then shuffles both of its sides, and only such a join can be split
+    # when records of one source are too many for one task.
+    grouped = Window.partitionBy(F.xxhash64(source)).orderBy(source, since)
+    same = F.lead(source).over(grouped) == F.col(source)
+    return routes.withColumn("valid_to", F.when(same, F.lead(since).over(grouped)))
 
 
 def route_as_of(

@@ -27,6 +27,9 @@ def dedup_stream(
     Without a horizon every key is remembered for ever.  With ``arrived`` and
     ``horizon`` (such as ``"1 day"``) keys are forgotten once the stream has moved
     on that far, so a copy that comes later than that is taken as new.
+
+    The copies of one key in one micro-batch pass through one task, row by row;
+    the size cap of the batch bounds them.
     """
     if (arrived is None) != (horizon is None):
         raise ValueError("arrived and horizon go together")

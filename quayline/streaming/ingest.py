@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from quayline.functions import constants as K
 from quayline.functions.text import instant
 from quayline.operators.tables import DEFAULT_NAMESPACE, append_table, row_document
-from quayline.sources.files import format_glob, json_lines, json_whole, named_as_lines
+from quayline.sources.files import LAYOUTS, format_glob, json_lines, json_whole, named_as_lines
 from quayline.sources.objects import file_key, load_keys
 
 AVAILABLE_NOW = {"availableNow": True}
@@ -40,15 +40,19 @@ def stream_objects(
     since: datetime | None = None,
     max_bytes: int | None = None,
     schema: str | None = None,
+    layout: str = "auto",
 ) -> DataFrame:
     """Rows of new files as a stream of ``key, doc``.
 
     The checkpoint remembers which files were taken.  ``since`` leaves out files
     that were there before, by modification time.  All predicates are on file
     metadata, so files that do not match are never opened.  JSON files named
-    ``.jsonl``/``.ndjson`` are read as lines, others file by file; Parquet needs
-    a schema, as in every file stream.
+    ``.jsonl``/``.ndjson`` are read as lines, others file by file; ``layout`` as
+    ``lines`` or ``whole`` reads all one way and lists the store once per batch
+    instead of twice.  Parquet needs a schema, as in every file stream.
     """
+    if layout not in LAYOUTS:
+        raise ValueError(f"layout must be one of {LAYOUTS}")
     read = spark.readStream.option("recursiveFileLookup", True)
     if fmt in K.FORMAT_EXTENSIONS:
         read = read.option("pathGlobFilter", format_glob(fmt))
@@ -66,9 +70,13 @@ def stream_objects(
     if fmt == "parquet":
         rows = load(read.schema(schema).parquet)
         return rows.select("key", row_document([c for c in rows.columns if c != "key"]).alias("doc"))
-    lines = load(read.text).where(named_as_lines()).withColumnRenamed("value", "line")
-    whole = load(partial(read.text, wholetext=True)).where(~named_as_lines()).withColumnRenamed("value", "body")
-    return json_lines(lines).unionByName(json_whole(whole))
+    lines = load(read.text).withColumnRenamed("value", "line")
+    whole = load(partial(read.text, wholetext=True)).withColumnRenamed("value", "body")
+    if layout == "lines":
+        return json_lines(lines)
+    if layout == "whole":
+        return json_whole(whole)
+    return json_lines(lines.where(named_as_lines())).unionByName(json_whole(whole.where(~named_as_lines())))
 
 
 def ingest_stream(

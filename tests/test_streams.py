@@ -2,7 +2,6 @@ import json
 from datetime import datetime, timedelta
 
 import pytest
-from pyspark.sql import functions as F
 
 from quayline.operators.backups import replay_backup
 from quayline.operators.tables import count_table, dump_tables, table_counts
