@@ -83,15 +83,20 @@ def base64_bytes(c: Column | str) -> Column:
     Spark's own decoder also takes missing padding and skips inner blanks; both
     show in the number of bytes it returns.
     """
-    packed = F.translate(col(c), "\r\n", "")
+    packed = _without_breaks(col(c))
     decoded = F.try_to_binary(packed, F.lit("base64"))
     return F.when(_strict_base64(packed, decoded), decoded)
 
 
+def _without_breaks(c: Column) -> Column:
+    broken = F.contains(c, F.lit("\n")) | F.contains(c, F.lit("\r"))
+    return F.when(broken, F.translate(c, "\r\n", "")).otherwise(c)
+
+
 def _strict_base64(packed: Column, decoded: Column) -> Column:
-    length = F.length(packed)
-    padding = length - F.length(F.rtrim(packed, F.lit("=")))
-    return (length % 4 == 0) & (padding <= 2) & (F.octet_length(decoded) == length * 3 / 4 - padding)
+    length = F.octet_length(packed)
+    padding = F.when(F.endswith(packed, F.lit("==")), 2).when(F.endswith(packed, F.lit("=")), 1).otherwise(0)
+    return (length % 4 == 0) & (F.octet_length(decoded) == length / 4 * 3 - padding)
 
 
 def base64_texts(data: Column) -> Column:
@@ -99,7 +104,7 @@ def base64_texts(data: Column) -> Column:
 
     Each step binds its result to a lambda variable, so nothing is decoded twice.
     """
-    packed = F.transform(data, lambda x: F.translate(x, "\r\n", ""))
+    packed = F.transform(data, _without_breaks)
     pairs = F.transform(
         packed, lambda x: F.struct(x.alias("packed"), F.try_to_binary(x, F.lit("base64")).alias("decoded"))
     )

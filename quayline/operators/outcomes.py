@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quayline.functions.text import trim_space
@@ -95,6 +95,13 @@ def expect_min_rows(df: DataFrame, least: int) -> DataFrame:
     return df.agg(F.count("*").alias("cnt")).withColumn("enough", F.col("cnt") >= least)
 
 
+def observed_rows(df: DataFrame, name: str = "rows") -> tuple[DataFrame, Observation]:
+    """The same rows with a counter: after an action on them, such as their write,
+    ``observation.get["cnt"]`` tells their number without another pass."""
+    observation = Observation(name)
+    return df.observe(observation, F.count(F.lit(1)).alias("cnt")), observation
+
+
 def key_quality(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``empty``: rows with a NULL or empty key part; ``dup``: keys that occur
     more than once.  Counts per key are combined before the shuffle."""

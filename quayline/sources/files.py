@@ -119,7 +119,8 @@ def scan_json(
 ) -> DataFrame:
     """Documents of JSON files: arrays, single documents and JSON Lines.
 
-    ``lines`` splits big files over tasks; ``whole`` reads file by file; ``auto``
+    ``lines`` splits big files over tasks; ``whole`` holds one file at a time in
+    memory, of 2 GB at most, as an array cannot be split; ``auto``
     reads ``.jsonl``/``.ndjson`` names as lines and looks into all others.  Files
     over ``whole_file_limit`` bytes are always read as lines by ``auto``; if such
     a file holds an array or an indented document the query fails and says so.

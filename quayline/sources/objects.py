@@ -96,7 +96,10 @@ def object_catalog(
     every Spark scan; for a store too big to list, pass an inventory table with
     the same columns to the operators instead.
     """
+    # Spark plans one task per 128 MB of files though no content is read; a
+    # hundred terabytes would be most of a million idle tasks.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     read = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     plain_key = lambda: object_key("path", root, encoded=False)
     files = load_keys(read.load, root, plain_key, prefix, None, internal_prefixes)
-    return files.select("key", "path", "length", F.col("modificationTime").alias("modified"))
+    return files.select("key", "path", "length", F.col("modificationTime").alias("modified")).coalesce(tasks)

@@ -92,5 +92,8 @@ def test_growth_and_quality(spark):
     names = spark.createDataFrame([("a",), ("a",), ("b",), ("",), (None,)], "name string")
     row = outcomes.key_quality(names, ["name"]).first()
     assert (row.empty, row.dup) == (2, 1)
+    observed, observation = outcomes.observed_rows(names)
+    observed.write.format("noop").mode("overwrite").save()
+    assert observation.get["cnt"] == 5
     assert outcomes.expect_min_rows(names, 5).first().enough
     assert not outcomes.expect_min_rows(names.where(F.lit(False)), 1).first().enough
