@@ -37,8 +37,20 @@ def field(c: Column | str, name: str, data_type: str = "string") -> Column:
     return F.try_variant_get(col(c), field_path(name), data_type)
 
 
+def type_text(kind: T.DataType) -> str:
+    """A type in SQL, with the names of nested fields quoted."""
+    if isinstance(kind, T.StructType):
+        fields = [f"`{f.name.replace('`', '``')}`: {type_text(f.dataType)}" for f in kind.fields]
+        return f"struct<{', '.join(fields)}>"
+    if isinstance(kind, T.ArrayType):
+        return f"array<{type_text(kind.elementType)}>"
+    if isinstance(kind, T.MapType):
+        return f"map<{type_text(kind.keyType)}, {type_text(kind.valueType)}>"
+    return kind.simpleString()
+
+
 def typed_columns(c: Column | str, schema: T.StructType | str) -> list[Column]:
     """One typed column per field of ``schema``, read out of a document."""
     if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
-    return [field(c, f.name, f.dataType.simpleString()).alias(f.name) for f in schema.fields]
+    return [field(c, f.name, type_text(f.dataType)).alias(f.name) for f in schema.fields]

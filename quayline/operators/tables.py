@@ -122,6 +122,35 @@ def document_schema(df: DataFrame, doc: str = "doc") -> DataFrame:
     return df.agg(F.schema_of_variant_agg(doc).alias("schema"))
 
 
+def infer_schema(df: DataFrame, doc: str = "doc") -> T.StructType:
+    """Typed columns that hold every top-level field of the documents.
+
+    One aggregation over the table; only the merged schema reaches the driver.
+    Numbers become BIGINT or DOUBLE; a field that is of unlike types in different
+    rows, or NULL in all, becomes text, so no value is lost.  Documents that are
+    no objects have no fields.
+    """
+    objects = df.where(F.startswith(F.schema_of_variant(doc), F.lit("OBJECT<")))
+    text = document_schema(objects, doc).first()["schema"]
+    if not text or not text.startswith("OBJECT<"):
+        return T.StructType([])
+    merged = T.StructType.fromDDL(text.replace("OBJECT<", "STRUCT<")[len("STRUCT<") : -1])
+    return T.StructType([T.StructField(f.name, _column_type(f.dataType)) for f in merged.fields])
+
+
+def _column_type(kind: T.DataType) -> T.DataType:
+    if isinstance(kind, T.DecimalType):
+        return T.DoubleType()
+    return T.StringType() if isinstance(kind, (T.VariantType, T.NullType)) else kind
+
+
+def read_typed(spark: SparkSession, root: str, table: str, namespace: tuple[str, str] | None = None) -> DataFrame:
+    """Rows of a table with the columns its documents have by now: a new field is
+    a new column, and rows without it hold NULL there."""
+    rows = read_table(spark, root, table, namespace=namespace)
+    return rows.select(*typed_columns("doc", infer_schema(rows)))
+
+
 def dump_tables(spark: SparkSession, root: str) -> DataFrame:
     """Every row of every table as JSON text: ``table, json``."""
     return read_tables(spark, root).select("table", F.to_json("doc").alias("json"))

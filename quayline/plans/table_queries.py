@@ -36,6 +36,21 @@ def sql_count(spark, sf_dir):
     )
 
 
+def evolved_table(spark, sf_dir):
+    """Three loads with other fields each, one field of unlike types, read back
+    with all columns the table has by then."""
+    root = run_folder(spark, "lake")
+    orders = table(spark, sf_dir, "orders")
+    kinds = {
+        "F": orders.select("o_orderkey", "o_totalprice", F.col("o_custkey").alias("mixed")),
+        "O": orders.select("o_orderkey", "o_orderpriority", F.col("o_orderpriority").alias("mixed")),
+        "P": orders.select("o_orderkey", F.col("o_orderkey").alias("odd name")),
+    }
+    for status, rows in kinds.items():
+        tables.append_table(rows.where(orders["o_orderstatus"] == status), root, "orders", status)
+    return tables.read_typed(spark, root, "orders").withColumnRenamed("odd name", "odd_name")
+
+
 def table_growth(spark, sf_dir):
     """Two loads of orders, one table per status: counts before and after."""
     orders = table(spark, sf_dir, "orders")
@@ -136,6 +151,7 @@ def route_as_of(spark, sf_dir):
 QUERIES = {
     "count_table": count_table,
     "sql_count": sql_count,
+    "evolved_table": evolved_table,
     "table_growth": table_growth,
     "backup_split": backup_split,
     "backup_replay": backup_replay,
@@ -152,6 +168,12 @@ ORACLES = {
     "sql_count": """
         SELECT 'all' AS part, count(*) AS cnt FROM orders
         UNION ALL SELECT o_orderpriority, count(*) FROM orders WHERE o_custkey > 100 GROUP BY o_orderpriority""",
+    "evolved_table": """
+        SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN o_totalprice END AS o_totalprice,
+               CASE o_orderstatus WHEN 'F' THEN CAST(o_custkey AS VARCHAR) WHEN 'O' THEN o_orderpriority END AS mixed,
+               CASE WHEN o_orderstatus = 'O' THEN o_orderpriority END AS o_orderpriority,
+               CASE WHEN o_orderstatus = 'P' THEN o_orderkey END AS odd_name
+        FROM orders""",
     "table_growth": """
         WITH r AS (
           SELECT 'status_' || o_orderstatus AS "table",

@@ -64,6 +64,21 @@ def test_only_folders_of_the_table_are_listed(spark, tmp_path):
     assert all("table=t" in f for f in tables.read_table(spark, root, "t").inputFiles())
 
 
+def test_inferred_columns(spark, tmp_path):
+    root = str(tmp_path / "lake")
+    assert tables.read_typed(spark, root, "t").columns == []
+    docs = ['{"a":1,"b c":{"x y":[1,2]},"n":null}', '{"a":2.5,"t":"x"}', '{"t":7,"z":true}', '[1]', '"text"']
+    rows = spark.createDataFrame([(d,) for d in docs], "d string").select(F.parse_json("d").alias("doc"))
+    tables.append_table(rows, root, "t", "l1")
+    typed = tables.read_typed(spark, root, "t")
+    assert dict(typed.dtypes) == {
+        "a": "double", "b c": "struct<x y:array<bigint>>", "n": "string", "t": "string", "z": "boolean"
+    }
+    assert typed.count() == 5
+    got = sorted(typed.where("a is not null or t is not null").collect(), key=lambda r: (r.a or 9))
+    assert (got[0].a, got[0]["b c"]["x y"], got[1].t, got[2].t, got[2].z) == (1.0, [1, 2], "x", "7", True)
+
+
 def test_views(spark, tmp_path):
     tables.append_table(spark.range(3), str(tmp_path), "t_view", "l1")
     tables.create_table_view(spark, str(tmp_path), "t_view")
