@@ -5,7 +5,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from quayline.operators import deliveries, routing
+from quayline.operators import deliveries, routing, tables
 from quayline.operators.outcomes import ingest_pending
 from quayline.session import setting
 
@@ -59,3 +59,21 @@ def test_hot_keys_are_split(spark, small_limits, tmp_path):
         assert "skew=true" in final_plan(joined), name
     assert cases["routes"].count() == 200_000 and cases["routes"].where("`table` is null").count() == 0
     assert cases["seen"].count() == df.where("k not like 'k1%'").count()
+
+
+def test_a_hot_table_is_written_by_many_tasks(spark, small_limits, tmp_path):
+    df = rows(spark).select(
+        tables.row_document(["id", "body"]).alias("doc"),
+        F.lit(None).cast("string").alias("origin"),
+        F.lit("o").alias("org"),
+        F.lit("p").alias("project"),
+        F.when(F.col("k") == "hot", "hot").otherwise(F.concat(F.lit("t"), (F.col("id") % 20).cast("string"))).alias("table"),
+    )
+    root = str(tmp_path / "lake")
+    tables.write_routed(df, root, "l1")
+    files = {}
+    for path in (tmp_path / "lake").rglob("part-*"):
+        files.setdefault(path.parent.parent.name, []).append(path)
+    # The id decides both, so odd ids leave ten small tables beside the hot one.
+    assert len(files) == 11 and len(files["table=hot"]) > 10
+    assert {r.cnt for r in tables.table_counts(spark, root).collect()} == {100_000, 10_000}
