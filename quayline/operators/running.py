@@ -1,10 +1,11 @@
 """Running sums and trailing-window counts that never hold one key in one task.
 
 A plain window function sorts all rows of a key in one task.  One key may hold a
-third of all rows, so the order axis is cut into slices at its quantiles first:
-a slice of a key holds about 1/slices of all rows at most, whatever the key.
-Each slice is summed by itself, and the totals of the earlier slices (one row
-per key and slice) are added afterwards.
+third of all rows, so keys that hold more than a fair share are cut along the
+order axis, at its quantiles: a slice of such a key holds about 1/slices of all
+rows at most.  Each slice is summed by itself, and the totals of the earlier
+slices (one row per hot key and slice) are added afterwards.  All other keys stay
+whole and cost what a plain window costs.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 MICROS = 1_000_000
 QUANTILE_ACCURACY = 10_000
 MOST_SLICES = 4096
+TRACKED_KEYS = 10_000
 
 
 def micros(ts: str) -> Column:
@@ -25,28 +27,43 @@ def micros(ts: str) -> Column:
     return F.unix_micros(F.col(ts).cast("timestamp"))
 
 
-def slice_bounds(df: DataFrame, order: str, slices: int) -> list[float]:
-    """Distinct quantiles of a numeric column: ``slices - 1`` numbers at most.
+def hot_keys_and_bounds(
+    df: DataFrame, keys: Sequence[str], order: str, slices: int | None = None
+) -> tuple[list[int], list[float]]:
+    """Hashes of the keys with more than 1/slices of the rows, and the quantiles of
+    the order column: at most ``slices`` numbers each, all that reaches the driver.
 
-    One pass over that single column; only these few numbers reach the driver.
+    One pass of sketches over the keys and the order.  An estimate that is off
+    changes how evenly rows spread, never a result.
     """
+    slices = slices or min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), MOST_SLICES)
+    if slices == 1:
+        return [], []
     shares = [i / slices for i in range(1, slices)]
-    if not shares:
-        return []
-    accuracy = max(QUANTILE_ACCURACY, 4 * slices)
-    found = df.agg(F.percentile_approx(order, shares, accuracy).alias("q")).first()["q"]
-    return sorted({float(v) for v in found or []})
+    tracked = F.lit(max(TRACKED_KEYS, 8 * slices))
+    found = df.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.call_function("approx_top_k", F.xxhash64(*keys) if keys else F.lit(0).cast("bigint"), F.lit(slices), tracked).alias("top"),
+        F.percentile_approx(order, shares, max(QUANTILE_ACCURACY, 4 * slices)).alias("quantiles"),
+    ).first()
+    hot = [t["item"] for t in found["top"] or [] if t["count"] * slices > found["rows"]]
+    return hot, sorted({float(v) for v in found["quantiles"] or []})
+
 
+def is_hot(keys: Sequence[str], hot: Sequence[int]) -> Column:
+    return F.xxhash64(*keys).isin(list(hot)) if keys else F.lit(True)
 
-def with_slice(df: DataFrame, order: str, bounds: Sequence[float]) -> DataFrame:
-    """Add ``_slice``, the number of the slice ``order`` falls in (-1 for NULL);
-    equal values always share a slice."""
-    if not bounds:
+
+def with_slice(df: DataFrame, keys: Sequence[str], order: str, hot: Sequence[int], bounds: Sequence[float]) -> DataFrame:
+    """Add ``_slice``: for a hot key the slice ``order`` falls in (-1 for NULL), for
+    any other 0; equal values of a key always share a slice."""
+    if not hot or not bounds:
         return df.withColumn("_slice", F.lit(0))
     cut = Bucketizer(splits=[float("-inf"), *bounds, float("inf")], inputCol="_slice_at", outputCol="_slice_cut")
     # Bucketizer takes doubles; order values up to 2^53 stay exact.
     sliced = cut.transform(df.withColumn("_slice_at", F.col(order).cast("double")))
     number = F.coalesce(F.col("_slice_cut").cast("int"), F.lit(-1))
+    number = F.when(is_hot(keys, hot), number).otherwise(0)
     return sliced.withColumn("_slice", number).drop("_slice_at", "_slice_cut")
 
 
@@ -58,35 +75,49 @@ def running_sum(
     out: str,
     ties: Sequence[str] = (),
     slices: int | None = None,
-    movements: DataFrame | None = None,
 ) -> DataFrame:
     """Running sum of ``value`` per key along the numeric column ``order``.
 
     With ``ties`` each row gets its own sum (rows of equal order are taken in the
     order of ``ties``); without, rows of equal order all get the sum after them.
-    Rows whose order is NULL come first.  The slice bounds and totals take a pass
-    over the keys, ``order`` and ``value`` each; pass ``movements`` (rows with
-    the same sums) if they can be had from cheaper input than ``df`` itself, and
-    store ``df`` first if it is costly to compute.
+    Rows whose order is NULL come first.  Finding hot keys takes a pass over the
+    keys and ``order``, their totals take another, so store ``df`` first if it is
+    costly to compute.
     """
-    movements = df if movements is None else movements
-    slices = slices or min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), MOST_SLICES)
-    bounds = slice_bounds(movements, order, slices)
-    sliced = with_slice(df, order, bounds)
+    hot, bounds = hot_keys_and_bounds(df, keys, order, slices)
+    return _sliced_sum(df, keys, order, value, out, ties, hot, bounds, df)
+
+
+def _sliced_sum(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: str,
+    value: str,
+    out: str,
+    ties: Sequence[str],
+    hot: Sequence[int],
+    bounds: Sequence[float],
+    movements: DataFrame,
+) -> DataFrame:
+    """The running sum for given hot keys and bounds; ``movements`` are rows with
+    the same sums per key and order, from which the totals are taken."""
     group = [*keys, "_slice"]
     within = Window.partitionBy(*group).orderBy(order, *ties)
     frame = within.rowsBetween if ties else within.rangeBetween
     local = F.sum(value).over(frame(Window.unboundedPreceding, Window.currentRow))
+    summed = with_slice(df, keys, order, hot, bounds).withColumn(out, local)
+    if not hot or not bounds:
+        return summed.drop("_slice")
 
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    totals = with_slice(movements, order, bounds).groupBy(*group).agg(F.sum(value).alias("_total"))
-    offsets = totals.select(*group, F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset"))
-
+    of_hot = with_slice(movements.where(is_hot(keys, hot)), keys, order, hot, bounds)
+    totals = of_hot.groupBy(*group).agg(F.sum(value).alias("_total"))
+    offsets = totals.select(*group, F.sum("_total").over(before).alias("_offset")).alias("o")
     same_group = [F.col(f"s.`{k}`").eqNullSafe(F.col(f"o.`{k}`")) for k in keys]
     same_group.append(F.col("s._slice") == F.col("o._slice"))
-    summed = sliced.withColumn(out, local).alias("s").join(offsets.alias("o"), same_group, "left")
+    joined = summed.alias("s").join(offsets, same_group, "left")
     kept = [F.col(f"s.`{c}`") for c in df.columns if c != out]
-    return summed.select(*kept, (F.col(f"s.`{out}`") + F.col("o._offset")).alias(out))
+    return joined.select(*kept, (F.col(f"s.`{out}`") + F.coalesce("o._offset", F.lit(0))).alias(out))
 
 
 def running_total(
@@ -105,9 +136,9 @@ def window_counts(
     """Requests of a key in the trailing ``seconds`` up to each of its instants.
 
     Both ends of the window count.  Returns ``*keys, ts, requests``, one row per
-    key and instant.  Rows are pre-aggregated per key and instant before the
-    shuffle; each such count then enters the sum at its instant and leaves it
-    right after the window has passed, so one running sum gives the answer.
+    key and instant.  For most keys this is a plain range window.  The rows of a
+    hot key are first counted per instant; each count then enters a running sum at
+    its instant and leaves it right after the window has passed.
     """
     at = micros(ts)
 
@@ -119,17 +150,18 @@ def window_counts(
         return rows.select(*keys, ts, F.inline(F.array(enter, leave)))
 
     timed = df.where(F.col(ts).isNotNull())
-    counted = timed.groupBy(*keys, ts).agg(F.count("*").alias("_n"))
-    summed = running_sum(
-        moves(counted, F.col("_n")),
-        keys,
-        "step",
-        "change",
-        "requests",
-        slices=slices,
-        movements=moves(timed, F.lit(1).cast("bigint")),
-    )
-    return summed.where("enters").select(*keys, ts, "requests")
+    hot, bounds = hot_keys_and_bounds(moves(timed, F.lit(1).cast("bigint")), keys, "step", slices)
+    trailing = Window.partitionBy(*keys).orderBy("_at").rangeBetween(-seconds * MICROS, Window.currentRow)
+    others = timed.where(~is_hot(keys, hot)) if hot else timed
+    counts = others.select(*keys, ts, at.alias("_at")).withColumn("requests", F.count("*").over(trailing))
+    counts = counts.drop("_at").distinct()  # grouped by key already: no further shuffle
+    if not hot:
+        return counts
+    busy = timed.where(is_hot(keys, hot))
+    counted = busy.groupBy(*keys, ts).agg(F.count("*").alias("_n"))
+    movements = moves(busy, F.lit(1).cast("bigint"))
+    summed = _sliced_sum(moves(counted, F.col("_n")), keys, "step", "change", "requests", (), hot, bounds, movements)
+    return counts.unionByName(summed.where("enters").select(*keys, ts, "requests"))
 
 
 def rate_exceeded(

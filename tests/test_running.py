@@ -4,7 +4,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from quayline.operators.running import assign_batches, rate_exceeded, running_sum, running_total, slice_bounds, window_counts
+from quayline.operators.running import assign_batches, hot_keys_and_bounds, rate_exceeded, running_sum, running_total, window_counts
 
 START = datetime(2024, 1, 1)
 
@@ -42,9 +42,9 @@ def test_running_sum_without_keys_and_with_nulls(spark):
 
 
 def test_slices_split_a_hot_key(spark):
-    df = spark.range(9000).select(F.when(F.col("id") < 8000, "hot").otherwise("cold").alias("k"), "id")
-    bounds = slice_bounds(df, "id", 16)
-    assert len(bounds) == 15
+    df = spark.range(9000).select(F.when(F.col("id") < 8000, "hot").otherwise((F.col("id") % 99).cast("string")).alias("k"), "id")
+    hot, bounds = hot_keys_and_bounds(df, ["k"], "id", 16)
+    assert len(bounds) == 15 and hot == [df.select(F.xxhash64("k")).first()[0]]
     df = df.withColumn("one", F.lit(1))
     summed = running_sum(df, ["k"], "id", "one", "n", ties=["k"], slices=16)
     plan = summed._jdf.queryExecution().executedPlan().toString()
@@ -52,6 +52,14 @@ def test_slices_split_a_hot_key(spark):
     assert summed.agg(F.max("n")).first()[0] == 8000
 
 
+def test_even_keys_cost_a_plain_window(spark):
+    df = spark.range(9000).select((F.col("id") % 300).alias("k"), "id", F.lit(1).alias("one"))
+    summed = running_sum(df, ["k"], "id", "one", "n", ties=["id"], slices=16)
+    plan = summed._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    assert summed.groupBy("k").agg(F.max("n").alias("n")).select("n").distinct().collect()[0].n == 30
+
+
 def test_running_total(spark):
     rows = [("t", 10, 2, "a"), ("t", 10, 3, "b"), ("t", 5, 1, "c"), ("u", 7, 4, "d")]
     df = spark.createDataFrame(rows, "table string, arrival bigint, ingested bigint, request_id string")
