@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from quayline.llm import decontaminate
 from quayline.llm.bpe import op1_bpe
+from quayline.llm.decontaminate import op6_decontaminate
+from quayline.llm.token_files import op3_token_files
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op3_token_files": op3_token_files,
+    "op6_decontaminate": op6_decontaminate,
+}
+ORACLES = {
+    "op6_decontaminate": decontaminate.ORACLE,
 }
-ORACLES: dict[str, str] = {}
