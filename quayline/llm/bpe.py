@@ -37,6 +37,9 @@ MOST_WORDS = 500_000
 LONGEST_WORD = 48
 #: Up to this many symbols a plain search for the best pair is faster than a heap.
 SHORT = 40
+#: Above any token id; above any rank and id in one number.
+ID_SPACE = 1 << 22
+NO_MERGE = 1 << 60
 
 # The piece pattern of byte-level BPE files that name none.
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -81,12 +84,12 @@ class Bpe:
         self.suffix = model.get("end_of_word_suffix") or ""
         vocab: dict[str, int] = model["vocab"]
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-        # (left id, right id) -> (rank, id of the merged token)
-        self.merges = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
+        # (left id, right id) -> rank and id of the merged token in one number
+        self.merges = {(vocab[a], vocab[b]): rank * ID_SPACE + vocab[a + b] for rank, (a, b) in enumerate(pairs)}
         letters = byte_letters()
         self.inner = [vocab[c] for c in letters]
         self.last = [vocab[c + self.suffix] for c in letters]
-        self.joined = self._pairs_inside_tokens(vocab, {c: b for b, c in enumerate(letters)})
+        self.cuts = self._pairs_outside_tokens(vocab, {c: b for b, c in enumerate(letters)})
         added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         if any(t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"] for t in spec.get("added_tokens", [])):
             raise ValueError("only added tokens that match literally are understood")
@@ -126,13 +129,13 @@ class Bpe:
         self.by_word = self.spaces and steps[0]["use_regex"] is False
 
     @staticmethod
-    def _pairs_inside_tokens(vocab: dict[str, int], byte_of: dict[str, int]) -> np.ndarray:
-        """joined[a, b]: bytes a, b stand side by side inside some token."""
-        joined = np.zeros((256, 256), bool)
+    def _pairs_outside_tokens(vocab: dict[str, int], byte_of: dict[str, int]) -> set[tuple[int, int]]:
+        """The pairs of bytes that stand side by side inside no token."""
+        joined = set()
         for token in vocab:
             got = [byte_of[c] for c in token if c in byte_of]  # a suffix adds pairs, which only means fewer cuts
-            joined[got[:-1], got[1:]] = True
-        return joined
+            joined.update(zip(got, got[1:], strict=False))
+        return {(a, b) for a in range(256) for b in range(256)} - joined
 
     def _read_decoder(self, rule: dict | None, vocab: dict[str, int], letters: list[str]) -> None:
         if rule is not None and rule["type"] != "ByteLevel":
@@ -194,35 +197,38 @@ class Bpe:
 
     def _encode_piece(self, piece: str) -> bytes:
         data = piece.encode("utf-8", "replace")
-        codes = np.frombuffer(data, np.uint8)
-        cuts = np.flatnonzero(~self.joined[codes[:-1], codes[1:]]) + 1
+        symbols = [self.inner[b] for b in data]
+        symbols[-1] = self.last[data[-1]]
         ids: list[int] = []
-        for start, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(data)], strict=True):
-            symbols = [self.inner[b] for b in data[start:end]]
-            if end == len(data):
-                symbols[-1] = self.last[data[-1]]
-            ids += self._merge(symbols) if len(symbols) <= SHORT else self._merge_long(symbols)
-        out = array("I", ids)
-        return out.tobytes()
+        start = 0
+        for end in [k for k, pair in enumerate(zip(data, data[1:], strict=False), 1) if pair in self.cuts] + [len(data)]:
+            fragment = symbols[start:end]
+            ids += self._merge(fragment) if end - start <= SHORT else self._merge_long(fragment)
+            start = end
+        return array("I", ids).tobytes()
 
     def _merge(self, symbols: list[int]) -> list[int]:
         """Merge the best pair, the leftmost of equals, until none is left."""
-        merges, none = self.merges, (1 << 60, 0)
-        while len(symbols) > 1:
-            found = [merges.get(pair, none) for pair in zip(symbols, symbols[1:], strict=False)]
+        get = self.merges.get
+        found = [get(pair, NO_MERGE) for pair in zip(symbols, symbols[1:], strict=False)]
+        while found:
             best = min(found)
-            if best is none or best[0] == none[0]:
+            if best == NO_MERGE:
                 break
             at = found.index(best)
-            symbols[at : at + 2] = [best[1]]
+            symbols[at : at + 2] = [best % ID_SPACE]
+            del found[at]
+            if at:
+                found[at - 1] = get((symbols[at - 1], symbols[at]), NO_MERGE)
+            if at < len(found):
+                found[at] = get((symbols[at], symbols[at + 1]), NO_MERGE)
         return symbols
 
     def _merge_long(self, symbols: list[int]) -> list[int]:
         """The same with a heap of pairs over a linked list of symbols."""
         merges, n = self.merges, len(symbols)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(*merges[p], k, p) for k, p in enumerate(zip(symbols, symbols[1:], strict=False)) if p in merges]
-        heap = [(rank, k, made, p) for rank, made, k, p in heap]
+        heap = [(merges[p] // ID_SPACE, k, merges[p] % ID_SPACE, p) for k, p in enumerate(zip(symbols, symbols[1:], strict=False)) if p in merges]
         heapq.heapify(heap)
         gone = -1
         while heap:
@@ -238,7 +244,7 @@ class Bpe:
                 if left >= 0 and after[left] < n:
                     new = (symbols[left], symbols[after[left]])
                     if new in merges:
-                        rank, into = merges[new]
+                        rank, into = divmod(merges[new], ID_SPACE)
                         heapq.heappush(heap, (rank, left, into, new))
         return [s for s in symbols if s != gone]
 
