@@ -5,12 +5,14 @@ from __future__ import annotations
 from quayline.llm import decontaminate
 from quayline.llm.bpe import op1_bpe
 from quayline.llm.decontaminate import op6_decontaminate
+from quayline.llm.secrets import op9_secrets
 from quayline.llm.token_files import op3_token_files
 
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op3_token_files": op3_token_files,
     "op6_decontaminate": op6_decontaminate,
+    "op9_secrets": op9_secrets,
 }
 ORACLES = {
     "op6_decontaminate": decontaminate.ORACLE,
