@@ -7,11 +7,13 @@ from quayline.llm.bpe import op1_bpe
 from quayline.llm.decontaminate import op6_decontaminate
 from quayline.llm.secrets import op9_secrets
 from quayline.llm.token_files import op3_token_files
+from quayline.llm.urls import op8_urls
 
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op3_token_files": op3_token_files,
     "op6_decontaminate": op6_decontaminate,
+    "op8_urls": op8_urls,
     "op9_secrets": op9_secrets,
 }
 ORACLES = {

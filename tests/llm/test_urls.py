@@ -1,0 +1,88 @@
+import math
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from quayline.llm import urls as u
+
+URLS = [
+    "http://A.B.Example.ORG/es/x?q=1#f",
+    "https://example.org/en/123",
+    "https://example.org/en/23",
+    "https://badexample.org/es/1",
+    "x://org/",
+    "x://org",
+    "x://com/fr/?a=b&c=d",
+    "x://de.com/de/",
+    "x://a.net?://b.org/",
+    "no scheme",
+    "",
+    None,
+    "http://h.net/a://b/c",
+    "http://h.net#/x",
+    "http://" + "sub." * 5000 + "org/" + "p/" * 20_000 + "?x=" + "1" * 50_000,
+]
+
+
+def plain(url):
+    """Host, path, rule and its verdict as the contract words them."""
+    host = path = ""
+    if url and "://" in url:
+        rest = url.split("://", 1)[1]
+        cut = min([rest.find(c) for c in "/?#" if c in rest] or [len(rest)])
+        host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in rest[:cut])
+        path = rest[cut:].split("?")[0].split("#")[0]
+    best = None
+    for verdict, rule in u.RULES:
+        rule_host, tail = rule.split("/", 1)
+        if (host == rule_host or host.endswith("." + rule_host)) and path.startswith("/" + tail):
+            if best is None or len(rule) > len(best[0]):
+                best = (rule, verdict)
+    return host, path, *(best or (None, None))
+
+
+def test_parts_and_rules(spark):
+    extra = [(i, v, "x") for i, v in enumerate(URLS)] + [(0, URLS[0], "y")]
+    rows = u.judge_urls(spark.createDataFrame(extra, "page_id long, url string, host string")).collect()
+    assert len(rows) == len(extra)
+    for r in rows:
+        host, path, rule, verdict = plain(URLS[r.page_id])
+        assert (r.host, r.path, r.rule) == (host, path, rule)
+        assert r.verdict == (verdict or r.verdict) and r.verdict in ("allow", "block")
+        assert (r.block_score is None) == (rule is not None)
+
+
+def test_entropy(spark):
+    for text in ("", "a", "aabbc", "http://é.org/ßß"):
+        df = spark.createDataFrame([(text,)], "url string")
+        got = df.select(u.lexical(F.col("url"), F.lit("h"), F.lit("/p"))["entropy"]).first()[0]
+        want = -sum(n / len(text) * math.log2(n / len(text)) for n in Counter(text).values())
+        assert got == pytest.approx(want, abs=1e-9)
+
+
+def test_without_labels_or_with_one_kind(spark):
+    pages = lambda *urls: spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    assert [r.verdict for r in u.judge_urls(pages("x://a.net/", None)).collect()] == ["allow", "allow"]
+    assert {r.verdict for r in u.judge_urls(pages("x://com/de/", "x://a.net/")).collect()} == {"block"}
+    assert u.judge_urls(pages("x").limit(0)).count() == 0
+
+
+def test_trees_learn_held_out_labels(spark):
+    """Labels by paths that no suffix gives away: trees must find the long paths."""
+    urls = [f"http://h{i % 7}.net/{'a' * (5 if i % 2 else 60)}{i}" for i in range(600)]
+    rules = [("block" if i % 2 == 0 else "allow", f"h{i % 7}.net/{'a' * (5 if i % 2 else 60)}{i}") for i in range(300)]
+    rows = u.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules=rules).collect()
+    held = [r for r in rows if r.rule is None]
+    assert len(held) > 250
+    assert sum((r.verdict == "block") == (r.page_id % 2 == 0) for r in held) > 0.95 * len(held)
+
+
+def test_query(spark):
+    sf = "/root/testdata/sf0.001"
+    pages = {r.page_id: r.url for r in spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url").collect()}
+    rows = u.op8_urls(spark, sf).collect()
+    assert sorted(r.page_id for r in rows) == sorted(pages)
+    for r in rows:
+        host, path, rule, verdict = plain(pages[r.page_id])
+        assert (r.host, r.path, r.rule) == (host, path, rule) and verdict in (None, r.verdict)
