@@ -21,8 +21,6 @@ ROUNDS = 200
 START = 0.9
 #: Pseudo-counts: a labeller is expected to be right rather than wrong.
 EXPECTED = {"good": {"+": 2.0, "-": 0.1, "0": 2.0}, "bad": {"+": 0.5, "-": 2.0, "0": 2.0}}
-#: A vote for bad counts at least so much, in log odds.
-LEAST_ODDS = math.log(3)
 
 
 def vote(good: Column, bad: Column) -> Column:
@@ -62,7 +60,7 @@ def fit(counts: dict[str, int], rounds: int = ROUNDS) -> tuple[dict[str, float],
                 r[kind] = {v: x / whole for v, x in r[kind].items()}
         odds_of = [{v: math.log(r["good"][v] / r["bad"][v]) for v in "+-0"} for r in rates]
         for odds in odds_of:  # a vote never counts for its opposite
-            odds["-"], odds["+"] = min(odds["-"], -LEAST_ODDS), max(odds["+"], 0.0)
+            odds["-"], odds["+"] = min(odds["-"], 0.0), max(odds["+"], 0.0)
         new = {}
         for p in counts:
             odds = math.log(share / (1 - share)) + sum(odds_of[j][v] for j, v in enumerate(p))
