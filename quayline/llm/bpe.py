@@ -70,9 +70,10 @@ class Remembered(dict):
             self.clear()
 
 
-class Bpe:
-    """One tokenizer file.  ``encode`` gives ids as little-endian unsigned 32-bit
-    integers in one byte string, ``decode`` takes a sequence of ids."""
+class Pieces:
+    """What comes before and after merging in one tokenizer file: added tokens,
+    normalisation, cutting into pieces, decoding.  ``encode`` gives ids as little-endian
+    unsigned 32-bit integers in one byte string, ``decode`` takes a sequence of ids."""
 
     def __init__(self, spec_text: str):
         spec = json.loads(spec_text)
@@ -81,22 +82,14 @@ class Bpe:
             raise ValueError("only plain byte-level BPE files are understood")
         self._read_normalizer(spec.get("normalizer"))
         self._read_pieces(spec["pre_tokenizer"])
-        self.suffix = model.get("end_of_word_suffix") or ""
-        vocab: dict[str, int] = model["vocab"]
-        pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-        # (left id, right id) -> rank and id of the merged token in one number
-        self.merges = {(vocab[a], vocab[b]): rank * ID_SPACE + vocab[a + b] for rank, (a, b) in enumerate(pairs)}
-        letters = byte_letters()
-        self.inner = [vocab[c] for c in letters]
-        self.last = [vocab[c + self.suffix] for c in letters]
-        self.cuts = self._pairs_outside_tokens(vocab, {c: b for b, c in enumerate(letters)})
-        added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         if any(t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"] for t in spec.get("added_tokens", [])):
             raise ValueError("only added tokens that match literally are understood")
-        self.added = added
-        longest_first = sorted(added, key=len, reverse=True)
-        self.added_pattern = regex.compile("(" + "|".join(map(regex.escape, longest_first)) + ")") if added else None
-        self._read_decoder(spec.get("decoder"), vocab, letters)
+        self.added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+        longest_first = sorted(self.added, key=len, reverse=True)
+        self.added_pattern = regex.compile("(" + "|".join(map(regex.escape, longest_first)) + ")") if self.added else None
+        self.letters = byte_letters()
+        self._read_decoder(spec.get("decoder"), model["vocab"])
+        self._read_model(model, spec_text)
         self.words = Remembered(self._encode_text)
         self.pieces = Remembered(self._encode_piece)
 
@@ -128,20 +121,11 @@ class Bpe:
         # No piece holds white space: words between spaces can be encoded one by one.
         self.by_word = self.spaces and steps[0]["use_regex"] is False
 
-    @staticmethod
-    def _pairs_outside_tokens(vocab: dict[str, int], byte_of: dict[str, int]) -> set[tuple[int, int]]:
-        """The pairs of bytes that stand side by side inside no token."""
-        joined = set()
-        for token in vocab:
-            got = [byte_of[c] for c in token if c in byte_of]  # a suffix adds pairs, which only means fewer cuts
-            joined.update(zip(got, got[1:], strict=False))
-        return {(a, b) for a in range(256) for b in range(256)} - joined
-
-    def _read_decoder(self, rule: dict | None, vocab: dict[str, int], letters: list[str]) -> None:
+    def _read_decoder(self, rule: dict | None, vocab: dict[str, int]) -> None:
         if rule is not None and rule["type"] != "ByteLevel":
             raise ValueError(f"decoder {rule['type']} is not understood")
         self.glue = b" " if rule is None else b""
-        byte_of = {ord(c): b for b, c in enumerate(letters)}
+        byte_of = {ord(c): b for b, c in enumerate(self.letters)}
         self.token_bytes = {
             i: t.encode() if rule is None else bytes(byte_of[ord(c)] for c in t) for t, i in vocab.items()
         } | {i: t.encode() for t, i in self.added.items()}
@@ -181,6 +165,8 @@ class Bpe:
                 text = unicodedata.normalize("NFC", text)
         if self.lower:
             text = text.replace("Σ", "σ").lower()  # letter by letter, without the rule for a last sigma
+        if self.by_word and text.isalpha():
+            return self.pieces[text]  # letters alone are one piece
         return b"".join(map(self.pieces.__getitem__, self.pattern.findall(text)))
 
     def _encode_newer(self, text: str) -> bytes:
@@ -195,6 +181,29 @@ class Bpe:
         pieces = pre_tokenizers.Split(Regex(self.rule), "removed", invert=True).pre_tokenize_str(text)
         return b"".join(self.pieces[p] for p, _ in pieces)
 
+
+class Bpe(Pieces):
+    """Merging by forced-boundary splitting."""
+
+    def _read_model(self, model: dict, spec_text: str) -> None:
+        suffix = model.get("end_of_word_suffix") or ""
+        vocab: dict[str, int] = model["vocab"]
+        pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+        # (left id, right id) -> rank and id of the merged token in one number
+        self.merges = {(vocab[a], vocab[b]): rank * ID_SPACE + vocab[a + b] for rank, (a, b) in enumerate(pairs)}
+        self.inner = [vocab[c] for c in self.letters]
+        self.last = [vocab[c + suffix] for c in self.letters]
+        self.cuts = self._pairs_outside_tokens(vocab, {c: b for b, c in enumerate(self.letters)})
+
+    @staticmethod
+    def _pairs_outside_tokens(vocab: dict[str, int], byte_of: dict[str, int]) -> set[tuple[int, int]]:
+        """The pairs of bytes that stand side by side inside no token."""
+        joined = set()
+        for token in vocab:
+            got = [byte_of[c] for c in token if c in byte_of]  # a suffix adds pairs, which only means fewer cuts
+            joined.update(zip(got, got[1:], strict=False))
+        return {(a, b) for a in range(256) for b in range(256)} - joined
+
     def _encode_piece(self, piece: str) -> bytes:
         data = piece.encode("utf-8", "replace")
         symbols = [self.inner[b] for b in data]

@@ -20,66 +20,37 @@ Texts are encoded whole, whatever their length.
 
 from __future__ import annotations
 
-import json
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quayline.llm.bpe import Remembered, read_spec
+from quayline.llm.bpe import Pieces, read_spec
 from quayline.llm.tables import map_batches, read_table
 from quayline.session import run_folder
 
 
 
-class LibraryEncoder:
-    """The tokenizers library over whole texts, with words it has seen remembered.
+class LibraryEncoder(Pieces):
+    """The tokenizers library's model over the pieces of whole texts.
 
-    Where a file's pieces hold no white space, its encoding of a text is that of its
-    words one after the other; other files get each text whole.
+    Pieces are encoded independently of each other, so each is given to the library
+    once and then remembered.
     """
 
-    def __init__(self, spec_text: str):
+    def _read_model(self, model: dict, spec_text: str) -> None:
         from tokenizers import Tokenizer
 
-        spec = json.loads(spec_text)
-        self.library = Tokenizer.from_str(spec_text)
-        self.library.no_padding()
-        self.library.no_truncation()
-        steps = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])
-        rules = (spec.get("normalizer") or {}).get("normalizers", [])
-        split = steps[0]
-        self.by_word = (
-            split.get("type") == "Split" and split["behavior"] == "Removed" and split["invert"]
-            and any(r["type"] == "Replace" and r["content"] == " " for r in rules)
-            and any(r["type"] == "Lowercase" for r in rules)
-        )
-        if self.by_word:
-            self.pattern = regex.compile(split["pattern"]["Regex"])
-        self.words = Remembered(self._word)
-        self.pieces = Remembered(self._whole)
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _word(self, word: str) -> bytes:
-        """A word's pieces repeat even more than words: ask the library for each once."""
-        if not word.isascii() or "<|" in word:
-            return self._whole(word)
-        return b"".join(map(self.pieces.__getitem__, self.pattern.findall(word.lower())))
-
-    def encode(self, text: str) -> bytes:
-        if not self.by_word:
-            return self._whole(text)
-        return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
-
-    def trim(self) -> None:
-        self.words.trim()
-        self.pieces.trim()
+        self.library = Tokenizer.from_str(spec_text).model
+
+    def _encode_piece(self, piece: str) -> bytes:
+        letters = self.letters
+        spelled = "".join([letters[b] for b in piece.encode("utf-8", "replace")])
+        return array("I", [t.id for t in self.library.tokenize(spelled)]).tobytes()
 
 
 ENCODERS: dict[str, LibraryEncoder] = {}
