@@ -43,6 +43,20 @@ BAND = 0.75
 #: Input bytes per bucket of signatures, and signatures per block on the way there.
 BUCKET_BYTES = 64 << 20
 BLOCK = 1 << 20
+#: Share of sets that may have to keep empty signatures, and how far spare parts are tried.
+RISK = 1e-4
+MOST_SPARE = 16
+
+
+def more_than(most: int, mean: float) -> float:
+    """The chance that a Poisson count exceeds ``most``."""
+    if mean > 600:
+        return 1.0
+    term = total = math.exp(-mean)
+    for k in range(1, most + 1):
+        term *= mean / k
+        total += term
+    return max(0.0, 1.0 - total)
 
 
 class Signer:
@@ -76,27 +90,32 @@ class Signer:
 
     @lru_cache(maxsize=None)  # noqa: B019
     def shape(self, band: int) -> tuple[int, int, int, int]:
-        """n1, n2, k2 and how many parts may be ignored, for one band.
+        """n1, n2, k2 and ``spare`` of one band: the fewest signatures that will do.
 
         ``spare`` parts are added beyond those that the pigeonhole principle needs, so
         that at least ``spare`` + 1 parts agree.  A set with at most ``spare`` parts
-        that have an empty signature can then leave its empty signatures away.
+        that have an empty signature can then leave its empty signatures away, which
+        would meet those of all other such sets.
         """
         low, high = self._edges(band)
         k = self.differences(2 * high)
         if k == 0:
             return 0, 0, 0, 0  # only equal sets are similar, and these are one class
-        if k <= 3:
-            return 1, k + 2, k, 0
-        spare = 0
-        for _ in range(20):
-            n1 = k // 2 + 1 + spare
-            empty = 2 * n1 * math.exp(-max(1, self.percent * low / 100) / (2 * n1))
-            new = math.ceil(empty + 4 * math.sqrt(empty) + 1)
-            if new <= spare:
-                break
-            spare = new
-        return k // 2 + 1 + spare, 2, 1, spare
+        least = -(-self.percent * (low + 1) // 100)
+        best = None
+        for k2 in range(min(k, 4) + 1):
+            for n2 in range(k2 + 1, k2 + 5) if k2 else (1,):
+                choices = math.comb(n2, k2)
+                for spare in range(MOST_SPARE + k // 4):
+                    n1 = k // (k2 + 1) + 1 + spare
+                    empty = min(1.0, choices * (1 - (n2 - k2) / (n1 * n2)) ** least)
+                    risk = more_than(spare, n1 * empty)
+                    cost = (True, risk) if risk > RISK else (False, n1 * choices)
+                    if best is None or cost < best[0]:
+                        best = cost, (n1, n2, k2, spare)
+                    if risk <= RISK:
+                        break
+        return best[1]
 
     def signatures(self, elements: np.ndarray) -> np.ndarray:
         """All signatures of a set, given as distinct 64-bit hashes."""
