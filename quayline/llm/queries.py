@@ -5,6 +5,7 @@ from __future__ import annotations
 from quayline.llm import decontaminate
 from quayline.llm.bpe import op1_bpe
 from quayline.llm.decontaminate import op6_decontaminate
+from quayline.llm.jaccard import op7_jaccard
 from quayline.llm.quality_rules import op5_quality_rules
 from quayline.llm.secrets import op9_secrets
 from quayline.llm.token_files import op3_token_files
@@ -15,6 +16,7 @@ QUERIES = {
     "op3_token_files": op3_token_files,
     "op5_quality_rules": op5_quality_rules,
     "op6_decontaminate": op6_decontaminate,
+    "op7_jaccard": op7_jaccard,
     "op8_urls": op8_urls,
     "op9_secrets": op9_secrets,
 }
