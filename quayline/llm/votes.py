@@ -43,6 +43,7 @@ def fit(counts: dict[str, int], rounds: int = ROUNDS) -> tuple[dict[str, float],
     """
     if not counts:
         return {}, [], 1.0
+    counts = dict(sorted(counts.items()))  # so that sums don't depend on the order of rows
     total, size = sum(counts.values()), len(next(iter(counts)))
     good = {p: START if p.count("+") > p.count("-") else 1 - START if "-" in p else 0.5 for p in counts}
     rates: list[dict[str, dict[str, float]]] = []
