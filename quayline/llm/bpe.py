@@ -270,6 +270,12 @@ def read_spec(path: str) -> str:
         return f.read()
 
 
+def id_lists(parts: list[bytes]) -> pa.ListArray:
+    """Encoded texts as one Arrow list column."""
+    ends = np.cumsum([0, *(len(p) // 4 for p in parts)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(parts), "<i4"), pa.int32()))
+
+
 def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The id column and ``ids array<int>`` of every row; other columns are left out."""
     spec = read_spec(tokenizer)
@@ -279,10 +285,7 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
 
         def one(batch: pa.RecordBatch) -> dict:
             coder.trim()
-            parts = [coder.encode(t) for t in batch.column(1).to_pylist()]
-            ends = np.cumsum([0, *(len(p) // 4 for p in parts)])
-            values = pa.array(np.frombuffer(b"".join(parts), "<i4"), pa.int32())
-            return {id_col: batch.column(0), "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)}
+            return {id_col: batch.column(0), "ids": id_lists([coder.encode(t) for t in batch.column(1).to_pylist()])}
 
         return one
 
@@ -307,9 +310,10 @@ def decode(encoded: DataFrame, tokenizer: str, id_col: str = "doc_id", ids_col:
     return map_batches(encoded, [id_col, ids_col], f"`{id_col}` {kind}, text string", make)
 
 
-def round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode and decode every text in one pass: ``n_tokens``, and the SHA-256 of the
-    ids (little-endian unsigned 32-bit) and of the decoded text (UTF-8)."""
+def round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
+    """Encode and decode every text in one pass: ``n_tokens``, the SHA-256 of the ids
+    (little-endian unsigned 32-bit) and of the decoded text (UTF-8), and on request
+    the ``ids`` themselves."""
     spec = read_spec(tokenizer)
 
     def make():
@@ -317,21 +321,22 @@ def round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
 
         def one(batch: pa.RecordBatch) -> dict:
             coder.trim()
-            counts, ids_digests, text_digests = [], [], []
+            counts, ids_digests, text_digests, all_ids = [], [], [], []
             for text in batch.column(1).to_pylist():
                 ids = coder.encode(text)
                 decoded = coder.decode(np.frombuffer(ids, "<u4").tolist())
                 counts.append(len(ids) // 4)
                 ids_digests.append(hashlib.sha256(ids).hexdigest())
                 text_digests.append(hashlib.sha256(decoded.encode("utf-8")).hexdigest())
-            return {
-                id_col: batch.column(0), "n_tokens": counts, "ids_sha256": ids_digests, "decoded_sha256": text_digests
-            }
+                if keep_ids:
+                    all_ids.append(ids)
+            made = {id_col: batch.column(0), "n_tokens": counts, "ids_sha256": ids_digests, "decoded_sha256": text_digests}
+            return made | {"ids": id_lists(all_ids)} if keep_ids else made
 
         return one
 
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    schema = f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
     return map_batches(docs, [id_col, text_col], schema, make)
 
 

@@ -34,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from quayline.llm.hashing import U, mix, shingle_hashes, text_bytes, word_hashes
 from quayline.llm.tables import bucket_count, map_batches, read_table, written
@@ -342,8 +343,9 @@ def class_sets(texts: DataFrame, size: int) -> DataFrame:
 def similarity_groups(
     docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """Per row: the id column, ``n_shingles``, ``class`` and ``component_id``, the least
-    id that links of at least ``percent`` similarity reach."""
+    """Per row: the id column, ``n_shingles``, ``class``, ``group`` (one number per
+    component; null for empty sets) and ``component_id``, the least id that links of at
+    least ``percent`` similarity reach."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     classes = written(document_classes(rows, size), "classes")
     labels = class_components(rows, classes, size, percent)
@@ -353,11 +355,32 @@ def similarity_groups(
         named.groupBy("label").agg(F.min("least").alias("component_id")), "label"
     )
     return classes.join(found, classes["class"] == found["of"], "left").select(
-        F.col("id").alias(id_col), "n_shingles", "class",
+        F.col("id").alias(id_col), "n_shingles", "class", F.col("label").alias("group"),
         F.when(F.col("class").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"),
     )
 
 
+def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` with one document of each component, that of the least id
+    (of rows with equal id and set, any one); texts without words all stay."""
+    groups = written(similarity_groups(docs, size, percent, id_col, text_col), "groups")
+    chosen = groups.where("class is not null").groupBy("group").agg(F.min(F.struct(F.col(id_col).isNull(), F.col(id_col).alias("id"), "class")).alias("kept"))
+    chosen = chosen.select(F.col("kept.id").alias("kept_id"), F.col("kept.class").alias("kept_class"))
+    name = "class_of_" + text_col
+
+    def tag(batches):
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(text_col))
+            sets = (document_set(data, size) for data in text_bytes(texts))
+            classes = pa.array([set_class(s) if len(s) else None for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, classes], names=[*batch.schema.names, name])
+
+    tagged = docs.mapInArrow(tag, StructType([*docs.schema.fields, StructField(name, LongType())]))
+    same = tagged[id_col].eqNullSafe(chosen["kept_id"]) & (tagged[name] == chosen["kept_class"])
+    kept = tagged.join(chosen, same, "left_semi").dropDuplicates([id_col, name])
+    return kept.unionByName(tagged.where(F.col(name).isNull())).drop(name)
+
+
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = similarity_groups(read_table(spark, sf_dir, "documents"), size=3, percent=90)
     return found.select("doc_id", "n_shingles", "component_id", "class")
