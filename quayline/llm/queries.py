@@ -7,6 +7,7 @@ from quayline.llm.bpe import op1_bpe
 from quayline.llm.decontaminate import op6_decontaminate
 from quayline.llm.jaccard import op7_jaccard
 from quayline.llm.languages import op10_languages
+from quayline.llm.pitman_yor import op2_lm
 from quayline.llm.quality_model import op4_quality
 from quayline.llm.quality_rules import op5_quality_rules
 from quayline.llm.secrets import op9_secrets
@@ -15,6 +16,7 @@ from quayline.llm.urls import op8_urls
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_lm": op2_lm,
     "op3_token_files": op3_token_files,
     "op4_quality": op4_quality,
     "op5_quality_rules": op5_quality_rules,
