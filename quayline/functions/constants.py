@@ -118,7 +118,6 @@ BACKUP_RETENTION_DAYS = 30
 BUFFER_MB = (1, 64, 5)  # least, most, default
 BUFFER_SECONDS = (60, 900, 300)  # least, most, default
 SAMPLING_PERCENT = (1, 100, 100)  # least, most, default
-RETRY_SECONDS = 300
 
 # ---- fixed values: request-log rules of the sample firewall
 SCANNER_AGENTS = ("nikto", "sqlmap", "nmap", "dirbuster")

@@ -13,13 +13,27 @@ STRICT_JSON = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 
 
 def parsed_document(c: Column | str) -> Column:
-    """One JSON text -> VARIANT, NULL if the text is not exactly one document.
+    """One JSON text -> VARIANT, NULL if the text is not exactly one document."""
+    items = as_element(c)
+    alone = F.get(F.transform(F.array(items), lambda x: F.when(F.size(x) == 1, F.get(x, F.lit(0)))), F.lit(0))
+    return F.when(fits_object(c), alone)
 
-    Parsed as the only element of an array: plain parsing would stop at the end
-    of the first document and silently ignore a second one behind it.
+
+def as_element(c: Column | str) -> Column:
+    """The documents of a text that stands inside an array; NULL if malformed.
+
+    Plain parsing would stop at the end of the first document and silently ignore a
+    second one behind it.  A text can close the array itself, but no text closes both
+    an array and an object: ask ``fits_object`` too.
     """
-    items = F.from_json(F.concat(F.lit("["), col(c), F.lit("]")), "array<variant>", STRICT_JSON)
-    return F.get(F.transform(F.array(items), lambda x: F.when(F.size(x) == 1, F.get(x, F.lit(0)))), F.lit(0))
+    return F.from_json(F.concat(F.lit("["), col(c), F.lit("]")), "array<variant>", STRICT_JSON)
+
+
+def fits_object(c: Column | str) -> Column:
+    """Whether the text can stand as the value of a field of an object."""
+    wrapped = F.concat(F.lit('{"v":'), col(c), F.lit("}"))
+    parsed = F.from_json(wrapped, "v variant, _malformed string", {**STRICT_JSON, "columnNameOfCorruptRecord": "_malformed"})
+    return parsed.isNotNull() & parsed["_malformed"].isNull()
 
 
 def document(c: Column | str) -> Column:

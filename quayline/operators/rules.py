@@ -48,25 +48,25 @@ def evaluate_rules(logs: DataFrame, rules: Sequence[Rule], ts: str = "ts", defau
     """
     ordered = sorted(rules, key=lambda r: r.priority)
     rows, flags = logs, []
-    hit: dict[str, Column] = {}
+    hits: list[Column] = []  # by position: names may repeat
     for i, rule in enumerate(ordered):
         if rule.kind == "rate":
             flag = f"_rate_{i}"
             rows = rate_exceeded(rows, [rule.column], ts, rule.limit, rule.seconds, out=flag)
             flags.append(flag)
-            hit[rule.name] = F.col(flag)
+            hits.append(F.col(flag))
         elif rule.kind == "in_list":
-            hit[rule.name] = F.coalesce(F.col(rule.column).isin(list(rule.values)), F.lit(False))
+            hits.append(F.coalesce(F.col(rule.column).isin(list(rule.values)), F.lit(False)))
         elif rule.kind == "contains":
-            hit[rule.name] = contains_any(rule.column, rule.values)
+            hits.append(contains_any(rule.column, rule.values))
         else:
             raise ValueError(f"unknown rule kind: {rule.kind}")
     if not ordered:
         return logs.withColumn("action", F.lit(default)).withColumn("rule", F.lit(None).cast("string"))
     action = name = None
-    for rule in ordered:
-        action = (F if action is None else action).when(hit[rule.name], rule.action)
-        name = (F if name is None else name).when(hit[rule.name], rule.name)
+    for rule, hit in zip(ordered, hits, strict=True):
+        action = (F if action is None else action).when(hit, rule.action)
+        name = (F if name is None else name).when(hit, rule.name)
     return rows.withColumn("action", action.otherwise(default)).withColumn("rule", name).drop(*flags)
 
 

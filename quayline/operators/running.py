@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 MICROS = 1_000_000
 QUANTILE_ACCURACY = 10_000
-MOST_SLICES = 4096
+# What Spark's sketch of frequent items can be asked for.
+SKETCH_ITEMS = 100_000
 TRACKED_KEYS = 10_000
 
 
@@ -36,7 +37,7 @@ def hot_keys_and_bounds(
     One pass of sketches over the keys and the order.  An estimate that is off
     changes how evenly rows spread, never a result.
     """
-    slices = slices or min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), MOST_SLICES)
+    slices = slices or min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), SKETCH_ITEMS)
     if slices == 1:
         return [], []
     shares = [i / slices for i in range(1, slices)]

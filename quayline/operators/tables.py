@@ -126,7 +126,7 @@ def infer_schema(df: DataFrame, doc: str = "doc") -> T.StructType:
     """Typed columns that hold every top-level field of the documents.
 
     One aggregation over the table; only the merged schema reaches the driver.
-    Numbers become BIGINT or DOUBLE; a field that is of unlike types in different
+    Numbers become BIGINT or DOUBLE (which keeps 15 digits); a field that is of unlike types in different
     rows, or NULL in all, becomes text, so no value is lost.  Documents that are
     no objects have no fields.
     """
@@ -141,7 +141,18 @@ def infer_schema(df: DataFrame, doc: str = "doc") -> T.StructType:
 def _column_type(kind: T.DataType) -> T.DataType:
     if isinstance(kind, T.DecimalType):
         return T.DoubleType()
-    return T.StringType() if isinstance(kind, (T.VariantType, T.NullType)) else kind
+    return T.StringType() if isinstance(kind, T.VariantType) else _without_void(kind)
+
+
+def _without_void(kind: T.DataType) -> T.DataType:
+    """What is NULL in all rows becomes text, at any depth."""
+    if isinstance(kind, T.NullType):
+        return T.StringType()
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(_without_void(kind.elementType))
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, _without_void(f.dataType)) for f in kind.fields])
+    return kind
 
 
 def read_typed(spark: SparkSession, root: str, table: str, namespace: tuple[str, str] | None = None) -> DataFrame:

@@ -80,7 +80,7 @@ def url_parts(spark, sf_dir):
         site, F.lit("acme"), F.lit("web logs"), F.concat(F.lit("page%5F"), "page_id"), F.array(F.lit("timestamp"), F.lit("c-ip"))
     )
     made = pages.select("page_id", "url", endpoint.alias("endpoint"))
-    path = F.substring("endpoint", 1, 100000)
+    path = F.col("endpoint")
     path = F.regexp_replace(path, "^https?://[^/]+", "")
     return made.select(
         "page_id",

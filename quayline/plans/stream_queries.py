@@ -51,6 +51,22 @@ def stream_resume(spark, sf_dir):
     return read_table(spark, root, "orders", schema)
 
 
+def stream_shared(spark, sf_dir):
+    """Two streams into one table, one of them started again from an empty checkpoint
+    when its files were replaced by others, and one run again without new files."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    root = run_folder(spark, "lake")
+    for status, checkpoints in (("F", 1), ("O", 1), ("P", 2)):
+        some = rows.where(F.col("o_orderstatus") == status)
+        for k in range(checkpoints):
+            half = some.where(F.pmod("o_orderkey", F.lit(checkpoints)) == k)
+            folder, checkpoint = staged_json(spark, half, f"shared-{status}"), run_folder(spark, "checkpoint")
+            for _ in range(2):
+                drain(ingest_stream(stream_objects(spark, folder, "json", layout="lines"), root, "orders", checkpoint))
+    schema = "o_orderkey bigint, o_orderstatus string, o_orderpriority string"
+    return read_table(spark, root, "orders", schema)
+
+
 def stream_dedup(spark, sf_dir):
     """Order lines as deliveries of their order: one stays per order."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_shipdate").cast("timestamp").alias("at"))
@@ -128,6 +144,7 @@ def stream_rate(spark, sf_dir):
 QUERIES = {
     "stream_ingest": stream_ingest,
     "stream_resume": stream_resume,
+    "stream_shared": stream_shared,
     "stream_dedup": stream_dedup,
     "stream_delivery": stream_delivery,
     "stream_backup": stream_backup,
@@ -140,6 +157,7 @@ ORACLES = {
     "stream_ingest": """
         SELECT event_id, user_id, event_type, value, props FROM events WHERE event_type IN ('click', 'view')""",
     "stream_resume": "SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders",
+    "stream_shared": "SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders",
     "stream_dedup": "SELECT DISTINCT l_orderkey FROM lineitem",
     "stream_rate": """
         WITH w AS (

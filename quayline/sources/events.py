@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quayline.functions.constants import CDN_DEFAULT_FIELDS
-from quayline.functions.documents import STRICT_JSON
+from quayline.functions.documents import STRICT_JSON, as_element
 from quayline.functions.names import endpoint_part
 from quayline.functions.rows import computed_once
 from quayline.functions.text import base64_texts, url_decode_plus
@@ -63,7 +63,9 @@ def delivery_requests(df: DataFrame, body_col: str = "body", header_id_col: str
     )
     header = F.col(header_id_col) if header_id_col else F.lit(None).cast("string")
     request = F.col("_parsed.r")
-    valid = F.col("_parsed").isNotNull() & F.col("_parsed._malformed").isNull()
+    # Nor may it close that object: it must also be the only element of an array.
+    alone = F.coalesce(F.size(as_element(body_col)) == 1, F.lit(False))
+    valid = F.col("_parsed").isNotNull() & F.col("_parsed._malformed").isNull() & alone
     data = F.transform(F.when(valid, request.records), lambda r: F.coalesce(r["data"], F.lit("")))
     return computed_once(
         df.withColumn("_parsed", parsed),

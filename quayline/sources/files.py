@@ -65,19 +65,17 @@ def json_lines(df: DataFrame, or_else: Column | None = None) -> DataFrame:
 def json_whole(df: DataFrame) -> DataFrame:
     """``key, body`` (one row per file) -> ``key, doc``.
 
-    If every non-blank line of a body is a document by itself the file is JSON
-    Lines; otherwise the body is one array or one document.  An array yields its
-    elements.
+    If the first line that is not blank is a document by itself the file is JSON
+    Lines, and a line that is none is kept as text; otherwise the body is one array or
+    one document.  An array yields its elements.
     """
     body = _strip("body")
     lines = F.filter(F.split(body, "\n", -1), lambda x: trim_space(x) != "")
     split = computed_once(df.select("key", "body"), {"body": body, "lines": lines})
-    # The first line of an array or of an indented document rarely parses; the
-    # other lines are tried only if it does.
     first_parses = (F.size("lines") == 0) | parsed_document(F.get("lines", F.lit(0))).isNotNull()
-    parsed = F.when(first_parses, F.transform("lines", parsed_document))
+    parsed = F.when(first_parses, F.transform("lines", lambda x: document(_strip(x))))
     tried = computed_once(split, {"parsed": parsed})
-    is_lines = F.coalesce(F.forall("parsed", lambda x: x.isNotNull()), F.lit(False))
+    is_lines = F.col("parsed").isNotNull()
     of_lines = F.flatten(F.transform("parsed", _elements))
     # Text after the end of an array makes the wrapped text malformed.
     wrapped = F.from_json(F.concat(F.lit('{"items":'), "body", F.lit("}")), "items array<variant>", STRICT_JSON)
@@ -85,8 +83,8 @@ def json_whole(df: DataFrame) -> DataFrame:
     return tried.select("key", F.explode(F.when(is_lines, of_lines).otherwise(of_body)).alias("doc"))
 
 
-def _strip(c: str):
-    return F.btrim(F.col(c), F.lit(BYTE_ORDER_MARK + " \t\r\n"))
+def _strip(c: Column | str):
+    return F.btrim(F.col(c) if isinstance(c, str) else c, F.lit(BYTE_ORDER_MARK + " \t\r\n"))
 
 
 def _elements(doc):
@@ -122,8 +120,9 @@ def scan_json(
     ``lines`` splits big files over tasks; ``whole`` holds one file at a time in
     memory, of 2 GB at most, as an array cannot be split; ``auto``
     reads ``.jsonl``/``.ndjson`` names as lines and looks into all others.  Files
-    over ``whole_file_limit`` bytes are always read as lines by ``auto``; if such
-    a file holds an array or an indented document the query fails and says so.
+    over ``whole_file_limit`` bytes, which no task should hold, are read as lines by
+    ``auto`` with the same result; if such a file holds an array or an indented
+    document over many lines the query stops and says so.
     Gzip is decoded by file name.
 
     ``lines`` with a schema parses straight into columns, without documents in
@@ -159,7 +158,10 @@ def scan_json(
         # each scan drops the files of the other while it is planned.
         by_line = named_as_lines() | (F.col("_metadata.file_size") > whole_file_limit)
         some_lines = lines().where(by_line).withColumn("named_as_lines", named_as_lines())
-        rows = json_lines(some_lines, _text_or_error()).unionByName(json_whole(whole().where(~by_line)))
+        big = json_lines(some_lines.where(~F.col("named_as_lines")), _text_or_error())
+        named = json_lines(some_lines.where("named_as_lines"))
+        big = big.select("key", F.explode(_elements(F.col("doc"))).alias("doc"))  # as in files that are held whole
+        rows = named.unionByName(big).unionByName(json_whole(whole().where(~by_line)))
     return _typed(rows, schema, keep_key)
 
 
@@ -243,4 +245,6 @@ def read_objects(
         return scan_csv(spark, root, **keys)
     if fmt == "parquet":
         return scan_parquet(spark, root, merge_schema=True, as_documents=True, **keys)
+    if fmt != "json":
+        raise ValueError(f"unknown format: {fmt}")
     return scan_json(spark, root, layout, **keys)

@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from quayline.operators.changes import change_rows, latest
 from quayline.operators.tables import write_routed
 from quayline.operators.writes import write_partitioned
-from quayline.streaming.ingest import AVAILABLE_NOW
+from quayline.streaming.ingest import AVAILABLE_NOW, load_name
 
 IDENTITY = ("schema", "table")
 
@@ -82,7 +82,7 @@ def cdc_stream(
     def write(batch: DataFrame, number: int) -> None:
         batch.persist()
         try:
-            write_routed(change_rows(batch), log_root, f"{name}-{number}")
+            write_routed(change_rows(batch), log_root, load_name(batch, name, number))
             if current_root is not None:
                 merge_changes(batch, current_root, keys, buckets)
         finally:

@@ -14,7 +14,7 @@ from quayline.operators.backups import with_backup, write_backup
 from quayline.operators.deliveries import classify_deliveries, explode_records
 from quayline.operators.tables import write_routed
 from quayline.sources.events import delivery_requests, route
-from quayline.streaming.ingest import AVAILABLE_NOW
+from quayline.streaming.ingest import AVAILABLE_NOW, load_name
 
 ENVELOPE = ("method", "path", "access_key", "header_request_id", "body", "arrived")
 
@@ -87,7 +87,7 @@ def delivery_stream(
     )
 
     def write(batch: DataFrame, number: int) -> None:
-        load_id = f"{name}-{number}"
+        load_id = load_name(batch, name, number)
         batch.persist()
         try:
             write_routed(delivered_rows(batch), table_root, load_id)

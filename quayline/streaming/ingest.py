@@ -79,6 +79,16 @@ def stream_objects(
     return json_lines(lines.where(named_as_lines())).unionByName(json_whole(whole.where(~named_as_lines())))
 
 
+def load_name(batch: DataFrame, name: str, number: int) -> str:
+    """The name of a micro-batch's load: that of the query, whose id its checkpoint
+    keeps, and the batch's number.  A repeated batch has the same name; two queries,
+    or one that starts again from an empty checkpoint, never share one."""
+    query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+    if not query:
+        raise RuntimeError("a load is named within a streaming query only")
+    return f"{name}-{query}-{number}"
+
+
 def ingest_stream(
     rows: DataFrame,
     table_root: str,
@@ -90,12 +100,13 @@ def ingest_stream(
 ) -> StreamingQuery:
     """Append a stream of ``key, doc`` to a table.
 
-    Each micro-batch is one load named after its number: a batch that is
-    repeated after a failure replaces itself, so every row arrives once.
+    Each micro-batch is one load named after the query and its number: a batch that
+    is repeated after a failure replaces itself, so every row arrives once, and
+    streams into one table leave each other's loads alone.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        append_table(batch, table_root, table, f"{name}-{number}", namespace, origin=F.col("key"))
+        append_table(batch, table_root, table, load_name(batch, name, number), namespace, origin=F.col("key"))
 
     return (
         rows.writeStream.foreachBatch(write)

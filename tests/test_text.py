@@ -71,11 +71,11 @@ def test_format_prefix_pattern(spark):
 
 def test_safe_name(spark):
     raw = [
-        "my_org-my_project-my_table",
-        "MyOrg-MyProject-Events",
-        "org@name-proj!ect-tab.le",
-        "very-long-organization-name-very-long-project-name-very-long-table-name-extra",
-        "__--__",
+        "harbour_north-cranes_2-lift_log",
+        "Harbour-NorthCranes-LiftLog",
+        "h?rb#ur-cr*nes-l:ft",
+        "-".join(["harbour"] * 9),
+        "_-_-_",
     ]
     got = values(spark, raw, names.safe_name)
     assert got == values(spark, raw, names.safe_name)
@@ -84,7 +84,7 @@ def test_safe_name(spark):
         assert 10 <= len(name) <= 40
         assert set(name) <= set("abcdefghijklmnopqrstuvwxyz0123456789-")
         assert name[0] != "-" and name[-1] != "-" and "--" not in name
-    assert got[0].startswith("my-org-my-project-my-table-")
+    assert got[0].startswith("harbour-north-cranes-2-lift-log-")
     assert got[4].startswith("-") and len(got[4]) == 9
 
 
