@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quayline.functions.constants import FORMAT_EXTENSIONS
-from quayline.functions.documents import STRICT_JSON, document, parsed_document, typed_columns
+from quayline.functions.documents import STRICT_JSON, document, parsed_document, type_text, typed_columns
 from quayline.functions.rows import computed_once
 from quayline.functions.text import trim_space
 from quayline.sources.objects import file_key, load_keys
@@ -182,8 +182,9 @@ def scan_csv(
 
     Without a schema a row becomes a document whose values keep the scalar type
     they look like.  With one, columns are read by name of the header, so files
-    whose columns differ or are ordered differently still line up.  A quote in a
-    quoted value is doubled; ``multi_line`` allows line breaks in quoted values,
+    whose columns differ or are ordered differently still line up; values go from
+    their text straight to the column's type, so a text column keeps every sign of
+    ``01234`` or ``1.10``.  A quote in a quoted value is doubled; ``multi_line`` allows line breaks in quoted values,
     at the price of reading each file in one task.
 
     ``same_header`` says that every file has just the columns of the schema in its
@@ -192,12 +193,42 @@ def scan_csv(
     """
     read = _reader(spark, fmt).options(header=header, escape='"', multiLine=multi_line)
     by_position = schema is not None and (same_header or not header)
+    if schema is not None and not by_position:
+        return _csv_by_name(spark, root, schema, fmt, multi_line, (prefix, pattern, internal_prefixes), keep_key)
     read = read.option("enforceSchema", not same_header)
     read = read.schema(schema) if by_position else read.option("singleVariantColumn", "doc")
     rows = load_keys(read.csv, root, lambda: file_key(root), prefix, pattern, internal_prefixes)
     if by_position:
         return rows if keep_key else rows.drop("key")
-    return _typed(rows.select("key", "doc"), schema, keep_key)
+    return rows.select("key", "doc")
+
+
+def _csv_by_name(
+    spark: SparkSession, root: str, schema: T.StructType | str, fmt: str | None, multi_line: bool, keys: tuple, keep_key: bool
+) -> DataFrame:
+    """Typed columns by the names in each file's own header, one row per file of which
+    is joined to the file's rows; the rows themselves are parsed as text."""
+    schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    lines = load_keys(_reader(spark, fmt).text, root, lambda: file_key(root), *keys)
+    starts = lines.where((F.col("_metadata.file_block_start") == 0) & (trim_space("value") != ""))
+    placed = starts.select("key", "value", F.monotonically_increasing_id().alias("_line"))
+    heads = placed.groupBy("key").agg(F.min_by("value", "_line").alias("head"))
+    width = heads.agg(F.max(F.size(F.split("head", ",")))).first()[0] or 1
+    places = T.StructType([T.StructField(f"_{k}", T.StringType()) for k in range(width)])
+    names = F.from_csv(F.ltrim("head", F.lit(BYTE_ORDER_MARK)), places.simpleString()[len("struct<") : -1].replace(":", " "), {"escape": '"'})
+    heads = heads.select(F.col("key").alias("_of"), names.alias("_names"))
+    heads = heads.select("_of", F.array(*[F.col(f"_names._{k}") for k in range(width)]).alias("_names"))
+    read = _reader(spark, fmt).options(header=True, escape='"', multiLine=multi_line, enforceSchema=True).schema(places)
+    rows = load_keys(read.csv, root, lambda: file_key(root), *keys)
+    rows = rows.select("key", F.array(*places.names).alias("_values")).join(heads, F.col("key") == F.col("_of"))
+
+    def value(f: T.StructField) -> Column:
+        text = F.get("_values", F.array_position("_names", F.lit(f.name)).cast("int") - 1)
+        if isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType, T.VariantType)):
+            return F.try_variant_get(document(text), "$", type_text(f.dataType))
+        return text.try_cast(f.dataType)
+
+    return rows.select(*(["key"] if keep_key else []), *[value(f).alias(f.name) for f in schema.fields])
 
 
 def scan_parquet(

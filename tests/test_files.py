@@ -129,6 +129,21 @@ def test_no_text_breaks_out_of_a_wrapper(spark, text):
     assert df.select(F.to_json(document("t"))).first()[0] == json.dumps(text)
 
 
+def test_csv_text_stays_as_it_is(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('zip,version,flag,n\n01234,1.10,TRUE,1e3\n,"a ""b"", c",x,2\n')
+    (tmp_path / "b.csv").write_text('n,extra,zip\n7,q,00\n')
+    rows = scan_csv(spark, str(tmp_path), schema="zip string, version string, flag string, n double").collect()
+    assert Counter(map(tuple, rows)) == Counter([
+        ("01234", "1.10", "TRUE", 1000.0), (None, 'a "b", c', "x", 2.0), ("00", None, None, 7.0)
+    ])
+
+
+def test_csv_line_breaks_in_values(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('n,t\n1,"x\ny"\n2,z\n')
+    rows = scan_csv(spark, str(tmp_path), schema="n int, t string", multi_line=True).collect()
+    assert sorted(map(tuple, rows)) == [(1, "x\ny"), (2, "z")]
+
+
 def test_unknown_format(spark, tmp_path):
     with pytest.raises(ValueError):
         read_objects(spark, str(tmp_path), "orc")
