@@ -12,9 +12,10 @@ verified on the whole sets.
 
 Texts with equal sets are one class, and only classes are compared.  Within a group of
 classes that share a signature the most connected class is compared with all others,
-which settles most groups in as many comparisons as they have members; only members
-that are then still in unlike components are compared among each other.  So all links
-that matter for components are found, without all pairs of a group.
+which settles most groups in as many comparisons as they have members.  Members that
+are then still in unlike components are compared by sketches first (every differing
+element changes at most one of 256 parts), and verified if these let them be similar.
+So all links that matter for components are found, without all pairs of a group.
 
 Hashes of words, n-grams and sets have 64 bits (see ``hashing``).
 
@@ -44,6 +45,9 @@ BAND = 0.75
 #: Input bytes per bucket of signatures, and signatures per block on the way there.
 BUCKET_BYTES = 64 << 20
 BLOCK = 1 << 20
+#: Members of a group that are compared with each other in one place, parts of a sketch.
+GROUP_BLOCK = 1024
+SKETCH = 256
 #: Share of sets that may have to keep empty signatures, and how far spare parts are tried.
 RISK = 1e-4
 MOST_SPARE = 16
@@ -307,11 +311,9 @@ def class_components(docs: DataFrame, classes: DataFrame, size: int, percent: in
     labels = components(links)
     # Groups that are not one component yet: compare what lies in unlike components.
     named = members.join(labels, "class", "left").select("sig", "class", F.coalesce("label", "class").alias("label"))
-    split = named.groupBy("sig").agg((F.min("label") != F.max("label")).alias("split")).where("split").select("sig")
-    rest = written(named.join(split, "sig"), "unsettled")
-    one = rest.select("sig", F.col("class").alias("a"), F.col("label").alias("label_a"))
-    two = rest.select("sig", F.col("class").alias("b"), F.col("label").alias("label_b"))
-    pairs = one.join(two, "sig").where("a < b and label_a <> label_b").select("a", "b").distinct()
+    split = named.groupBy("sig").agg(F.count("*").alias("size"), (F.min("label") != F.max("label")).alias("split"))
+    rest = named.join(split.where("split").select("sig", "size"), "sig")
+    pairs = unlike_pairs(rest.join(sets.select("class", "sketch", F.size("elements").alias("n")), "class"), percent)
     tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = written(verified(pairs.join(tried, ["a", "b"], "left_anti"), sets, percent), "links")
     if more.limit(1).count() == 0:
@@ -319,25 +321,85 @@ def class_components(docs: DataFrame, classes: DataFrame, size: int, percent: in
     return components(links.union(more))
 
 
+def unlike_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes of one signature but of unlike labels, as far as sizes and
+    sketches let them be similar.
+
+    Rows are (sig, size of its group, class, label, sketch, n).  A large group is dealt
+    into blocks, each pair of blocks to its own place, so no task holds more than two
+    blocks of a group; pairs that can't be similar never leave numpy.
+    """
+    blocks = F.ceil(F.col("size") / GROUP_BLOCK).cast("int")
+    dealt = rows.select("*", blocks.alias("blocks")).select("*", F.pmod("class", "blocks").cast("int").alias("own"))
+    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    tasks = 8 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    first, second = F.least("own", "other"), F.greatest("own", "other")
+    dealt = dealt.select(
+        "sig", first.alias("i"), second.alias("j"), "own", "class", "label", "sketch", "n",
+        F.pmod(F.xxhash64("sig", first, second), F.lit(tasks)).alias("task"),
+    )
+
+    def compare(table: pa.Table) -> pa.Table:
+        sig, i, j, own, name, label, n = (table[c].to_numpy() for c in ("sig", "i", "j", "own", "class", "label", "n"))
+        sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint16).reshape(len(sig), SKETCH)
+        order = np.lexsort((j, i, sig))
+        turns = np.flatnonzero((np.diff(sig[order], prepend=sig[order][0] - 1) != 0) | (np.diff(i[order], prepend=-1) != 0) | (np.diff(j[order], prepend=-1) != 0))
+        left, right = [], []
+        for start, end in zip(turns.tolist(), [*turns[1:].tolist(), len(order)], strict=True):
+            group = order[start:end]
+            one, two = group[own[group] == i[group[0]]], group[own[group] == j[group[0]]]
+            for k in range(0, len(one), 64):
+                some = one[k : k + 64]
+                unlike = label[some][:, None] != label[two][None, :]
+                x, y = np.nonzero(unlike & (name[some][:, None] < name[two][None, :]) | unlike & (i[group[0]] != j[group[0]]))
+                if not len(x):
+                    continue
+                x, y = some[x], two[y]
+                most = (100 - percent) * (n[x].astype(np.int64) + n[y]) // (100 + percent)
+                close = np.abs(n[x].astype(np.int64) - n[y]) <= most
+                x, y, most = x[close], y[close], most[close]
+                for at in range(0, len(x), 1 << 14):
+                    a, b = x[at : at + (1 << 14)], y[at : at + (1 << 14)]
+                    differ = (sketch[a] != sketch[b]).sum(axis=1)
+                    fits = differ <= most[at : at + (1 << 14)]
+                    left.append(name[a[fits]])
+                    right.append(name[b[fits]])
+        join = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        a, b = join(left), join(right)
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return dealt.groupBy("task").applyInArrow(compare, "a long, b long").distinct()
+
+
+def sketch_of(elements: np.ndarray) -> bytes:
+    """Sums of the elements' hashes in SKETCH parts: each differing element changes at
+    most one of them."""
+    place = mix(elements + U(0x2545F4914F6CDD1D))
+    sums = np.zeros(SKETCH, U)
+    np.add.at(sums, (place % U(SKETCH)).astype(np.int64), place >> U(16))
+    return (mix(sums) & U(0xFFFF)).astype(np.uint16).tobytes()
+
+
 def class_sets(texts: DataFrame, size: int) -> DataFrame:
-    """class, elements: the whole set of one document of each class."""
+    """class, elements, sketch: the whole set of one document of each class."""
 
     def make():
         def one(batch: pa.RecordBatch) -> dict:
             wanted = batch.column(2).to_pylist()
-            names, ends, values = [], [0], []
+            names, ends, values, sketches = [], [0], [], []
             for k, data in enumerate(text_bytes(batch.column(1))):
                 elements = document_set(data, size)
                 if len(elements) and set_class(elements) == wanted[k]:  # ids may repeat with unlike texts
                     names.append(wanted[k])
                     values.append(elements.view(np.int64))
+                    sketches.append(sketch_of(elements))
                     ends.append(ends[-1] + len(elements))
             flat = pa.array(np.concatenate(values) if values else np.zeros(0, np.int64))
-            return {"class": names, "elements": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)}
+            return {"class": names, "elements": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat), "sketch": sketches}
 
         return one
 
-    return map_batches(texts, ["id", "text", "class"], "class long, elements array<long>", make).dropDuplicates(["class"])
+    return map_batches(texts, ["id", "text", "class"], "class long, elements array<long>, sketch binary", make).dropDuplicates(["class"])
 
 
 def similarity_groups(
