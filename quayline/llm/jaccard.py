@@ -38,13 +38,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from quayline.llm.hashing import U, mix, shingle_hashes, text_bytes, word_hashes
+from quayline.llm.packing import pack, unpack
 from quayline.llm.tables import bucket_count, map_batches, read_table, written
 
 #: Each band's sizes reach from this share of its largest size, or from the similarity.
 BAND = 0.75
 #: Input bytes per bucket of signatures, and signatures per block on the way there.
 BUCKET_BYTES = 64 << 20
-BLOCK = 1 << 20
+BLOCK = 1 << 21
 #: Members of a group that are compared with each other in one place, parts of a sketch.
 GROUP_BLOCK = 1024
 SKETCH = 256
@@ -182,7 +183,8 @@ def document_classes(docs: DataFrame, size: int) -> DataFrame:
 def shared_signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """sig, class: every class under every signature that it shares with another class.
 
-    Signatures travel as blocks of 16 bytes each, sorted into buckets by a hash.  Within
+    Signatures travel as packed blocks, sorted into buckets by a hash: 48 bits of each
+    signature beside its bucket, and its class by place in the block's list.  Within
     a block each pair of signature and class stands once, and of a signature's classes
     only the least goes to the signature's bucket; the others, whose signature is shared
     already, are spread by class.  So a hot signature brings its bucket one pair per
@@ -198,6 +200,7 @@ def shared_signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
             sigs = np.concatenate([s for s, _ in held])
             classes = np.repeat(np.array([c for _, c in held], np.int64), [len(s) for s, _ in held])
             held.clear()
+            sigs = (sigs // U(buckets) & U((1 << 48) - 1)) * U(buckets) + sigs % U(buckets)
             order = np.lexsort((classes, sigs))
             sigs, classes = sigs[order], classes[order]
             first = np.ones(len(sigs), bool)
@@ -212,14 +215,16 @@ def shared_signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 cuts = np.flatnonzero(np.diff(where[by], prepend=-1))
                 s, c, x = sigs[mask][by], classes[mask][by], shared[mask][by]
                 for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(by)], strict=False):
-                    yield int(where[by[a]]), kind, s[a:b].tobytes(), c[a:b].tobytes(), x[a:b].tobytes()
+                    some, place = np.unique(c[a:b], return_inverse=True)
+                    short = pack(s[a:b] // U(buckets), 6) if kind == "one" else pack(s[a:b])
+                    yield int(where[by[a]]), kind, short, pack(some), pack(place.astype(np.int32)), pack(x[a:b].view(np.uint8))
 
         def out(rows):
             rows = list(rows)
             arrays = [pa.array([r[k] for r in rows], t) for k, t in enumerate(types)]
-            return pa.RecordBatch.from_arrays(arrays, names=["bucket", "kind", "sigs", "classes", "shared"])
+            return pa.RecordBatch.from_arrays(arrays, names=["bucket", "kind", "sigs", "classes", "places", "shared"])
 
-        types = [pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.binary()]
+        types = [pa.int64(), pa.string(), *[pa.binary()] * 4]
         waiting = 0
         for batch in batches:
             for data in text_bytes(batch.column(1)):
@@ -236,10 +241,12 @@ def shared_signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
     def meet(table: pa.Table) -> pa.Table:
         parts = {"one": ([], [], []), "more": ([], [], [])}
-        for kind, *blobs in zip(*(table[n].to_pylist() for n in ("kind", "sigs", "classes", "shared")), strict=True):
-            for into, blob in zip(parts[kind], blobs, strict=True):
-                into.append(blob)
-        join = lambda buffers, kind: np.frombuffer(b"".join(buffers), kind)
+        names = ("bucket", "kind", "sigs", "classes", "places", "shared")
+        for bucket, kind, sigs, classes, places, shared in zip(*(table[n].to_pylist() for n in names), strict=True):
+            short = unpack(sigs, U, 6) * U(buckets) + U(bucket) if kind == "one" else unpack(sigs, U)
+            for into, values in zip(parts[kind], (short, unpack(classes, np.int64)[unpack(places, np.int32)], unpack(shared, bool)), strict=True):
+                into.append(values)
+        join = lambda arrays, kind: np.concatenate([*arrays, np.zeros(0, kind)])
         sigs, classes, shared = (join(p, t) for p, t in zip(parts["one"], (U, np.int64, bool), strict=True))
         order = np.lexsort((classes, sigs))
         sigs, classes, shared = sigs[order], classes[order], shared[order]
@@ -256,7 +263,7 @@ def shared_signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
         })
 
     sent = docs.select("id", "text").mapInArrow(
-        blocks, "bucket long, kind string, sigs binary, classes binary, shared binary"
+        blocks, "bucket long, kind string, sigs binary, classes binary, places binary, shared binary"
     )
     return sent.groupBy("bucket").applyInArrow(meet, "sig long, class long")
 
