@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import time
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,11 +39,32 @@ def dedup_stream(
     return rows.withWatermark(arrived, horizon).dropDuplicatesWithinWatermark(list(keys))
 
 
+class SideBySide:
+    """Queries that run together: waiting and stopping mean all of them."""
+
+    def __init__(self, *queries: StreamingQuery):
+        self.queries = queries
+
+    def awaitTermination(self, timeout: int | None = None) -> bool | None:  # noqa: N802  as Spark's queries name it
+        end = None if timeout is None else time.monotonic() + timeout
+        try:
+            done = [q.awaitTermination(*([] if end is None else [max(1, int(end - time.monotonic()))])) for q in self.queries]
+        except Exception:
+            self.stop()
+            raise
+        return None if end is None else all(done)
+
+    def stop(self) -> None:
+        for q in self.queries:
+            q.stop()
+
+
 def classified_requests(requests: DataFrame, expected_key: str | None = None) -> DataFrame:
     """Envelope rows -> parsed, routed requests with their answer status.
 
     ``dedup_key`` is the request id of an accepted request; a rejected one does
-    not use its id up, so it is keyed by all it contains.
+    not use its id up, so it is keyed by all it contains.  A stream remembers keys of
+    accepted requests only.
     """
     parsed = route(delivery_requests(requests, "body", "header_request_id"))
     judged = classify_deliveries(parsed, expected_key)
@@ -74,31 +96,30 @@ def delivery_stream(
     horizon: str | None = None,
     name: str = "deliveries",
     trigger: dict | None = None,
-) -> StreamingQuery:
+) -> SideBySide:
     """Deliver a stream of request envelopes into tables.
 
-    Per micro-batch: classify, drop repeated requests, unnest, route, append; the
-    rejected requests (or all, by mode) go to the backup, from which they can be
-    replayed.  Lost tasks are run again by Spark, and a repeated batch replaces
-    its own load; what still fails after that stops the query at its checkpoint.
+    One query per micro-batch classifies, drops repeated requests, unnests, routes and
+    appends.  Another one writes the rejected requests (or all, by mode), repeated ones
+    too, to the backup, from which they can be replayed; it has a checkpoint of its
+    own beside the first, so a table that can't be written doesn't keep requests out of
+    the backup.  Lost tasks are run again by Spark, and a repeated batch replaces its
+    own load; what still fails after that stops the query at its checkpoint.
     """
-    judged = dedup_stream(
-        classified_requests(requests, expected_key), ["dedup_key"], "arrived" if horizon else None, horizon
+    judged = classified_requests(requests, expected_key)
+    accepted = dedup_stream(
+        judged.where(F.col("status") == 200), ["dedup_key"], "arrived" if horizon else None, horizon
     )
 
-    def write(batch: DataFrame, number: int) -> None:
-        load_id = load_name(batch, name, number)
-        batch.persist()
-        try:
-            write_routed(delivered_rows(batch), table_root, load_id)
-            _, backup = with_backup(batch, F.col("status") != 200, backup_mode)
-            write_backup(backup.select(*ENVELOPE, "status", "error"), backup_root, "arrived", load_id)
-        finally:
-            batch.unpersist()
-
-    return (
-        judged.writeStream.foreachBatch(write)
-        .option("checkpointLocation", checkpoint)
-        .trigger(**(trigger or AVAILABLE_NOW))
-        .start()
-    )
+    def deliver(batch: DataFrame, number: int) -> None:
+        write_routed(delivered_rows(batch), table_root, load_name(batch, name, number))
+
+    def keep(batch: DataFrame, number: int) -> None:
+        _, backup = with_backup(batch, F.col("status") != 200, backup_mode)
+        write_backup(backup.select(*ENVELOPE, "status", "error"), backup_root, "arrived", load_name(batch, name, number))
+
+    def start(rows: DataFrame, write: Callable[[DataFrame, int], None], folder: str) -> StreamingQuery:
+        query = rows.writeStream.foreachBatch(write).option("checkpointLocation", folder)
+        return query.trigger(**(trigger or AVAILABLE_NOW)).start()
+
+    return SideBySide(start(accepted, deliver, checkpoint), start(judged, keep, f"{checkpoint.rstrip('/')}-backup"))
