@@ -150,3 +150,10 @@ def test_no_rules_allow_everything(spark):
     assert {(x.action, x.rule) for x in r.evaluate_rules(logs(spark), []).collect()} == {("allow", None)}
     with pytest.raises(ValueError):
         r.evaluate_rules(logs(spark), [r.Rule("x", 1, "magic", "country")])
+
+
+def test_rules_of_one_name_keep_their_own_hits(spark):
+    rules = [r.Rule("r", 1, "in_list", "country", ("FR",), action="count"), r.Rule("r", 2, "in_list", "country", ("KP",))]
+    rows = spark.createDataFrame([("FR",), ("KP",), ("SE",)], "country string")
+    found = {x.country: (x.action, x.rule) for x in r.evaluate_rules(rows, rules).collect()}
+    assert found == {"FR": ("count", "r"), "KP": ("block", "r"), "SE": ("allow", None)}

@@ -142,3 +142,9 @@ def test_rows_are_the_non_blank_lines(spark, texts):
     rows = d.explode_records(df).orderBy("rec_pos", "line_pos").collect()
     assert [r.line for r in rows] == want
     assert d.delivery_stats(df).first().ingested == len(want)
+
+
+def test_bodies_that_close_their_wrapper_are_malformed(spark):
+    bodies = ['{"requestId":"a","records":[]}} x', '{"requestId":"a"},"r":{"requestId":"b"}', '{"requestId":"a"}],[2']
+    assert answers(spark, [{"body": b} for b in bodies]) == [(400, "invalid JSON body")] * 3
+    assert answers(spark, [{"body": "null"}, {"body": '{"requestId":"a","records":[]}'}]) == [(200, None)] * 2
