@@ -33,7 +33,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -298,6 +298,11 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("class", F.col("new").alias("label"))
 
 
+def known(column: str) -> Column:
+    """An id that can be joined on: null as the least number."""
+    return F.coalesce(F.col(column), F.lit(-(1 << 63)).cast("long"))
+
+
 def class_components(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
     """class, label of all classes that are linked with another."""
     members = written(shared_signatures(docs, size, percent), "signatures")
@@ -311,8 +316,9 @@ def class_components(docs: DataFrame, classes: DataFrame, size: int, percent: in
 
     # One document stands for each class that is compared; only its text is read again.
     chosen = degrees.select("class").join(classes.where("class is not null").groupBy("class").agg(F.min("id").alias("id")), "class")
-    texts = docs.join(chosen, docs.id.eqNullSafe(chosen.id)).select(docs.id, "text", "class")
-    sets = written(class_sets(texts, size), "sets")
+    # Rows of one id lie together after the join, so equal ones go without a shuffle.
+    texts = docs.select(known("id").alias("key"), "text").join(chosen.select(known("id").alias("key"), "class"), "key")
+    sets = written(class_sets(texts.dropDuplicates(["key", "class", "text"]), size), "sets")
 
     links = written(verified(star, sets, percent), "links")
     labels = components(links)
@@ -322,7 +328,8 @@ def class_components(docs: DataFrame, classes: DataFrame, size: int, percent: in
     rest = named.join(split.where("split").select("sig", "size"), "sig")
     pairs = unlike_pairs(rest.join(sets.select("class", "sketch", F.size("elements").alias("n")), "class"), percent)
     tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = written(verified(pairs.join(tried, ["a", "b"], "left_anti"), sets, percent), "links")
+    untried = written(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")  # mostly few: Spark then sees their size
+    more = written(verified(untried, sets, percent), "links")
     if more.limit(1).count() == 0:
         return labels
     return components(links.union(more))
@@ -406,7 +413,7 @@ def class_sets(texts: DataFrame, size: int) -> DataFrame:
 
         return one
 
-    return map_batches(texts, ["id", "text", "class"], "class long, elements array<long>, sketch binary", make).dropDuplicates(["class"])
+    return map_batches(texts, ["key", "text", "class"], "class long, elements array<long>, sketch binary", make)
 
 
 def similarity_groups(
@@ -445,8 +452,11 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "d
             yield pa.RecordBatch.from_arrays([*batch.columns, classes], names=[*batch.schema.names, name])
 
     tagged = docs.mapInArrow(tag, StructType([*docs.schema.fields, StructField(name, LongType())]))
-    same = tagged[id_col].eqNullSafe(chosen["kept_id"]) & (tagged[name] == chosen["kept_class"])
-    kept = tagged.join(chosen, same, "left_semi").dropDuplicates([id_col, name])
+    # Rows of one id and class lie together after the join: one of them stays.
+    kept_key = "key_of_" + text_col
+    chosen = chosen.select(known("kept_id").alias(kept_key), F.col("kept_class").alias(name))
+    kept = tagged.where(F.col(name).isNotNull()).withColumn(kept_key, known(id_col).cast("long"))
+    kept = kept.join(chosen, [kept_key, name], "left_semi").dropDuplicates([kept_key, name]).drop(kept_key)
     return kept.unionByName(tagged.where(F.col(name).isNull())).drop(name)
 
 
