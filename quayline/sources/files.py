@@ -52,14 +52,10 @@ def named_as_lines():
     return F.rlike(F.col("_metadata.file_name"), F.lit(LINES_NAME))
 
 
-def json_lines(df: DataFrame, or_else: Column | None = None) -> DataFrame:
-    """``key, line`` -> ``key, doc``; blank lines are dropped.
-
-    A line that is no document becomes ``or_else``, by default its text.
-    """
-    line = _strip("line")
-    doc = document(line) if or_else is None else F.coalesce(parsed_document(line), or_else)
-    return df.where(trim_space("line") != "").select("key", doc.alias("doc"))
+def json_lines(df: DataFrame) -> DataFrame:
+    """``key, line`` -> ``key, doc``; blank lines are dropped, and a line that is no
+    document is kept as text."""
+    return df.where(trim_space("line") != "").select("key", document(_strip("line")).alias("doc"))
 
 
 def json_whole(df: DataFrame) -> DataFrame:
@@ -70,9 +66,10 @@ def json_whole(df: DataFrame) -> DataFrame:
     one document.  An array yields its elements.
     """
     body = _strip("body")
-    lines = F.filter(F.split(body, "\n", -1), lambda x: trim_space(x) != "")
+    # The line ends of Spark's text reader; what stands between \r and \n is blank.
+    lines = F.filter(F.split(body, "[\r\n]", -1), lambda x: trim_space(x) != "")
     split = computed_once(df.select("key", "body"), {"body": body, "lines": lines})
-    first_parses = (F.size("lines") == 0) | parsed_document(F.get("lines", F.lit(0))).isNotNull()
+    first_parses = (F.size("lines") == 0) | parsed_document(_strip(F.get("lines", F.lit(0)))).isNotNull()
     parsed = F.when(first_parses, F.transform("lines", lambda x: document(_strip(x))))
     tried = computed_once(split, {"parsed": parsed})
     is_lines = F.col("parsed").isNotNull()
@@ -92,15 +89,23 @@ def _elements(doc):
     return F.coalesce(F.try_variant_get(doc, "$", "array<variant>"), F.array(doc))
 
 
-def _text_or_error():
-    """What a line that is no document becomes: its text.  But in a file too big to
-    be held whole, whose name does not say JSON Lines, text that shows the file to
-    be an array or an indented document stops the query instead of being misread."""
-    looks_cut = F.rlike(_strip("line"), F.lit(r"^\[|^[{}\]],?$|,$"))
-    message = F.concat(F.lit("not JSON Lines, pass layout='whole': "), F.col("key"))
-    stop = F.raise_error(message).cast("string")
-    text = F.when(~F.col("named_as_lines") & looks_cut, stop).otherwise(F.col("line"))
-    return text.cast("variant")
+def json_big(df: DataFrame) -> DataFrame:
+    """``key, line, at_start`` of files that no task should hold -> ``key, doc``, as
+    ``json_whole`` reads them.
+
+    The first line that is not blank, found among the rows ``at_start`` (of the split a
+    file begins with), decides.  If it is no document the file is one body: if that has
+    no other line it is kept as text, else the query stops.
+    """
+    filled = df.where(trim_space("line") != "")
+    starts = filled.where("at_start").select("key", "line", F.monotonically_increasing_id().alias("_line"))
+    heads = starts.groupBy("key").agg(F.min_by("line", "_line").alias("head"), F.count("*").alias("_n"))
+    heads = heads.select(F.col("key").alias("_of"), parsed_document(_strip("head")).isNotNull().alias("_is_lines"), "_n")
+    rows = filled.join(F.broadcast(heads), F.col("key") == F.col("_of"), "left")
+    stop = F.raise_error(F.concat(F.lit("not JSON Lines, pass layout='whole': "), F.col("key"))).cast("string").cast("variant")
+    alone = F.col("at_start") & (F.col("_n") == 1)
+    doc = F.when(F.col("_is_lines") | alone, document(_strip("line"))).otherwise(stop)
+    return rows.select("key", doc.alias("doc")).select("key", F.explode(_elements(F.col("doc"))).alias("doc"))
 
 
 def scan_json(
@@ -119,10 +124,12 @@ def scan_json(
 
     ``lines`` splits big files over tasks; ``whole`` holds one file at a time in
     memory, of 2 GB at most, as an array cannot be split; ``auto``
-    reads ``.jsonl``/``.ndjson`` names as lines and looks into all others.  Files
-    over ``whole_file_limit`` bytes, which no task should hold, are read as lines by
-    ``auto`` with the same result; if such a file holds an array or an indented
-    document over many lines the query stops and says so.
+    reads ``.jsonl``/``.ndjson`` names as lines and looks into all others: if the first
+    line that is not blank is a document the file is JSON Lines.  Files over
+    ``whole_file_limit`` bytes, which no task should hold, are read line by line by the
+    same rule with the same result; a second pass over the beginning of each finds its
+    first line.  If that is no document and others follow (an array or a document over
+    many lines, or a text), the query stops and says so.
     Gzip is decoded by file name.
 
     ``lines`` with a schema parses straight into columns, without documents in
@@ -154,14 +161,12 @@ def scan_json(
     elif layout == "whole":
         rows = json_whole(whole())
     else:
-        # Two scans of disjoint files: the predicates use file metadata only, so
-        # each scan drops the files of the other while it is planned.
-        by_line = named_as_lines() | (F.col("_metadata.file_size") > whole_file_limit)
-        some_lines = lines().where(by_line).withColumn("named_as_lines", named_as_lines())
-        big = json_lines(some_lines.where(~F.col("named_as_lines")), _text_or_error())
-        named = json_lines(some_lines.where("named_as_lines"))
-        big = big.select("key", F.explode(_elements(F.col("doc"))).alias("doc"))  # as in files that are held whole
-        rows = named.unionByName(big).unionByName(json_whole(whole().where(~by_line)))
+        # Scans of disjoint files: the predicates use file metadata only, so each
+        # scan drops the files of the others while it is planned.
+        big = ~named_as_lines() & (F.col("_metadata.file_size") > whole_file_limit)
+        some_lines = lines().where(big).withColumn("at_start", F.col("_metadata.file_block_start") == 0)
+        named = json_lines(lines().where(named_as_lines()))
+        rows = named.unionByName(json_big(some_lines)).unionByName(json_whole(whole().where(~named_as_lines() & ~big)))
     return _typed(rows, schema, keep_key)
 
 

@@ -261,3 +261,42 @@ def test_backfill_reports_every_file(spark, store, tmp_path):
     assert (summary.matched, summary.ok, summary.errors, summary.failed) == (4, 3, 1, True)
     backfill(spark, str(store), str(tmp_path / "lake"), "t", "json", "first", prefix="data/")
     assert count_table(spark, str(tmp_path / "lake"), "t").first()["cnt"] == 12
+
+
+LAYOUTS_OF_ANY_SIZE = {
+    "cut_line.json": ('{"i":1}\n{"a":1,\n[\n  x ,\n{"i":2}\n', ['{"i":1}', '"{\\"a\\":1,"', '"["', '"x ,"', '{"i":2}']),
+    "returns.json": ('{"i":3}\r{"i":4}\r\n\r{"i":5}', ['{"i":3}', '{"i":4}', '{"i":5}']),
+    "one_bad.json": ('\n \n  {"a":1,  \n\n', ['"{\\"a\\":1,"']),
+    "arrays.json": ('[]\n[6,[7]]\ntext', ["6", "[7]", '"text"']),
+}
+
+
+@pytest.mark.parametrize("limit", [1, 1 << 27])
+@pytest.mark.parametrize("name", LAYOUTS_OF_ANY_SIZE)
+def test_first_line_decides_at_any_size(spark, tmp_path, name, limit):
+    body, want = LAYOUTS_OF_ANY_SIZE[name]
+    (tmp_path / name).write_bytes(body.encode())
+    with gzip.open(tmp_path / f"{name}.gz", "wb") as f:
+        f.write(body.encode())
+    (tmp_path / "other.json").write_text('{"other":1}\n' * 3)
+    found = documents(scan_json(spark, str(tmp_path), whole_file_limit=limit))
+    assert found == Counter(want + want + ['{"other":1}'] * 3)
+
+
+def test_first_line_decides_over_many_splits(spark, tmp_path):
+    (tmp_path / "lines.json").write_text('\n{"i":1}\n' + "bad,\n" * 2000)
+    (tmp_path / "malformed.json").write_text("bad\n" + '{"i":1}\n' * 2000)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k in before:
+            spark.conf.set(k, "1000")
+        found = scan_json(spark, str(tmp_path), pattern="lines", whole_file_limit=1)
+        assert found.rdd.getNumPartitions() > 4
+        assert documents(found) == documents(scan_json(spark, str(tmp_path), pattern="lines")) == Counter({'{"i":1}': 1, '"bad,"': 2000})
+        # Small it is one text; big no task may hold it, and its lines are no documents.
+        assert scan_json(spark, str(tmp_path), pattern="malformed").count() == 1
+        with pytest.raises(Exception, match="pass layout='whole'"):
+            scan_json(spark, str(tmp_path), pattern="malformed", whole_file_limit=1).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
