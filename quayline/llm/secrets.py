@@ -4,7 +4,8 @@ Plain patterns find assignments, access keys and long hex runs.  Longer candidat
 base64 or hex are decoded, and reported only if what they hold proves them:
 
     pem      a private-key block whose body decodes to a key encoding (DER, nested
-             lengths all exact) or to the framed strings of an OpenSSH key
+             lengths all exact) or to the framed strings of an OpenSSH key, or is said
+             to be encrypted by its headers; line ends may be escaped, as in JSON
     jwt      three base64url parts, the first of which is a JSON header that names an
              algorithm, the second JSON too
     der      a bare base64 or hex run that is one private-key encoding
@@ -39,10 +40,19 @@ LEAST_ACCESS = 20
 #: Without one of these, in any case, a text has no assignment.
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-PEM = re.compile(r"-----BEGIN ([A-Z0-9]+ )*PRIVATE KEY-----([^-]*)-----END [A-Z0-9 ]*PRIVATE KEY-----")
+PEM_MARK = re.compile(r"-----(?:(BEGIN) ([A-Z0-9]+ )*|END [A-Z0-9 ]*)PRIVATE KEY-----")
 JWT = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
 BLOB = re.compile(r"[A-Za-z0-9+/_-]{32,}={0,2}")
-PEM_HEADERS = re.compile(r"^[A-Za-z-]+: .*$", re.M)
+#: Line ends, blanks and slashes as JSON and source code write them, however often escaped.
+ESCAPED_BREAK = re.compile(r"\\+[rnt]")
+ESCAPE = re.compile(r"\\+")
+ENCRYPTED = re.compile(r"Proc-Type:[ \t]*4,[ \t]*ENCRYPTED")
+#: Headers of a block: first the two of encrypted keys, which may stand in one line with
+#: all the rest, then lines of others.
+KEY_HEADERS = re.compile(ENCRYPTED.pattern + r"|DEK-Info:[ \t]*[A-Za-z0-9-]+(?:,[0-9A-Fa-f]+)?")
+PEM_HEADERS = re.compile(r"^[ \t]*[A-Za-z][A-Za-z0-9-]*:.*$", re.M)
+#: The least bytes of an encrypted body: a block of the cipher.
+LEAST_CIPHER = 16
 
 KINDS = ("assign", "access", "hex", "pem", "jwt", "der", "openssh", "wrapped")
 BASE = KINDS[:3]
@@ -190,15 +200,35 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def pem_blocks(text: str) -> list[tuple[int, int, int, int]]:
+    """Start of a block, start and end of its body, end of the block.  An END line
+    belongs to the last BEGIN line before it; each line is looked at once."""
+    out, opened = [], None
+    for m in PEM_MARK.finditer(text):
+        if m[1]:
+            opened = m
+        elif opened:
+            out.append((opened.start(), opened.end(), m.start(), m.end()))
+            opened = None
+    return out
+
+
+def is_pem_key(block: str) -> bool:
+    """Whether the body of a block, headers and escapes aside, is a private key; of an
+    encrypted one only the header and that it decodes can be known."""
+    lines = ESCAPE.sub("", ESCAPED_BREAK.sub("\n", block)).replace("\r", "\n")
+    body = "".join(PEM_HEADERS.sub("", KEY_HEADERS.sub("", lines)).split())
+    data = from_base64(body) if body else None
+    if not data:
+        return False
+    return is_openssh(data) or is_key_der(data) or (len(data) >= LEAST_CIPHER and bool(ENCRYPTED.search(lines)))
+
+
 def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
     """Spans beyond the plain patterns, each proved by its structure."""
     out = []
     if "PRIVATE KEY-----" in text:
-        for m in PEM.finditer(text):
-            body = "".join(PEM_HEADERS.sub("", m[2]).split())
-            data = from_base64(body) if body else None
-            if data and (is_openssh(data) or is_key_der(data) or "Proc-Type: 4,ENCRYPTED" in m[2]):
-                out.append(("pem", *m.span()))
+        out += [("pem", a, d) for a, b, c, d in pem_blocks(text) if is_pem_key(text[b:c])]
     if "eyJ" in text:
         out += [("jwt", *m.span()) for m in JWT.finditer(text) if is_jwt(m[0])]
     for m in BLOB.finditer(text):
