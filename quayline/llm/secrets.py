@@ -8,14 +8,19 @@ base64 or hex are decoded, and reported only if what they hold proves them:
              to be encrypted by its headers; line ends may be escaped, as in JSON
     jwt      three base64url parts, the first of which is a JSON header that names an
              algorithm, the second JSON too
-    der      a bare base64 or hex run that is one private-key encoding
-    openssh  a bare base64 run that is an OpenSSH private key
+    der      a bare base64 or hex run that begins, at a border in it, with one
+             private-key encoding
+    openssh  a bare base64 or hex run that holds an OpenSSH private key
     wrapped  a bare base64 or hex run whose text holds an access key, an assignment of
              a key or the first line of a private-key block
 
+A bare run may go on over line ends and may have other letters glued to it: it is
+decoded from each of its first four letters (two in hex), so what it holds is found
+wherever it begins, and the span is that of the letters which hold it.
+
 Cases: null and empty texts have no spans.  Spans are in code points, end exclusive.
-Each row is scanned whole and by itself.  Patterns never look back, and a candidate is
-decoded once, so work grows with the length of the text.
+Each row is scanned whole and by itself.  A candidate is decoded four times and twice,
+so work grows with the length of the text.
 """
 
 from __future__ import annotations
@@ -25,6 +30,7 @@ import binascii
 import hashlib
 import json
 import re
+from bisect import bisect_left, bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -39,10 +45,24 @@ LEAST_VALUE = 6
 LEAST_ACCESS = 20
 #: Without one of these, in any case, a text has no assignment.
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
+HELD_WORDS = tuple(w.encode() for w in (*ASSIGN_WORDS, "akia", "private key-----"))
 
 PEM_MARK = re.compile(r"-----(?:(BEGIN) ([A-Z0-9]+ )*|END [A-Z0-9 ]*)PRIVATE KEY-----")
 JWT = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
-BLOB = re.compile(r"[A-Za-z0-9+/_-]{32,}={0,2}")
+#: Letters that hold the shortest text to be reported, "token=" and LEAST_VALUE letters.
+LEAST_BLOB = 16
+BREAK = re.compile(r"[ \t]*(?:\r?\n|\r|\\+r\\+n|\\+n)[ \t]*")
+#: A run of that length, or one that goes on after a line end.
+BLOB = re.compile(
+    r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{16,}+|[A-Za-z0-9+/_-]++(?=BREAK[A-Za-z0-9+/_-]))(?:BREAK[A-Za-z0-9+/_-]++)*+={0,2}".replace(
+        "BREAK", BREAK.pattern
+    )
+)
+HEX_RUN = re.compile(r"[0-9A-Fa-f]{24,}")
+#: The first letters of a key in DER, at the beginning of a run or after a border in it.
+KEY_START = re.compile(r"(?<![A-Za-z0-9])M[A-P]")
+STANDARD = str.maketrans("-_", "+/")
+PRINTABLE = re.compile(rb"[\t\n\r\x20-\x7e]{12,}")
 #: Line ends, blanks and slashes as JSON and source code write them, however often escaped.
 ESCAPED_BREAK = re.compile(r"\\+[rnt]")
 ESCAPE = re.compile(r"\\+")
@@ -119,23 +139,41 @@ def is_key_der(data: bytes) -> bool:
     return tags == [SEQUENCE, OCTET_STRING] and algorithm(0)
 
 
-def is_openssh(data: bytes) -> bool:
-    """The magic, then strings framed by their lengths: cipher, kdf, its options, the
-    number of keys, public and private parts; the end must be reached exactly."""
-    if not data.startswith(OPENSSH):
-        return False
-    at = len(OPENSSH)
+def key_der_end(data: bytes, start: int) -> int | None:
+    """Where the private-key encoding ends that begins at ``start``, if one does."""
+    if start + 2 > len(data) or data[start] != SEQUENCE:
+        return None
+    more = data[start + 1] & 0x7F if data[start + 1] & 0x80 else 0
+    if more > 4:
+        return None
+    size = int.from_bytes(data[start + 2 : start + 2 + more], "big") if more else data[start + 1]
+    end = start + 2 + more + size
+    return end if end <= len(data) and is_key_der(data[start:end]) else None
+
+
+def openssh_end(data: bytes, start: int) -> int | None:
+    """Where an OpenSSH key ends that begins at ``start``: the magic, then strings framed
+    by their lengths: cipher, kdf, its options, the number of keys, public and private
+    parts."""
+    if not data.startswith(OPENSSH, start):
+        return None
+    at = start + len(OPENSSH)
     for k in range(6):
         if at + 4 > len(data):
-            return False
+            return None
         size = int.from_bytes(data[at : at + 4], "big")
         at += 4
         if k == 3:
             if size < 1:
-                return False
+                return None
             continue
         at += size
-    return at == len(data)
+    return at if at <= len(data) else None
+
+
+def is_openssh(data: bytes) -> bool:
+    """An OpenSSH key and nothing after it."""
+    return openssh_end(data, 0) == len(data)
 
 
 def from_base64(text: str) -> bytes | None:
@@ -167,26 +205,70 @@ def is_jwt(token: str) -> bool:
     return head is not None and isinstance(head.get("alg"), str) and is_json_object(from_base64(payload)) is not None
 
 
-def is_wrapped(data: bytes) -> bool:
-    """Printable text that holds a secret itself."""
-    try:
-        text = data.decode("ascii")
-    except UnicodeDecodeError:
-        return False
+def is_wrapped(text: str) -> bool:
+    """Whether a text holds a secret itself."""
     return "PRIVATE KEY-----" in text or any(kind in ("assign", "access") for kind, _, _ in base_spans(text))
 
 
-def blob_kind(blob: str) -> str | None:
-    """What a bare run is, if its decoded bytes prove it to be a secret."""
-    for data in (from_hex(blob), from_base64(blob)):
-        if data:
-            if is_openssh(data):
-                return "openssh"
-            if data[0] == SEQUENCE and is_key_der(data):
-                return "der"
-            if is_wrapped(data):
-                return "wrapped"
-    return None
+def held(data: bytes, key_starts: list[int]) -> list[tuple[str, int, int]]:
+    """What decoded bytes hold: keys in OpenSSH frames, keys in DER that begin at one of
+    ``key_starts``, and stretches of text that hold a secret."""
+    out = []
+    at = data.find(OPENSSH)
+    while at >= 0:
+        end = openssh_end(data, at)
+        if end:
+            out.append(("openssh", at, end))
+        at = data.find(OPENSSH, end or at + 1)
+    for start in key_starts:
+        end = key_der_end(data, start)
+        if end:
+            out.append(("der", start, end))
+    lower = data.lower()
+    if any(word in lower for word in HELD_WORDS):
+        out += [("wrapped", *m.span()) for m in PRINTABLE.finditer(data) if is_wrapped(m[0].decode("ascii"))]
+    return out
+
+
+def blob_spans(run: str) -> list[tuple[str, int, int]]:
+    """Spans of the proved secrets in a run of base64 or hex, which may have line ends."""
+    # The run's letters alone, and where each of its lines is among them and in the run.
+    places, lines, at = [], [], 0
+    for m in [*BREAK.finditer(run), None]:
+        end = m.start() if m else len(run.rstrip("="))
+        places.append((sum(map(len, lines[-1:])) + (places[-1][0] if places else 0), at))
+        lines.append(run[at:end])
+        at = m.end() if m else end
+    letters = "".join(lines)
+    if len(letters) < LEAST_BLOB:
+        return []
+    firsts = [p[0] for p in places]
+
+    def place(k: int) -> int:
+        first, at = places[bisect_right(firsts, k) - 1]
+        return at + k - first
+
+    def span(kind: str, start: int, end: int) -> tuple[str, int, int]:
+        return kind, place(start), len(run) if end >= len(letters) else place(end - 1) + 1
+
+    out = []
+    for m in HEX_RUN.finditer(letters):
+        # A key begins with the run's first digit, or that of a line.
+        borders = [m.start(), *firsts[bisect_right(firsts, m.start()) : bisect_left(firsts, m.end())]]
+        for first in (m.start(), m.start() + 1):
+            data = bytes.fromhex(letters[first : m.end() - (m.end() - first) % 2])
+            starts = [(b - first) // 2 for b in borders if b >= first and (b - first) % 2 == 0]
+            out += [span(kind, first + 2 * a, first + 2 * b) for kind, a, b in held(data, starts)]
+    starts = {m.start() for m in KEY_START.finditer(letters)}
+    starts.update(k for k in firsts if letters.startswith("M", k))
+    body = letters.translate(STANDARD)
+    for first in range(4):
+        size = len(body) - first
+        size -= size % 4 == 1
+        data = binascii.a2b_base64(body[first : first + size] + "=" * (-size % 4))
+        at = sorted((k - first) // 4 * 3 for k in starts if k >= first and (k - first) % 4 == 0)
+        out += [span(kind, first + a * 4 // 3, first + -(-b * 4 // 3)) for kind, a, b in held(data, at)]
+    return out
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -232,9 +314,10 @@ def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
     if "eyJ" in text:
         out += [("jwt", *m.span()) for m in JWT.finditer(text) if is_jwt(m[0])]
     for m in BLOB.finditer(text):
-        kind = blob_kind(m[0])
-        if kind and not any(a <= m.start() and m.end() <= b for _, a, b in out):
-            out.append((kind, *m.span()))
+        for kind, start, end in blob_spans(m[0]):
+            start, end = m.start() + start, m.start() + end
+            if not any(a <= start and end <= b for _, a, b in out):
+                out.append((kind, start, end))
     return out
 
 
