@@ -6,9 +6,9 @@ sample of texts train a linear scorer over hashed features: shapes of words, wor
 words that repeat the one before.  The scorer then judges every text, also where the
 heuristics say little.
 
-Vote patterns are counted over all texts.  ``fit_docs`` bounds the sample (about so
-many, chosen by a hash of the text), ``BINS`` the features, so fitting needs the same
-memory however many documents there are.
+Vote patterns are counted over all texts.  ``fit_docs`` is the size of the sample (the
+distinct texts of the least hashes, all if there are fewer), ``BINS`` bounds the
+features, so fitting needs the same memory however many documents there are.
 
 Cases: a text without words (null, empty, blank) is never good: score 0.  Repeated rows
 get equal scores.  Texts are scored whole, in parts that end between words.  Without
@@ -117,26 +117,47 @@ def sparse(bins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at.astype(np.int32), (n / np.sqrt((n.astype(float) ** 2).sum())).astype(np.float32) if len(n) else n.astype(np.float32)
 
 
-def weak_votes(docs: DataFrame, fit_docs: int, total: int) -> DataFrame:
-    """pattern of every row of (text); of about ``fit_docs`` texts their features too."""
-    limit = int(min(1.0, fit_docs / max(total, 1)) * ((1 << 64) - 1))
+def least_name(texts: DataFrame, fit_docs: int) -> int | None:
+    """The greatest of the ``fit_docs`` least names (64-bit hashes) of distinct texts with
+    words, by which that many texts are chosen however often each is repeated; None if
+    there are no more than that."""
+    named = texts.where(F.rlike("text", F.lit(r"[^\t-\r ]"))).select(F.xxhash64("text").alias("name"))
+    names = written(named.distinct(), "text-names")
+    total = names.count()
+    if total <= fit_docs:
+        return None
+    # Names are spread evenly: below this one are about twice as many as are needed.
+    some = names
+    if total > 4 * fit_docs + 1000:
+        some = names.where(F.col("name") < -(1 << 63) + int((2 * fit_docs + 1000) / total * (1 << 64)))
+    return sorted(r.name for r in some.collect())[fit_docs - 1]
+
+
+def weak_votes(docs: DataFrame, last: int | None) -> DataFrame:
+    """pattern of every row of (text); of the texts named up to ``last`` (all if None)
+    their name and features too, once in a task."""
 
     def make():
+        seen: set[int] = set()
+
         def one(batch: pa.RecordBatch) -> dict:
-            out = {"pattern": [], "bins": [], "values": []}
-            for data in text_bytes(batch.column(0)):
+            out = {"pattern": [], "name": [], "bins": [], "values": []}
+            for name, data in zip(batch.column(1).to_pylist(), text_bytes(batch.column(0)), strict=True):
                 words, bins = word_features(data)
                 out["pattern"].append(heuristic_votes(data, words))
-                name = int(mix(np.array([words.sum(dtype=U) + U(len(data))], U))[0]) if len(words) else None
-                chosen = name is not None and name <= limit
+                chosen = len(words) > 0 and (last is None or name <= last) and name not in seen
+                if chosen:
+                    seen.add(name)
                 at, values = sparse(bins) if chosen else (None, None)
+                out["name"].append(name if chosen else None)
                 out["bins"].append(at.tobytes() if chosen else None)
                 out["values"].append(values.tobytes() if chosen else None)
             return out
 
         return one
 
-    return map_batches(docs, ["text"], "pattern string, bins binary, values binary", make)
+    named = docs.select("text", F.xxhash64("text").alias("name"))
+    return map_batches(named, ["text", "name"], "pattern string, name long, bins binary, values binary", make)
 
 
 def fit_linear(rows: list[tuple[np.ndarray, np.ndarray, float]]) -> np.ndarray:
@@ -160,14 +181,14 @@ def fit_linear(rows: list[tuple[np.ndarray, np.ndarray, float]]) -> np.ndarray:
 def train(docs: DataFrame, text_col: str = "text", fit_docs: int = FIT_DOCS) -> np.ndarray | None:
     """The scorer's weights, from weak labels of the documents; None without rows."""
     texts = docs.select(F.col(text_col).alias("text"))
-    votes = written(weak_votes(texts, fit_docs, texts.count()), "weak-votes")
+    votes = written(weak_votes(texts, least_name(texts, fit_docs)), "weak-votes")
     counts = {r.pattern: r.n for r in votes.groupBy("pattern").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return None
     good, _, _ = fit_votes(counts)
-    # Copies of a text would all be chosen: each distinct one counts once.
-    sample = votes.where("bins is not null").dropDuplicates(["bins", "values"]).limit(2 * fit_docs).collect()
-    sample.sort(key=lambda r: (bytes(r.bins), bytes(r["values"])))
+    # Each distinct text counts once, whichever tasks met it.
+    sample = votes.where("name is not null").dropDuplicates(["name"]).collect()
+    sample.sort(key=lambda r: r.name)
     return fit_linear([(np.frombuffer(r.bins, np.int32), np.frombuffer(r["values"], np.float32), good[r.pattern]) for r in sample])
 
 

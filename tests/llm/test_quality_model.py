@@ -62,3 +62,25 @@ def test_repeatable(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     a = {r.doc_id: r.score for r in q.quality_scores(docs).collect()}
     assert a == {r.doc_id: r.score for r in q.quality_scores(docs.repartition(7)).collect()}
+
+
+def test_copies_do_not_starve_the_sample(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    good = [f"Plain words number{i} make a sentence{i}, as they should here. " * 3 for i in range(30)]
+    junk = [f"aa*** bb### cc@@@ {i}%% " * 20 for i in range(10)]
+    once = spark.createDataFrame([(i, t) for i, t in enumerate([*good, *junk, None, " "])], "doc_id long, text string").cache()
+    copies = once.crossJoin(spark.range(60).select(F.col("id").alias("copy"))).repartition(5)
+    fit, sizes = q.fit_linear, []
+    monkeypatch.setattr(q, "fit_linear", lambda rows: (sizes.append(len(rows)), fit(rows))[1])
+    rows = q.quality_scores(copies, fit_docs=50).collect()
+    q.train(copies, fit_docs=25)
+    q.train(once, fit_docs=25)
+    assert sizes == [40, 25, 25] and len(rows) == 42 * 60
+    assert {r.doc_id for r in rows if r.kept} == set(range(30))
+
+
+def test_names_of_many_texts(spark):
+    texts = spark.range(3000).selectExpr("concat('text ', id % 2000) as text")
+    names = sorted({r[0] for r in texts.selectExpr("xxhash64(text)").collect()})
+    assert [q.least_name(texts, n) for n in (1, 100, 1999, 2000, 2001)] == [names[0], names[99], names[1998], None, None]
