@@ -6,8 +6,8 @@ words, each with a likelihood under every language, estimates the proportions.
 set of languages is grown from the most likely one while the likelihood gains more
 than a penalty per language; the prediction is the largest share of the chosen set.
 
-At most about ``fit_docs`` texts per language are learned from, chosen by a hash of the
-text; all texts are predicted whole.
+About ``fit_docs`` distinct texts per language are learned from, all if there are fewer,
+chosen by a hash of the text and counted once each; all texts are predicted whole.
 
 Cases: texts that are null or have no letter are ``und`` with score 0; so is everything
 if there is nothing to learn from.  Labels that are null teach nothing.  Equal shares
@@ -83,12 +83,17 @@ def count_grams(docs: DataFrame) -> DataFrame:
 def learn(labelled: DataFrame, fit_docs: int = FIT_DOCS) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Names, log probabilities (languages x bins) and shares, from (lang, text)."""
     known = labelled.where("lang is not null and text is not null")
-    sizes = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    known = known.select("lang", "text", F.xxhash64("text").alias("_name"))
+    texts = known.groupBy("lang", "_name").agg(F.count("*").alias("n"))
+    found = texts.groupBy("lang").agg(F.sum("n").alias("n"), F.count("*").alias("unlike")).collect()
+    sizes, unlike = {r.lang: r.n for r in found}, {r.lang: r.unlike for r in found}
     names = sorted(sizes)
     if not names:
         return [], np.zeros((0, BINS), np.float32), np.zeros(0)
-    part = F.create_map(*[F.lit(x) for lang in names for x in (lang, min(1.0, fit_docs / sizes[lang]))])
-    chosen = known.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < 1_000_000 * part[F.col("lang")])
+    part = F.create_map(*[F.lit(x) for lang in names for x in (lang, min(1.0, fit_docs / unlike[lang]))])
+    chosen = known.where(F.pmod("_name", F.lit(1_000_000)) < 1_000_000 * part[F.col("lang")])
+    # Copies of a text are chosen all or none: each distinct one teaches once.
+    chosen = chosen.dropDuplicates(["lang", "_name"])
     counts = np.zeros((len(names), BINS))
     found = count_grams(chosen.select("lang", "text")).toArrow()
     place = {lang: k for k, lang in enumerate(names)}

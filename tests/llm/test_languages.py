@@ -82,3 +82,18 @@ def test_held_out_accuracy(spark):
     held = [r for r in rows if r.held_out and docs[r.doc_id].lang and r.lang_pred != "und"]
     right = sum(r.lang_pred == docs[r.doc_id].lang for r in held)
     assert right > 0.97 * len(held)
+
+
+def test_copies_teach_once(spark):
+    from pyspark.sql import functions as F
+
+    rows = [("x", f"abra cadabra{'ab' * i} barca " * 3) for i in range(40)] + [("y", f"toli{'to' * i} notili " * 3) for i in range(5)]
+    once = spark.createDataFrame(rows, "lang string, text string").cache()
+    hot = once.where("text like 'abra cadabraababab %'").crossJoin(spark.range(300)).select("lang", "text")
+    copies = once.where("lang = 'y'").crossJoin(spark.range(400)).select("lang", "text")
+    for fit_docs in (20, 3000):
+        names, logs, _ = g.learn(once, fit_docs)
+        again, tables, shares = g.learn(once.unionByName(hot).unionByName(copies).repartition(5, F.rand(1)), fit_docs)
+        assert again == names and (tables == logs).all()
+        # Every text of the small language is learned from, and shares are those of all rows.
+        assert (logs[1] > logs[1].min()).sum() > 8 and shares == pytest.approx(np.array([340, 2005]) / 2345)
