@@ -177,13 +177,16 @@ def contamination(
 
 
 def decontaminate(
-    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text"
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+    short_items: bool = True,
 ) -> DataFrame:
-    """The rows of ``docs`` without any passage of the benchmark; columns unchanged."""
+    """The rows of ``docs`` without any passage of the benchmark; columns unchanged.
+    Without ``short_items`` only runs of ``window`` words count, so that an item of a
+    word or two doesn't drop every document that holds them."""
     for block in blocks(benchmark, item_col, item_text_col):
 
         def keep(batches, block=block):
-            built = automaton(block, window)
+            built = automaton([x for x in block if short_items or len(x[1]) >= window], window)
             for batch in batches:
                 texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
                 yield batch.filter(pa.array([not find(built, spaced(normal_words(t)))[0] for t in texts], pa.bool_()))

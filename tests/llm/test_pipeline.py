@@ -76,3 +76,10 @@ def test_odd_documents(spark, tmp_path, rows):
         stage(spark, docs, SF).write.parquet(str(tmp_path / name))
         docs = spark.read.parquet(str(tmp_path / name))
     assert [r.doc_id for r in docs.collect()] == ([1] if rows else [])
+
+
+def test_short_items_drop_nothing(spark, tmp_path):
+    passage = " ".join(f"word{i}" for i in range(10))
+    spark.createDataFrame([("a", "Paris"), ("b", passage), ("c", "the river")], "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.createDataFrame([(1, "Paris lies by the river."), (2, f"so {passage} on"), (3, passage[:-6])], "doc_id long, text string")
+    assert sorted(r.doc_id for r in p.benchmark(spark, docs, str(tmp_path)).collect()) == [1, 3]
