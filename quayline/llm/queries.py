@@ -7,6 +7,7 @@ from quayline.llm.bpe import op1_bpe
 from quayline.llm.decontaminate import op6_decontaminate
 from quayline.llm.jaccard import op7_jaccard
 from quayline.llm.languages import op10_languages
+from quayline.llm.minhash import op11_minhash
 from quayline.llm.pitman_yor import op2_lm
 from quayline.llm.quality_model import op4_quality
 from quayline.llm.quality_rules import op5_quality_rules
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_urls": op8_urls,
     "op9_secrets": op9_secrets,
     "op10_languages": op10_languages,
+    "op11_minhash": op11_minhash,
 }
 ORACLES = {
     "op6_decontaminate": decontaminate.ORACLE,

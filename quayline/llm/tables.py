@@ -26,6 +26,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+class Steps:
+    """Written steps of one run, each deleted when nothing reads it any more."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.root = spark, run_folder(spark, name)
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        """As ``written``, under this run's folder."""
+        df.write.parquet(f"{self.root}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
+
+    def drop(self, *names: str) -> None:
+        """Delete steps whose successors are written: no lost task will read them."""
+        jvm = self.spark._jvm
+        for name in names:
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+            path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def input_bytes(df: DataFrame) -> int:
     """Spark's own estimate of a plan's size, from file sizes; no job runs."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
