@@ -16,8 +16,9 @@ of agreeing coordinates is concentrated about that share as that of independent
 3. Of the classes of a band the least is the centre.  Every class is first compared with
    the least of its centres, then with its other centres if these lie in unlike
    components, at last with every class of unlike component in one of its bands.
-4. A pair whose sketches agree in fewer coordinates than a similar pair's do (but for a
-   chance of ``miss``) is dropped; every other pair is decided on the whole sets.
+4. A pair with a centre whose sketches agree in fewer coordinates than a similar pair's
+   do (but for a chance of ``miss``) is dropped, another pair only if sizes or parts of
+   the sets prove it unlike; every other pair is decided on the whole sets.
 
 Texts of a hub and its spokes meet as sorted streams, a hub's spokes dealt over many
 tasks; a task holds one hub's set at a time.  Steps are written to the shared folder and
@@ -51,6 +52,8 @@ MISS = 1e-9
 #: Spokes that meet one copy of their hub, and members of a band that lie in one block.
 SPOKES = 64
 BLOCK = 1024
+#: Parts of the feature domain by which members of a band are told apart.
+PARTS = 512
 #: Input bytes per task where texts meet.
 MEET_BYTES = 32 << 20
 
@@ -204,13 +207,36 @@ def similar(pairs: DataFrame, texts: DataFrame, size: int, percent: int, tasks:
     return met.mapInArrow(run, "a long, b long")
 
 
-def unlike_pairs(members: DataFrame, labels: DataFrame, sketches: DataFrame, least: int, tasks: int) -> DataFrame:
-    """Pairs (a, b) of classes of one band but of unlike labels whose sketches agree in
-    ``least`` coordinates.
+def set_parts(elements: np.ndarray) -> bytes:
+    """One byte for each of PARTS parts of the feature domain, from the elements there:
+    every element that only one of two sets has changes one of them at most."""
+    place = mix(elements + U(0x2545F4914F6CDD1D))
+    sums = np.zeros(PARTS, U)
+    np.add.at(sums, (place % U(PARTS)).astype(np.int64), place >> U(16))
+    return (mix(sums) & U(0xFF)).astype(np.uint8).tobytes()
+
+
+def with_parts(texts: DataFrame, size: int) -> DataFrame:
+    """class, n, parts, text: the set's size and its parts beside the text."""
+
+    def make():
+        def one(batch: pa.RecordBatch) -> dict:
+            sets = [document_set(data, size) for data in text_bytes(batch.column(1))]
+            return {"class": batch.column(0), "n": [len(s) for s in sets], "parts": [set_parts(s) for s in sets], "text": batch.column(1)}
+
+        return one
+
+    return map_batches(texts, ["class", "text"], "class long, n int, parts binary, text string", make)
+
+
+def unlike_pairs(members: DataFrame, labels: DataFrame, texts: DataFrame, percent: int, tasks: int) -> DataFrame:
+    """Pairs (a, b) of classes of one band but of unlike labels, as far as sizes and
+    parts let them be similar; this loses no similar pair.
 
     Within a band the label with most members is left out of one side: only the other
     members are copied to all blocks of the band, so a band that is nearly one component
     costs what it has members.  Blocks are streams in which the copied members come first.
+    Pairs that can't be similar never leave a block.
     """
     named = members.select("band", "class").join(labels, "class", "left").select("band", "class", F.coalesce("label", "class").alias("label"))
     per_label = named.groupBy("band", "label").agg(F.count("*").alias("n"))
@@ -218,35 +244,35 @@ def unlike_pairs(members: DataFrame, labels: DataFrame, sketches: DataFrame, lea
         F.sum("n").alias("size"), F.count("*").alias("labels"), F.max(F.struct("n", "label")).alias("most")
     )
     split = split.where("labels > 1").select("band", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"), F.col("most.label").alias("most"))
-    rest = named.join(split, "band").join(sketches.select("class", "sketch"), "class")
-    own = rest.select("band", F.pmod("class", "blocks").cast("int").alias("block"), F.lit(1).alias("side"), "class", "label", "sketch")
+    rest = named.join(split, "band").join(texts.select("class", "n", "parts"), "class")
+    columns = ["class", "label", "n", "parts"]
+    own = rest.select("band", F.pmod("class", "blocks").cast("int").alias("block"), F.lit(1).alias("side"), *columns)
     copied = rest.where(F.col("label") != F.col("most")).select(
-        "band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("side"), "class", "label", "sketch"
+        "band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("side"), *columns
     )
 
     def run(batches):
-        here, names, kinds, held = None, [], [], []
+        here, held, table = None, [], None
         for batch in batches:
-            bands, blocks, sides, classes, labels_, sketches_ = (batch.column(k).to_pylist() for k in range(6))
+            bands, blocks, sides, classes, labels_, sizes, parts = (batch.column(k).to_pylist() for k in range(7))
             left, right = [], []
             for k, side in enumerate(sides):
                 if here != (bands[k], blocks[k]):
-                    here, names, kinds, held, table = (bands[k], blocks[k]), [], [], [], None
+                    here, held, table = (bands[k], blocks[k]), [], None
                 if side == 0:
-                    names.append(classes[k])
-                    kinds.append(labels_[k])
-                    held.append(sketches_[k])
+                    held.append((classes[k], labels_[k], sizes[k], parts[k]))
                     continue
                 if not held:
                     continue
                 if table is None:
-                    table = np.frombuffer(b"".join(held), "<u2").reshape(len(held), -1)
-                    name, kind = np.array(names), np.array(kinds)
-                unlike = np.flatnonzero(kind != labels_[k])
-                agree = (table[unlike] == np.frombuffer(sketches_[k], "<u2")).sum(axis=1) >= least
-                some = name[unlike[agree]].tolist()
-                left += [min(x, classes[k]) for x in some]
-                right += [max(x, classes[k]) for x in some]
+                    names, kinds, counts = (np.array([h[c] for h in held]) for c in range(3))
+                    table = np.frombuffer(b"".join([h[3] for h in held]), np.uint8).reshape(len(held), -1)
+                most = (100 - percent) * (counts + sizes[k]) // (100 + percent)
+                some = np.flatnonzero((kinds != labels_[k]) & (np.abs(counts - sizes[k]) <= most))
+                differ = (table[some] != np.frombuffer(parts[k], np.uint8)).sum(axis=1)
+                found = names[some[differ <= most[some]]].tolist()
+                left += [min(x, classes[k]) for x in found]
+                right += [max(x, classes[k]) for x in found]
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
     met = own.unionByName(copied).repartition(tasks, "band", "block").sortWithinPartitions("band", "block", "side")
@@ -284,8 +310,10 @@ def near_duplicates(
     wanted = stars.select(F.col("a").alias("class")).union(stars.select("b")).distinct()
     sketches = steps.write(signed.select("class", "sketch").join(wanted, "class", "left_semi").dropDuplicates(["class"]), "sketches")
     # One text stands for each class that is compared; texts travel once to meet its name.
-    names = all_rows.join(wanted, "class", "left_semi").groupBy("class").agg(F.min("name").alias("name"))
-    texts = steps.write(first_texts(docs).join(names, "name").select("class", "text"), "texts")
+    per_class = all_rows.where("class is not null").groupBy("class").agg(F.min("name").alias("name"), F.min("id").alias("least"))
+    per_class = steps.write(per_class, "classes")
+    names = per_class.select("class", "name").join(wanted, "class", "left_semi")
+    texts = steps.write(with_parts(first_texts(docs).join(names, "name"), size), "texts")
 
     first = likely(stars.groupBy("a").agg(F.min("b").alias("b")), sketches, least)
     links = steps.write(similar(steps.write(first, "first"), texts, size, percent, tasks), "links-1")
@@ -294,15 +322,14 @@ def near_duplicates(
     links = links.union(steps.write(similar(steps.write(second, "second"), texts, size, percent, tasks), "links-2"))
     labels = components(links)
     tried = stars.select(F.col("b").alias("a"), F.col("a").alias("b"))  # a centre is less than its members
-    third = steps.write(unlike_pairs(members, labels, sketches, least, tasks).join(tried, ["a", "b"], "left_anti"), "third")
+    third = steps.write(unlike_pairs(members, labels, texts, percent, tasks).join(tried, ["a", "b"], "left_anti"), "third")
     steps.drop("members", "stars", "sketches", "first", "second")
     more = steps.write(similar(third, texts, size, percent, tasks), "links-3")
     if more.limit(1).count():
         labels = components(links.union(more))
     steps.drop("texts", "third")
 
-    least_ids = all_rows.where("class is not null").groupBy("class").agg(F.min("id").alias("least"))
-    named = least_ids.join(labels, "class", "left").select("class", "least", F.coalesce("label", "class").alias("label"))
+    named = per_class.join(labels, "class", "left").select("class", "least", F.coalesce("label", "class").alias("label"))
     found = named.join(named.groupBy("label").agg(F.min("least").alias("component_id")), "label")
     found = found.select(F.col("class").alias("of"), F.col("component_id").alias("reached"))
     component = F.when(F.col("class").isNull(), F.col("id")).otherwise(F.col("reached"))

@@ -5,7 +5,7 @@ import pytest
 
 from quayline.llm import minhash as m
 from quayline.llm.hashing import U, mix
-from tests.llm.test_jaccard import brute, corpus, shingles
+from tests.llm.test_jaccard import brute, corpus, shingles, similar
 
 
 def elements(rng, n):
@@ -80,15 +80,17 @@ def test_unlike_pairs_are_all_that_can_be_similar(spark, monkeypatch):
     monkeypatch.setattr(m, "BLOCK", 4)
     docs = corpus(9, 25, 80)
     sets = [shingles(t, 3) for _, t in docs]
-    sketches = [m.short_sketch(np.array([hash(x) & (1 << 62) - 1 for x in s]).astype(U), 265) for s in sets]
+    parts = [m.set_parts(np.array([hash(x) & (1 << 62) - 1 for x in s]).astype(U)) for s in sets]
     members = spark.createDataFrame([(k % 3, k) for k in range(len(sets))], "band long, class long")
     labels = spark.createDataFrame([(k, k // 2 % 4) for k in range(len(sets)) if k % 5], "class long, label long")
-    held = spark.createDataFrame(list(enumerate(map(bytearray, sketches))), "class long, sketch binary")
+    held = spark.createDataFrame([(k, len(s), bytearray(p)) for k, (s, p) in enumerate(zip(sets, parts, strict=True))], "class long, n int, parts binary")
     label = lambda k: k // 2 % 4 if k % 5 else k
-    agree = lambda a, b: (np.frombuffer(sketches[a], "<u2") == np.frombuffer(sketches[b], "<u2")).sum()
-    want = {(a, b) for b in range(len(sets)) for a in range(b) if a % 3 == b % 3 and label(a) != label(b) and agree(a, b) >= 173}
-    rows = m.unlike_pairs(members, labels, held, 173, 4).collect()
-    assert {(r.a, r.b) for r in rows} == want and len(rows) == len(want) > 5
+    pairs = [(a, b) for b in range(len(sets)) for a in range(b) if a % 3 == b % 3 and label(a) != label(b)]
+    rows = m.unlike_pairs(members, labels, held, 80, 4).collect()
+    got = {(r.a, r.b) for r in rows}
+    assert len(rows) == len(got) and got <= set(pairs) and len(got) < len(pairs) / 2
+    linked = {(a, b) for a, b in pairs if similar(sets[a], sets[b], 80)}
+    assert linked and linked <= got
 
 
 def test_large_groups(spark):
