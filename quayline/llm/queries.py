@@ -7,6 +7,7 @@ from quayline.llm.bpe import op1_bpe
 from quayline.llm.decontaminate import op6_decontaminate
 from quayline.llm.jaccard import op7_jaccard
 from quayline.llm.languages import op10_languages
+from quayline.llm.middle import op13_middle
 from quayline.llm.minhash import op11_minhash
 from quayline.llm.pitman_yor import op2_lm
 from quayline.llm.quality_model import op4_quality
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_secrets": op9_secrets,
     "op10_languages": op10_languages,
     "op11_minhash": op11_minhash,
+    "op13_middle": op13_middle,
 }
 ORACLES = {
     "op6_decontaminate": decontaminate.ORACLE,
