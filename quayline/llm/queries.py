@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quayline.llm import decontaminate
+from quayline.llm.alignment import op12_alignment
 from quayline.llm.bpe import op1_bpe
 from quayline.llm.decontaminate import op6_decontaminate
 from quayline.llm.jaccard import op7_jaccard
@@ -28,6 +29,7 @@ QUERIES = {
     "op9_secrets": op9_secrets,
     "op10_languages": op10_languages,
     "op11_minhash": op11_minhash,
+    "op12_alignment": op12_alignment,
     "op13_middle": op13_middle,
 }
 ORACLES = {
