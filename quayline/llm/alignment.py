@@ -37,6 +37,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -57,7 +58,7 @@ from quayline.llm.tables import Steps, read_table
 RUN_BYTES = 1 << 20
 BLOCK_BYTES = 12 << 20
 #: Pieces that a worker remembers per tokenizer.
-REMEMBERED = 250_000
+REMEMBERED = 500_000
 #: What a vocabulary of SentencePiece writes for a space.
 SPACE_MARK = "\u2581"
 
@@ -73,9 +74,9 @@ class Remembering:
         if len(self.known) > REMEMBERED:
             self.known.clear()
         split = [self.pieces(text) for text in texts]
-        new = list({piece for pieces in split for piece in pieces if piece not in self.known})
+        new = list(set().union(*split).difference(self.known))
         for piece, ids in zip(new, self.library_ids(new), strict=True):
-            self.known[piece] = np.array(ids, "<i4").tobytes()
+            self.known[piece] = array("i", ids).tobytes()
         get = self.known.__getitem__
         return [b"".join(map(get, pieces)) for pieces in split]
 
