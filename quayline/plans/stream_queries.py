@@ -12,10 +12,11 @@ from quayline.plans.file_queries import EVENT_FIELDS, EVENT_TYPES
 from quayline.plans.inputs import CHANGE_SCHEMA, changes, requests, staged_json, staged_parquet, table
 from quayline.session import run_folder
 from quayline.sources.changes import cdc_changes, pipeline_checkpoint
-from quayline.streaming.changes import cdc_stream, read_current
+from quayline.streaming.changes import cdc_stream
 from quayline.streaming.deliveries import ENVELOPE, dedup_stream, delivery_stream
 from quayline.streaming.ingest import drain, ingest_stream, stream_objects
 from quayline.streaming.rates import rate_exceeded_stream
+from quayline.streaming.versions import Store, merge_changes, read_current
 
 ENVELOPE_SCHEMA = (
     "method string, path string, access_key string, header_request_id string, body string, arrived timestamp"
@@ -113,6 +114,20 @@ def stream_cdc(spark, sf_dir):
     return state.select("user_id", "lsn", "op", F.col("after.props").alias("props"))
 
 
+def cdc_versions(spark, sf_dir):
+    """A change log in four commits: current rows after the second and after the last."""
+    log = changes(spark, sf_dir)
+    last = log.agg(F.max("lsn").alias("last")).first()["last"] + 1
+    root = run_folder(spark, "versions")
+    for quarter in range(4):
+        merge_changes(log.where(F.expr(f"lsn * 4 div {last} = {quarter}")), root, ["user_id"], 8, "log", quarter)
+        if quarter == 1:
+            at_half = Store(spark, root).versions()[-1]
+    schema = T.StructType.fromDDL(CHANGE_SCHEMA)
+    states = [read_current(spark, root, schema, version=v).withColumn("quarters", F.lit(q)) for q, v in ((2, at_half), (4, None))]
+    return states[0].unionByName(states[1]).select("quarters", "user_id", "lsn", F.col("after.props").alias("props"))
+
+
 def stream_cdc_log(spark, sf_dir):
     folder = staged_json(spark, changes(spark, sf_dir), "changes")
     log, current = run_folder(spark, "log"), run_folder(spark, "current")
@@ -149,11 +164,17 @@ QUERIES = {
     "stream_delivery": stream_delivery,
     "stream_backup": stream_backup,
     "stream_cdc": stream_cdc,
+    "cdc_versions": cdc_versions,
     "stream_cdc_log": stream_cdc_log,
     "stream_rate": stream_rate,
 }
 
 ORACLES = {
+    "cdc_versions": """
+        WITH cut AS (SELECT q AS quarters, e.* FROM events e, (VALUES (2), (4)) v(q)
+                     WHERE event_id * 4 // (SELECT max(event_id) + 1 FROM events) < q),
+        r AS (SELECT *, row_number() OVER (PARTITION BY quarters, user_id ORDER BY event_id DESC) AS n FROM cut)
+        SELECT quarters, user_id, event_id AS lsn, props FROM r WHERE n = 1 AND event_type <> 'error'""",
     "stream_ingest": """
         SELECT event_id, user_id, event_type, value, props FROM events WHERE event_type IN ('click', 'view')""",
     "stream_resume": "SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders",

@@ -4,60 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from quayline.operators.changes import change_rows, latest
+from quayline.operators.changes import change_rows
 from quayline.operators.tables import write_routed
-from quayline.operators.writes import write_partitioned
 from quayline.streaming.ingest import AVAILABLE_NOW, load_name
-
-IDENTITY = ("schema", "table")
-
-
-def _bucket(keys: Sequence[str], buckets: int):
-    return F.pmod(F.xxhash64(*IDENTITY, *keys), F.lit(buckets)).cast("int")
-
-
-def read_current(spark: SparkSession, root: str, schema: T.StructType, deleted: bool = False) -> DataFrame:
-    """Current rows of all replicated tables; with ``deleted`` also tombstones."""
-    stored = T.StructType([*schema.fields, T.StructField("bucket", T.IntegerType())])
-    try:
-        rows = spark.read.schema(stored).parquet(root)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        rows = spark.createDataFrame([], stored)
-    return rows if deleted else rows.where(F.col("op") != "D").drop("bucket")
-
-
-def merge_changes(batch: DataFrame, root: str, keys: Sequence[str], buckets: int) -> None:
-    """Fold change rows into the current table.
-
-    Only the hash buckets the batch touches are read and rewritten.  The last
-    change by ``lsn`` wins and deletes leave a tombstone, so applying a batch
-    again, or late, changes nothing.
-    """
-    spark = batch.sparkSession
-    identity = [*IDENTITY, *keys]
-    incoming = latest(batch, identity).withColumn("bucket", _bucket(keys, buckets))
-    # At most ``buckets`` small numbers: lets the scan prune directories.
-    touched = [row.bucket for row in batch.select(_bucket(keys, buckets).alias("bucket")).distinct().collect()]
-    if not touched:
-        return
-    current = read_current(spark, root, batch.schema, deleted=True).where(F.col("bucket").isin(touched))
-    merged = latest(current.unionByName(incoming), identity)
-    write_partitioned(merged, root, "parquet", ["bucket"])
-
-
-def rebuild_current(changes: DataFrame, root: str, keys: Sequence[str], buckets: int) -> None:
-    """Write the current table anew from a complete change log."""
-    rows = latest(changes, [*IDENTITY, *keys]).withColumn("bucket", _bucket(keys, buckets))
-    write_partitioned(rows, root, "parquet", ["bucket"], replace_all=True)
-
+from quayline.streaming.versions import merge_changes
 
 def cdc_stream(
     changes: DataFrame,
@@ -71,20 +24,20 @@ def cdc_stream(
 ) -> StreamingQuery:
     """Append a change stream to the log tables and keep the current rows.
 
+    A batch writes its own changes only, as one new version of the current table
+    (see ``versions``); a driver that is lost at any time leaves the version before.
     Choose ``buckets`` so that one holds a few hundred MB of current rows; the
-    number belongs to the table and must not change afterwards.  A batch with
-    more keys than there are buckets rewrites nearly all of them, so give a big
-    table a long trigger: the cost per change falls with the size of the batch.
-    Without a ``current_root`` only the log is written; current rows can be taken
-    from a log at any time.
+    number belongs to the table.  Without a ``current_root`` only the log is
+    written; current rows can be taken from a log at any time.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         batch.persist()
         try:
-            write_routed(change_rows(batch), log_root, load_name(batch, name, number))
+            load = load_name(batch, name, number)
+            write_routed(change_rows(batch), log_root, load)
             if current_root is not None:
-                merge_changes(batch, current_root, keys, buckets)
+                merge_changes(batch, current_root, keys, buckets, load.rsplit("-", 1)[0], number)
         finally:
             batch.unpersist()
 

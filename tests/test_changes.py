@@ -7,7 +7,8 @@ from quayline.operators import changes as c
 from quayline.operators import rules as r
 from quayline.operators.tables import read_table, write_routed
 from quayline.sources.changes import pipeline_checkpoint, range_predicates, snapshot_changes
-from quayline.streaming.changes import merge_changes, read_current, rebuild_current
+from quayline.streaming import versions
+from quayline.streaming.versions import merge_changes, read_current, rebuild_current
 
 ROW = "struct<id: bigint, `Order Date`: string, sales: double>"
 SCHEMA = f"op string, lsn bigint, schema string, table string, id bigint, before {ROW}, after {ROW}"
@@ -99,6 +100,88 @@ def test_merge_in_any_batches_and_again(spark, tmp_path, size):
     assert found(read_current(spark, rebuilt, df.schema)) == state(done)
 
 
+def data_files(root):
+    return {str(f.relative_to(root)): f.stat().st_size for f in (root / "data").rglob("*.parquet")}
+
+
+def test_a_commit_writes_what_changed(spark, tmp_path):
+    """Neither base files nor earlier deltas are touched, and a delta is as large as its changes."""
+    df = spark.createDataFrame([change("I", i, i) for i in range(20_000)], SCHEMA)
+    rebuild_current(df, str(tmp_path), ["id"], 4)
+    before = data_files(tmp_path)
+    some = spark.createDataFrame([change("U", 30_000 + i, 7 * i, i) for i in range(40)] + [change("D", 40_000, 5)], SCHEMA)
+    merge_changes(some, str(tmp_path), ["id"], 4)
+    after = data_files(tmp_path)
+    new = {f: size for f, size in after.items() if f not in before}
+    assert {f: after[f] for f in before} == before and sum(new.values()) < sum(before.values()) / 20
+    rows = found(read_current(spark, str(tmp_path), df.schema))
+    assert len(rows) == 19_999 and rows[("superstore_sales_data", 70)] == 30_010
+    assert found(read_current(spark, str(tmp_path), df.schema, version=1)) == {("superstore_sales_data", i): i for i in range(20_000)}
+    assert read_current(spark, str(tmp_path), df.schema, deleted=True).count() == 20_000
+
+
+def test_deltas_are_folded_and_old_files_go(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(versions, "FOLD_COUNT", 3)
+    log = random_log(240, seed=8)
+    df, root = spark.createDataFrame(log, SCHEMA), str(tmp_path)
+    rebuild_current(df.where("lsn < 40"), root, ["id"], 4)
+    for start in range(40, 240, 20):
+        merge_changes(df.where(f"lsn >= {start} and lsn < {start + 20}"), root, ["id"], 4)
+        assert len(versions.Store(spark, root).manifest()["deltas"]) < 3
+        assert found(read_current(spark, root, df.schema)) == state(log[: start + 20])
+    held = len(data_files(tmp_path))
+    gone = versions.vacuum(spark, root)
+    assert gone and len(data_files(tmp_path)) < held and versions.vacuum(spark, root) == []
+    assert found(read_current(spark, root, df.schema)) == state(log)
+    with pytest.raises(ValueError):
+        read_current(spark, root, df.schema, version=1)
+
+
+@pytest.mark.parametrize("step", ["data", "manifest", "fold"])
+def test_a_killed_writer_changes_nothing(spark, tmp_path, monkeypatch, step):
+    log = random_log(200, seed=4)
+    df, root = spark.createDataFrame(log, SCHEMA), str(tmp_path)
+    merge_changes(df.where("lsn < 100"), root, ["id"], 4, "log", 0)
+    known = versions.Store(spark, root).versions()
+
+    def killed(*_, **__):
+        raise KeyboardInterrupt(step)
+
+    with monkeypatch.context() as patched, pytest.raises(KeyboardInterrupt):
+        if step == "data":  # half of a delta's files are there
+            patched.setattr(versions.Store, "bucket_rows", killed)
+        elif step == "manifest":  # all files, and a manifest that was never renamed
+            (tmp_path / "_versions" / ".staged").write_text('{"version": ')
+            patched.setattr(versions.Store, "commit", killed)
+        else:
+            patched.setattr(versions, "_new_base", killed)
+        merge_changes(df.where("lsn >= 100 and lsn < 150"), root, ["id"], 4, "log", 1)
+    done = 150 if step == "fold" else 100
+    assert found(read_current(spark, root, df.schema)) == state(log[:done])
+    assert (versions.Store(spark, root).versions() == known) == (step != "fold")
+    merge_changes(df.where("lsn >= 100 and lsn < 150"), root, ["id"], 4, "log", 1)  # the restart
+    merge_changes(df.where("lsn >= 150"), root, ["id"], 4, "log", 2)
+    assert found(read_current(spark, root, df.schema)) == state(log)
+    versions.vacuum(spark, root, keep=1)
+    assert found(read_current(spark, root, df.schema)) == state(log)
+
+
+def test_a_batch_is_applied_once_and_writers_exclude_each_other(spark, tmp_path):
+    df, root = spark.createDataFrame(random_log(50), SCHEMA), str(tmp_path)
+    merge_changes(df, root, ["id"], 4, "log", 3)
+    store = versions.Store(spark, root)
+    known, files = store.versions(), data_files(tmp_path)
+    merge_changes(df, root, ["id"], 4, "log", 3)
+    merge_changes(df.limit(0), root, ["id"], 4, "log", 4)
+    assert store.versions() == known and data_files(tmp_path) == files
+    with pytest.raises(Exception, match="exist"):
+        store.commit(store.manifest())
+    assert store.versions() == known
+    for keys, buckets in ((["id"], 5), (["lsn"], 4)):
+        with pytest.raises(ValueError):
+            merge_changes(df, root, keys, buckets)
+
+
 def test_merge_of_nothing(spark, tmp_path):
     df = spark.createDataFrame([], SCHEMA)
     merge_changes(df, str(tmp_path / "current"), ["id"], 4)

@@ -7,7 +7,9 @@ from quayline.operators.backups import replay_backup
 from quayline.operators.tables import count_table, dump_tables, table_counts
 from quayline.plans.stream_queries import ENVELOPE_SCHEMA
 from quayline.sources.changes import cdc_changes
-from quayline.streaming.changes import cdc_stream, read_current
+from quayline.streaming import versions
+from quayline.streaming.changes import cdc_stream
+from quayline.streaming.versions import read_current
 from quayline.streaming.deliveries import dedup_stream, delivery_stream
 from quayline.streaming.ingest import buffer_trigger, drain, ingest_stream, stream_objects
 from test_changes import SCHEMA, found, random_log, state
@@ -160,3 +162,31 @@ def test_change_stream_equals_batch(spark, tmp_path):
         drain(cdc_stream(stream, str(tmp_path / "log"), current, ["id"], str(tmp_path / "c"), buckets=3))
     assert found(read_current(spark, current, df.schema)) == state(log)
     assert count_table(spark, str(tmp_path / "log"), "public_superstore__sales__data").first()["cnt"] == len(log)
+
+
+def test_change_stream_goes_on_after_a_kill(spark, tmp_path, monkeypatch):
+    """The driver dies after a batch's files were written and before they were committed."""
+    log = random_log()
+    df = spark.createDataFrame(log, SCHEMA)
+    df.repartition(5).write.json(str(tmp_path / "in"))
+    current = str(tmp_path / "current")
+
+    def run():
+        stream = cdc_changes(spark, str(tmp_path / "in"), SCHEMA, max_bytes=10_000)
+        drain(cdc_stream(stream, str(tmp_path / "log"), current, ["id"], str(tmp_path / "c"), buckets=3))
+
+    commit, calls = versions.Store.commit, []
+
+    def sometimes(self, manifest):
+        calls.append(manifest["version"])
+        if len(calls) in (2, 4):
+            raise RuntimeError("killed")
+        commit(self, manifest)
+
+    monkeypatch.setattr(versions.Store, "commit", sometimes)
+    for _ in range(2):
+        with pytest.raises(Exception, match="killed"):
+            run()
+    run()
+    assert found(read_current(spark, current, df.schema)) == state(log)
+    assert count_table(spark, str(tmp_path / "log"), "public_superstore__sales__data").first()["cnt"] == len(log)
