@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quayline.functions.text import first_non_empty
+from quayline.operators.running import last_so_far, micros
 
 
 def apply_defaults(df: DataFrame, defaults: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -30,30 +32,45 @@ def effective_ranges(routes: DataFrame, source: str, since: str = "valid_from")
 
     Configuration history: a source has as many rows as it was retargeted.
     """
-    # Grouped by a hash of the source instead of the source itself: a join on the
-    # source then shuffles both of its sides, and only such a join can be split
-    # when records of one source are too many for one task.
-    grouped = Window.partitionBy(F.xxhash64(source)).orderBy(source, since)
-    same = F.lead(source).over(grouped) == F.col(source)
-    return routes.withColumn("valid_to", F.when(same, F.lead(since).over(grouped)))
+    grouped = Window.partitionBy(source).orderBy(since)
+    return routes.withColumn("valid_to", F.lead(since).over(grouped))
+
+
+def _moment(df: DataFrame, column: str) -> Column:
+    """A time as a number; numbers stay what they are."""
+    return F.col(column).cast("long") if isinstance(df.schema[column].dataType, T.NumericType) else micros(column)
 
 
 def route_as_of(
-    records: DataFrame, routes: DataFrame, source: str, ts: str, since: str = "valid_from", until: str = "valid_to"
+    records: DataFrame,
+    routes: DataFrame,
+    source: str,
+    ts: str,
+    since: str = "valid_from",
+    until: str = "valid_to",
+    slices: int | None = None,
 ) -> DataFrame:
     """Add the columns of the route that was valid when a record arrived.
 
-    ``since <= ts < until``; an open end is NULL; records no route covers keep
-    NULLs.  The join is an equi-join on the source with the range as a further
-    condition: Spark broadcasts the routes if they are small and otherwise sorts
-    and merges, splitting the partition of a hot source.
+    ``since <= ts < until``; an open end is NULL; records no route covers, and records
+    without source or time, keep NULLs.  Ranges of one source must not overlap, as those
+    of ``effective_ranges`` don't.  Records and routes of a source are put in order of
+    time once and each record takes the last route so far: no record meets another
+    route, however many its source has, and a hot source is cut into slices of time.
+    Finding hot sources takes a pass over the two key columns.
     """
     added = [c for c in routes.columns if c not in (source, since, until)]
-    v = routes.select(source, since, until, *added).alias("v")
-    r = records.alias("r")
-    covers = (
-        (F.col(f"r.{source}") == F.col(f"v.{source}"))
-        & (F.col(f"r.{ts}") >= F.col(f"v.{since}"))
-        & (F.col(f"v.{until}").isNull() | (F.col(f"r.{ts}") < F.col(f"v.{until}")))
+    route = F.struct(_moment(routes, until).alias("until"), *[F.col(f"`{c}`") for c in added])
+    record = F.struct(*[F.col(f"`{c}`") for c in records.columns])
+    # Of routes that begin together the one that ends last is the one that covers anything.
+    ends = F.coalesce(_moment(routes, until), F.lit((1 << 63) - 1))
+    begun = routes.where(F.col(source).isNotNull() & F.col(since).isNotNull()).select(
+        F.col(source).alias("_source"), _moment(routes, since).alias("_at"), F.lit(0).alias("_kind"), ends.alias("_end"), route.alias("_route")
+    )
+    asking = records.select(
+        F.col(source).alias("_source"), _moment(records, ts).alias("_at"), F.lit(1).alias("_kind"), F.lit(0).cast("long").alias("_end"), record.alias("_record")
     )
-    return r.join(v, covers, "left").select("r.*", *[F.col(f"v.{c}") for c in added])
+    both = begun.unionByName(asking, allowMissingColumns=True)
+    found = last_so_far(both, ["_source"], "_at", "_route", "_found", ["_kind", "_end"], slices).where("_kind = 1")
+    covered = F.col("_source").isNotNull() & F.col("_at").isNotNull() & (F.col("_found.until").isNull() | (F.col("_at") < F.col("_found.until")))
+    return found.select("_record.*", *[F.when(covered, F.col("_found")[c]).alias(c) for c in added])

@@ -1,11 +1,12 @@
-"""Running sums and trailing-window counts that never hold one key in one task.
+"""Running sums, trailing-window counts and as-of lookups that never hold one key in one task.
 
 A plain window function sorts all rows of a key in one task.  One key may hold a
 third of all rows, so keys that hold more than a fair share are cut along the
 order axis, at its quantiles: a slice of such a key holds about 1/slices of all
 rows at most.  Each slice is summed by itself, and the totals of the earlier
 slices (one row per hot key and slice) are added afterwards.  All other keys stay
-whole and cost what a plain window costs.
+whole and cost what a plain window costs.  "The last value so far" is cut the same way,
+with the last value of each slice in place of its total.
 """
 
 from __future__ import annotations
@@ -85,40 +86,79 @@ def running_sum(
     keys and ``order``, their totals take another, so store ``df`` first if it is
     costly to compute.
     """
+    return running_sums(df, keys, order, {out: value}, ties, slices)
+
+
+def running_sums(
+    df: DataFrame, keys: Sequence[str], order: str, sums: dict[str, str], ties: Sequence[str] = (), slices: int | None = None
+) -> DataFrame:
+    """Several running sums (output column -> summed column) along one order, in one pass."""
     hot, bounds = hot_keys_and_bounds(df, keys, order, slices)
-    return _sliced_sum(df, keys, order, value, out, ties, hot, bounds, df)
+    return _sliced_sums(df, keys, order, sums, ties, hot, bounds, df)
 
 
-def _sliced_sum(
+def _sliced_sums(
     df: DataFrame,
     keys: Sequence[str],
     order: str,
-    value: str,
-    out: str,
+    sums: dict[str, str],
     ties: Sequence[str],
     hot: Sequence[int],
     bounds: Sequence[float],
     movements: DataFrame,
 ) -> DataFrame:
-    """The running sum for given hot keys and bounds; ``movements`` are rows with
+    """The running sums for given hot keys and bounds; ``movements`` are rows with
     the same sums per key and order, from which the totals are taken."""
     group = [*keys, "_slice"]
     within = Window.partitionBy(*group).orderBy(order, *ties)
     frame = within.rowsBetween if ties else within.rangeBetween
-    local = F.sum(value).over(frame(Window.unboundedPreceding, Window.currentRow))
-    summed = with_slice(df, keys, order, hot, bounds).withColumn(out, local)
+    local = {out: F.sum(value).over(frame(Window.unboundedPreceding, Window.currentRow)) for out, value in sums.items()}
+    summed = with_slice(df, keys, order, hot, bounds).withColumns(local)
     if not hot or not bounds:
         return summed.drop("_slice")
 
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     of_hot = with_slice(movements.where(is_hot(keys, hot)), keys, order, hot, bounds)
-    totals = of_hot.groupBy(*group).agg(F.sum(value).alias("_total"))
-    offsets = totals.select(*group, F.sum("_total").over(before).alias("_offset")).alias("o")
-    same_group = [F.col(f"s.`{k}`").eqNullSafe(F.col(f"o.`{k}`")) for k in keys]
-    same_group.append(F.col("s._slice") == F.col("o._slice"))
-    joined = summed.alias("s").join(offsets, same_group, "left")
+    totals = of_hot.groupBy(*group).agg(*[F.sum(value).alias(f"_total_{k}") for k, value in enumerate(sums.values())])
+    offsets = totals.select(*group, *[F.sum(f"_total_{k}").over(before).alias(f"_offset_{k}") for k in range(len(sums))])
+    joined = summed.alias("s").join(offsets.alias("o"), _same_group(keys), "left")
+    kept = [F.col(f"s.`{c}`") for c in df.columns if c not in sums]
+    added = [(F.col(f"s.`{out}`") + F.coalesce(f"o._offset_{k}", F.lit(0))).alias(out) for k, out in enumerate(sums)]
+    return joined.select(*kept, *added)
+
+
+def _same_group(keys: Sequence[str]) -> list[Column]:
+    return [*[F.col(f"s.`{k}`").eqNullSafe(F.col(f"o.`{k}`")) for k in keys], F.col("s._slice") == F.col("o._slice")]
+
+
+def last_so_far(
+    df: DataFrame, keys: Sequence[str], order: str, value: str, out: str, ties: Sequence[str] = (), slices: int | None = None
+) -> DataFrame:
+    """Add ``out``: the last non-null ``value`` of the key at or before each row, along the
+    numeric column ``order``; rows of equal order are taken in the order of ``ties``.
+
+    This is an as-of lookup without a join: put what is looked up (with a ``value``) and
+    what asks (without) into one DataFrame.  A hot key is cut into slices of the order;
+    a slice starts from the last value of the slices before it, one row per hot key and
+    slice, and nothing is ever paired.
+    """
+    hot, bounds = hot_keys_and_bounds(df, keys, order, slices)
+    group = [*keys, "_slice"]
+    within = Window.partitionBy(*group).orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = with_slice(df, keys, order, hot, bounds).withColumn(out, F.last(value, ignorenulls=True).over(within))
+    if not hot or not bounds:
+        return found.drop("_slice")
+    of_hot = with_slice(df.where(is_hot(keys, hot) & F.col(value).isNotNull()), keys, order, hot, bounds)
+    last = of_hot.groupBy(*group).agg(F.max_by(value, F.struct(order, *ties)).alias("_end"))
+    # Every slice of a hot key gets a row, with values or not: what came before it.
+    numbers = F.transform(F.sequence(F.lit(-1), F.lit(len(bounds))), lambda n: F.struct(n.alias("_slice"), F.lit(None).cast(df.schema[value].dataType).alias("_end")))
+    all_slices = last.select(*keys).distinct().select(*keys, F.inline(numbers))
+    filled = last.select(*group, "_end").unionByName(all_slices).groupBy(*group).agg(F.max_by("_end", F.col("_end").isNotNull()).alias("_end"))
+    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = filled.select(*group, F.last("_end", ignorenulls=True).over(before).alias("_carried"))
+    joined = found.alias("s").join(carried.alias("o"), _same_group(keys), "left")
     kept = [F.col(f"s.`{c}`") for c in df.columns if c != out]
-    return joined.select(*kept, (F.col(f"s.`{out}`") + F.coalesce("o._offset", F.lit(0))).alias(out))
+    return joined.select(*kept, F.coalesce(F.col(f"s.`{out}`"), F.col("o._carried")).alias(out))
 
 
 def running_total(
@@ -161,7 +201,7 @@ def window_counts(
     busy = timed.where(is_hot(keys, hot))
     counted = busy.groupBy(*keys, ts).agg(F.count("*").alias("_n"))
     movements = moves(busy, F.lit(1).cast("bigint"))
-    summed = _sliced_sum(moves(counted, F.col("_n")), keys, "step", "change", "requests", (), hot, bounds, movements)
+    summed = _sliced_sums(moves(counted, F.col("_n")), keys, "step", {"requests": "change"}, (), hot, bounds, movements)
     return counts.unionByName(summed.where("enters").select(*keys, ts, "requests"))
 
 
@@ -175,32 +215,3 @@ def rate_exceeded(
     same = [F.col(f"r.`{c}`").eqNullSafe(F.col(f"o.`{c}`")) for c in (*keys, ts)]
     joined = df.alias("r").join(over, same, "left")
     return joined.select("r.*", F.coalesce(F.col(f"o.`{out}`"), F.lit(False)).alias(out))
-
-
-def assign_batches(
-    df: DataFrame,
-    stream: str,
-    ts: str,
-    size: str,
-    max_bytes: int,
-    seconds: int,
-    ties: Sequence[str],
-) -> DataFrame:
-    """Number the delivery batch of each record: ``window_start, batch``.
-
-    The interval timer ticks on fixed boundaries.  Within one interval of one
-    stream a new batch begins whenever another ``max_bytes`` are full, counted
-    over all records of the interval; the record that fills a batch still
-    belongs to it.  Unlike a buffer that restarts at each flush, this depends on
-    sums only, so a busy stream spreads over many tasks.
-    """
-    width = seconds * MICROS
-    at = micros(ts)
-    timed = df.withColumn("_at", at).withColumn("_window", F.floor(F.col("_at") / F.lit(width)).cast("bigint"))
-    summed = running_sum(timed, [stream, "_window"], "_at", size, "_bytes", ties=ties)
-    before = F.col("_bytes") - F.col(size)
-    return summed.select(
-        *df.columns,
-        F.timestamp_micros(F.col("_window") * width).cast("timestamp_ntz").alias("window_start"),
-        F.floor(before / F.lit(max_bytes)).cast("bigint").alias("batch"),
-    )

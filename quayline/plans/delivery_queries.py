@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quayline.operators import deliveries as d
-from quayline.operators.running import assign_batches, running_total
+from quayline.operators.batches import assign_batches
+from quayline.operators.running import running_total
 from quayline.operators.tables import dump_tables, table_counts, write_routed
 from quayline.plans.inputs import requests, staged_parquet, table
 from quayline.session import run_folder
@@ -99,12 +100,12 @@ def table_dump(spark, sf_dir):
 
 
 def assign_batches_query(spark, sf_dir):
-    """Batches of event records: 256 bytes of text or one day."""
+    """Batches of event records: 256 bytes of text or one day, both from the first record on."""
     events = table(spark, sf_dir, "events").select(
         "event_id", "event_type", "ts", (F.length("props") + F.length("event_type")).cast("bigint").alias("bytes")
     )
     return assign_batches(events, "event_type", "ts", "bytes", 256, 86_400, ["event_id"]).select(
-        "event_id", "window_start", "batch"
+        "event_id", "batch", "opened"
     )
 
 
@@ -196,14 +197,17 @@ ORACLES = {
         UNION ALL
         SELECT event_type, NULL, NULL, event_type FROM stored""",
     "assign_batches": """
-        WITH sized AS (
+        WITH RECURSIVE numbered AS (
           SELECT event_id, event_type, ts, length(props) + length(event_type) AS bytes,
-                 epoch_us(ts) // 86400000000 AS w
+                 row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n
           FROM events),
-        summed AS (
-          SELECT *, sum(bytes) OVER (PARTITION BY event_type, w ORDER BY epoch_us(ts), event_id
-                                     ROWS UNBOUNDED PRECEDING) - bytes AS before
-          FROM sized)
-        SELECT event_id, make_timestamp(w * 86400000000) AS window_start, CAST(before // 256 AS BIGINT) AS batch
-        FROM summed""",
+        walk AS (
+          SELECT event_id, event_type, n, ts AS opened, bytes AS held, 0 AS batch FROM numbered WHERE n = 1
+          UNION ALL
+          SELECT r.event_id, r.event_type, r.n,
+                 CASE WHEN w.held >= 256 OR r.ts >= w.opened + INTERVAL 1 DAY THEN r.ts ELSE w.opened END,
+                 CASE WHEN w.held >= 256 OR r.ts >= w.opened + INTERVAL 1 DAY THEN 0 ELSE w.held END + r.bytes,
+                 w.batch + CASE WHEN w.held >= 256 OR r.ts >= w.opened + INTERVAL 1 DAY THEN 1 ELSE 0 END
+          FROM walk w JOIN numbered r ON r.event_type = w.event_type AND r.n = w.n + 1)
+        SELECT event_id, CAST(batch AS BIGINT) AS batch, opened FROM walk""",
 }

@@ -4,7 +4,8 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from quayline.operators.running import assign_batches, hot_keys_and_bounds, rate_exceeded, running_sum, running_total, window_counts
+from quayline.operators.batches import assign_batches
+from quayline.operators.running import hot_keys_and_bounds, last_so_far, rate_exceeded, running_sum, running_total, window_counts
 
 START = datetime(2024, 1, 1)
 
@@ -85,10 +86,45 @@ def test_rate_exceeded_flags_rows(spark):
     assert got == {**{i: i >= 3 for i in range(10)}, 99: False, 100: False, 101: False}
 
 
-def test_assign_batches(spark):
-    rows = [(i, "s", START + timedelta(seconds=30 * i), 40) for i in range(6)]
-    df = spark.createDataFrame(rows, "i int, s string, ts timestamp, n bigint")
-    got = assign_batches(df, "s", "ts", "n", max_bytes=100, seconds=120, ties=["i"]).orderBy("i").collect()
-    assert [(r.window_start, r.batch) for r in got] == [
-        (START, 0), (START, 0), (START, 0), (START, 1), (START + timedelta(minutes=2), 0), (START + timedelta(minutes=2), 0)
-    ]
+def flushed(rows, max_bytes, seconds):
+    """A buffer per stream, record by record: (i, batch, opened)."""
+    out, held = [], {}
+    for i, stream, at, n in sorted(rows, key=lambda r: (r[2] is not None, r[2] or START, r[0])):
+        batch, opened, size = held.get(stream, (-1, None, max_bytes))
+        aged = size < max_bytes and at is not None and (opened is None or at >= opened + timedelta(seconds=seconds))
+        if size >= max_bytes or aged:
+            batch, opened, size = batch + 1, at, 0
+        held[stream] = (batch, opened, size + max(n or 0, 0))
+        out.append((i, batch, opened))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("max_bytes,seconds,slices", [(100, 120, None), (100, 120, 5), (1, 120, 4), (10**9, 45, 3), (700, 3600, 6)])
+def test_assign_batches(spark, max_bytes, seconds, slices):
+    rng = random.Random(max_bytes + seconds)
+    rows = [
+        (i, "hot" if rng.random() < 0.6 else rng.choice(["a", "b", None]), START + timedelta(seconds=rng.randrange(2000)), rng.choice([0, 5, 40, 300, None]))
+        for i in range(400)
+    ] + [(500 + k, "a", None, 60) for k in range(5)]
+    df = spark.createDataFrame(rows, "i int, s string, ts timestamp, n bigint").repartition(5)
+    got = assign_batches(df, "s", "ts", "n", max_bytes, seconds, ties=["i"], slices=slices)
+    assert got.columns == ["i", "s", "ts", "n", "batch", "opened"]
+    assert sorted((r.i, r.batch, r.opened) for r in got.collect()) == flushed(rows, max_bytes, seconds)
+
+
+def test_batches_of_nothing(spark):
+    df = spark.createDataFrame([], "i int, s string, ts timestamp, n bigint")
+    assert assign_batches(df, "s", "ts", "n", 10, 10, ties=["i"]).collect() == []
+
+
+@pytest.mark.parametrize("slices", [None, 1, 4, 9])
+def test_last_so_far(spark, slices):
+    rng = random.Random(slices or 0)
+    rows = [(i, "hot" if rng.random() < 0.7 else rng.choice(["a", "b", None]), rng.choice([None, *range(60)]), rng.choice([None, None, None, i])) for i in range(500)]
+    df = spark.createDataFrame(rows, "i int, k string, o bigint, v int").repartition(6)
+    got = {r.i: r.last for r in last_so_far(df, ["k"], "o", "v", "last", ["i"], slices).collect()}
+    last = {}
+    for i, k, _, v in sorted(rows, key=lambda r: (r[2] is not None, r[2] or 0, r[0])):
+        last[k] = v if v is not None else last.get(k)
+        assert got[i] == last[k]
+    assert len(got) == len(rows)

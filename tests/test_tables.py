@@ -259,6 +259,31 @@ def test_route_as_of(spark, broadcast):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+@pytest.mark.parametrize("slices", [None, 6])
+def test_many_routes_and_a_hot_source(spark, slices):
+    """A source with 10,000 routes and most of the records; no record is joined with routes."""
+    import random
+    from bisect import bisect_right
+
+    rng = random.Random(1)
+    starts = {"hot": sorted(rng.sample(range(200_000), 10_000)), "a": [5, 100], "b": []}
+    routes = [(s, t, f"{s}{t}") for s, some in starts.items() for t in some]
+    records = [(i, "hot" if rng.random() < 0.8 else rng.choice(["a", "b", "c", None]), rng.choice([None, rng.randrange(210_000)])) for i in range(4_000)]
+    gaps = routing.effective_ranges(spark.createDataFrame(routes, "s string, valid_from long, table string"), "s")
+    gaps = gaps.withColumn("valid_to", F.when(F.col("valid_from") % 7 == 0, F.col("valid_from") + 3).otherwise(F.col("valid_to")))
+    df = spark.createDataFrame(records, "i int, s string, ts long").repartition(7)
+    routed = routing.route_as_of(df, gaps, "s", "ts", slices=slices)
+    got = {r.i: r.table for r in routed.collect()}
+    ends = {(r.s, r.valid_from): r.valid_to for r in gaps.collect()}
+    for i, s, t in records:
+        k = bisect_right(starts.get(s, []), t) - 1 if t is not None else -1
+        end = ends[(s, starts[s][k])] if k >= 0 else 0
+        assert got[i] == (f"{s}{starts[s][k]}" if k >= 0 and (end is None or t < end) else None)
+    plan = routed._jdf.queryExecution().optimizedPlan().toString()
+    assert len(got) == 4_000
+    assert plan.count("Join") == plan.count("Join LeftOuter") == 1 and "_carried" in plan  # what came before each slice
+
+
 def test_dump_holds_whole_documents(spark, tmp_path):
     root = str(tmp_path / "lake")
     tables.append_table(spark.sql("select 'ü' as text, array(1,2) as xs"), root, "t", "l1")
