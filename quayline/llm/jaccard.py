@@ -10,19 +10,18 @@ elements in each such choice of sub-parts is one signature.  Sets that share no
 signature are not similar; those that do are candidates, and every candidate is
 verified on the whole sets.
 
-Texts with equal sets are one class, and only classes are compared.  Within a group of
-classes that share a signature the most connected class is compared with all others,
-which settles most groups in as many comparisons as they have members.  Members that
-are then still in unlike components are compared by sketches first (every differing
-element changes at most one of 256 parts), and verified if these let them be similar.
-So all links that matter for components are found, without all pairs of a group.
+Texts with equal sets are one class, and only classes are compared; which of those that
+share a signature are compared, and how, says ``linking``: no link that matters for
+components is lost.
 
 Hashes of words, n-grams and sets have 64 bits (see ``hashing``).
 
 Cases: null, empty and blank texts have empty sets and are linked with nothing; a text
-of fewer words than an n-gram is one n-gram.  Repeated rows fall into one class and each
-gets its row.  Null ids never become a component's id unless all ids are null.  Texts
-are taken whole.  Empty input gives no rows.
+of fewer words than an n-gram is one n-gram.  Repeated rows, and ties, fall into one class
+and each gets its row.  Ids may have any type that has an order; null ids never become a
+component's id unless all ids are null.  Texts are taken whole.  Other columns, whatever
+their names, are not read by ``similarity_groups`` and all kept by ``keep_one``.  Empty
+input gives no rows.
 """
 
 from __future__ import annotations
@@ -33,22 +32,22 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from quayline.llm.hashing import U, mix, shingle_hashes, text_bytes, word_hashes
+from quayline.llm.hashing import U, mix, text_bytes
+from quayline.llm.linking import document_set, linked_components, possible, representatives, set_class, with_low
 from quayline.llm.packing import pack, unpack
-from quayline.llm.tables import bucket_count, map_batches, read_table, written
+from quayline.llm.tables import Steps, bucket_count, give_back, map_batches, read_table
 
 #: Each band's sizes reach from this share of its largest size, or from the similarity.
 BAND = 0.75
-#: Input bytes per bucket of signatures, and signatures per block on the way there.
-BUCKET_BYTES = 64 << 20
-BLOCK = 1 << 21
-#: Members of a group that are compared with each other in one place, parts of a sketch.
-GROUP_BLOCK = 1024
-SKETCH = 256
+#: Input bytes per bucket of signatures, and per task where texts meet; signatures per
+#: block on the way to the buckets.
+BUCKET_BYTES = 24 << 20
+MEET_BYTES = 32 << 20
+BLOCK = 1 << 19
 #: Share of sets that may have to keep empty signatures, and how far spare parts are tried.
 RISK = 1e-4
 MOST_SPARE = 16
@@ -153,31 +152,24 @@ class Signer:
         return made
 
 
-def document_set(data: np.ndarray, size: int) -> np.ndarray:
-    """Sorted distinct hashes of a text's n-grams."""
-    return np.unique(shingle_hashes(word_hashes(data), size))
-
-
-def set_class(elements: np.ndarray) -> int:
-    """One number per set, as a signed 64-bit integer."""
-    return int(mix(np.array([mix(elements).sum(dtype=U) + U(len(elements))], U)).view(np.int64)[0])
-
-
 def document_classes(docs: DataFrame, size: int) -> DataFrame:
-    """id, n_shingles, class (null for empty sets) of every row of (id, text)."""
+    """id, name (a hash of the text), n_shingles, class (null for empty sets) of every row
+    of (id, text)."""
 
     def make():
         def one(batch: pa.RecordBatch) -> dict:
             counts, classes = [], []
-            for data in text_bytes(batch.column(1)):
+            for data in text_bytes(batch.column(2)):
                 elements = document_set(data, size)
                 counts.append(len(elements))
                 classes.append(set_class(elements) if len(elements) else None)
-            return {"id": batch.column(0), "n_shingles": counts, "class": classes}
+            return {"id": batch.column(0), "name": batch.column(1), "n_shingles": counts, "class": classes}
 
         return one
 
-    return map_batches(docs, ["id", "text"], "id long, n_shingles long, class long", make)
+    named = docs.select("id", F.xxhash64("text").alias("name"), "text")
+    kind = docs.schema["id"].dataType.simpleString()
+    return map_batches(named, ["id", "name", "text"], f"id {kind}, name long, n_shingles long, class long", make)
 
 
 def shared_signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -236,8 +228,10 @@ def shared_signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 if waiting >= BLOCK:
                     yield out(flush())
                     waiting = 0
+                    give_back()
         if held:
             yield out(flush())
+        give_back()
 
     def meet(table: pa.Table) -> pa.Table:
         parts = {"one": ([], [], []), "more": ([], [], [])}
@@ -258,6 +252,7 @@ def shared_signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
             keep = new & np.repeat(whole > 1, np.diff(np.r_[starts, len(sigs)]))
             sigs, classes = sigs[keep], classes[keep]
         more_sigs, more_classes = (join(p, t) for p, t in zip(parts["more"][:2], (U, np.int64), strict=True))
+        give_back()
         return pa.table({
             "sig": np.concatenate([sigs, more_sigs]).view(np.int64), "class": np.concatenate([classes, more_classes])
         })
@@ -268,165 +263,27 @@ def shared_signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
     return sent.groupBy("bucket").applyInArrow(meet, "sig long, class long")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b) of classes those that are similar."""
-    left = sets.select(F.col("class").alias("a"), F.col("elements").alias("left"))
-    right = sets.select(F.col("class").alias("b"), F.col("elements").alias("right"))
-    both = F.size(F.array_intersect("left", "right"))
-    either = F.size("left") + F.size("right") - both
-    return pairs.join(left, "a").join(right, "b").where(100 * both >= percent * either).select("a", "b")
-
-
-def components(links: DataFrame) -> DataFrame:
-    """class, label of all classes in links (a, b): the least class of each component.
-
-    Every round takes the least label around each class and then the label of that
-    label, until nothing changes; each round is written, so lineage stays short.
-    """
-    both = written(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
-    labels = written(both.groupBy("a").agg(F.least("a", F.min("b")).alias("label")).withColumnRenamed("a", "class"), "labels")
-    while True:
-        around = both.join(labels, both.b == labels["class"]).groupBy("a").agg(F.min("label").alias("near"))
-        near = labels.join(around, labels["class"] == around.a, "left").select(
-            "class", "label", F.least("label", "near").alias("near")
-        )
-        jump = labels.select(F.col("class").alias("near"), F.col("label").alias("far"))
-        new = near.join(jump, "near", "left").select("class", "label", F.least("near", "far").alias("new"))
-        new = written(new, "labels")
-        if new.where("new <> label").limit(1).count() == 0:
-            return new.select("class", "label")
-        labels = new.select("class", F.col("new").alias("label"))
-
-
-def known(column: str) -> Column:
-    """An id that can be joined on: null as the least number."""
-    return F.coalesce(F.col(column), F.lit(-(1 << 63)).cast("long"))
-
-
-def class_components(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
-    """class, label of all classes that are linked with another."""
-    members = written(shared_signatures(docs, size, percent), "signatures")
-    sizes = members.groupBy("sig").agg(F.count("*").alias("size"))
-    degrees = members.join(sizes, "sig").groupBy("class").agg(F.sum("size").alias("degree"))
-    degrees = written(degrees, "degrees")
-    ranked = members.join(degrees, "class")
-    centres = ranked.groupBy("sig").agg(F.max(F.struct("degree", "class")).alias("top")).select("sig", F.col("top.class").alias("b"))
-    star = members.join(centres, "sig").where(F.col("class") != F.col("b")).select(F.col("class").alias("a"), "b").distinct()
-    star = written(star, "candidates")
-
-    # One document stands for each class that is compared; only its text is read again.
-    chosen = degrees.select("class").join(classes.where("class is not null").groupBy("class").agg(F.min("id").alias("id")), "class")
-    # Rows of one id lie together after the join, so equal ones go without a shuffle.
-    texts = docs.select(known("id").alias("key"), "text").join(chosen.select(known("id").alias("key"), "class"), "key")
-    sets = written(class_sets(texts.dropDuplicates(["key", "class", "text"]), size), "sets")
-
-    links = written(verified(star, sets, percent), "links")
-    labels = components(links)
-    # Groups that are not one component yet: compare what lies in unlike components.
-    named = members.join(labels, "class", "left").select("sig", "class", F.coalesce("label", "class").alias("label"))
-    split = named.groupBy("sig").agg(F.count("*").alias("size"), (F.min("label") != F.max("label")).alias("split"))
-    rest = named.join(split.where("split").select("sig", "size"), "sig")
-    pairs = unlike_pairs(rest.join(sets.select("class", "sketch", F.size("elements").alias("n")), "class"), percent)
-    tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    untried = written(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")  # mostly few: Spark then sees their size
-    more = written(verified(untried, sets, percent), "links")
-    if more.limit(1).count() == 0:
-        return labels
-    return components(links.union(more))
-
-
-def unlike_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of classes of one signature but of unlike labels, as far as sizes and
-    sketches let them be similar.
-
-    Rows are (sig, size of its group, class, label, sketch, n).  A large group is dealt
-    into blocks, each pair of blocks to its own place, so no task holds more than two
-    blocks of a group; pairs that can't be similar never leave numpy.
-    """
-    blocks = F.ceil(F.col("size") / GROUP_BLOCK).cast("int")
-    dealt = rows.select("*", blocks.alias("blocks")).select("*", F.pmod("class", "blocks").cast("int").alias("own"))
-    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    tasks = 8 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    first, second = F.least("own", "other"), F.greatest("own", "other")
-    dealt = dealt.select(
-        "sig", first.alias("i"), second.alias("j"), "own", "class", "label", "sketch", "n",
-        F.pmod(F.xxhash64("sig", first, second), F.lit(tasks)).alias("task"),
-    )
-
-    def compare(table: pa.Table) -> pa.Table:
-        sig, i, j, own, name, label, n = (table[c].to_numpy() for c in ("sig", "i", "j", "own", "class", "label", "n"))
-        sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint16).reshape(len(sig), SKETCH)
-        order = np.lexsort((j, i, sig))
-        turns = np.flatnonzero((np.diff(sig[order], prepend=sig[order][0] - 1) != 0) | (np.diff(i[order], prepend=-1) != 0) | (np.diff(j[order], prepend=-1) != 0))
-        left, right = [], []
-        for start, end in zip(turns.tolist(), [*turns[1:].tolist(), len(order)], strict=True):
-            group = order[start:end]
-            one, two = group[own[group] == i[group[0]]], group[own[group] == j[group[0]]]
-            for k in range(0, len(one), 64):
-                some = one[k : k + 64]
-                unlike = label[some][:, None] != label[two][None, :]
-                x, y = np.nonzero(unlike & (name[some][:, None] < name[two][None, :]) | unlike & (i[group[0]] != j[group[0]]))
-                if not len(x):
-                    continue
-                x, y = some[x], two[y]
-                most = (100 - percent) * (n[x].astype(np.int64) + n[y]) // (100 + percent)
-                close = np.abs(n[x].astype(np.int64) - n[y]) <= most
-                x, y, most = x[close], y[close], most[close]
-                for at in range(0, len(x), 1 << 14):
-                    a, b = x[at : at + (1 << 14)], y[at : at + (1 << 14)]
-                    differ = (sketch[a] != sketch[b]).sum(axis=1)
-                    fits = differ <= most[at : at + (1 << 14)]
-                    left.append(name[a[fits]])
-                    right.append(name[b[fits]])
-        join = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
-        a, b = join(left), join(right)
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-    return dealt.groupBy("task").applyInArrow(compare, "a long, b long").distinct()
-
-
-def sketch_of(elements: np.ndarray) -> bytes:
-    """Sums of the elements' hashes in SKETCH parts: each differing element changes at
-    most one of them."""
-    place = mix(elements + U(0x2545F4914F6CDD1D))
-    sums = np.zeros(SKETCH, U)
-    np.add.at(sums, (place % U(SKETCH)).astype(np.int64), place >> U(16))
-    return (mix(sums) & U(0xFFFF)).astype(np.uint16).tobytes()
-
-
-def class_sets(texts: DataFrame, size: int) -> DataFrame:
-    """class, elements, sketch: the whole set of one document of each class."""
-
-    def make():
-        def one(batch: pa.RecordBatch) -> dict:
-            wanted = batch.column(2).to_pylist()
-            names, ends, values, sketches = [], [0], [], []
-            for k, data in enumerate(text_bytes(batch.column(1))):
-                elements = document_set(data, size)
-                if len(elements) and set_class(elements) == wanted[k]:  # ids may repeat with unlike texts
-                    names.append(wanted[k])
-                    values.append(elements.view(np.int64))
-                    sketches.append(sketch_of(elements))
-                    ends.append(ends[-1] + len(elements))
-            flat = pa.array(np.concatenate(values) if values else np.zeros(0, np.int64))
-            return {"class": names, "elements": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat), "sketch": sketches}
-
-        return one
-
-    return map_batches(texts, ["key", "text", "class"], "class long, elements array<long>, sketch binary", make)
-
-
 def similarity_groups(
     docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """Per row: the id column, ``n_shingles``, ``class``, ``group`` (one number per
     component; null for empty sets) and ``component_id``, the least id that links of at
     least ``percent`` similarity reach."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    classes = written(document_classes(rows, size), "classes")
-    labels = class_components(rows, classes, size, percent)
-    least = classes.where("class is not null").groupBy("class").agg(F.min("id").alias("least"))
-    named = least.join(labels, "class", "left").select("class", "least", F.coalesce("label", "class").alias("label"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    steps, tasks = Steps(docs.sparkSession, "jaccard"), bucket_count(rows, MEET_BYTES)
+    classes = steps.write(document_classes(rows, size), "classes")
+    per_class = classes.where("class is not null").groupBy("class").agg(F.min("name").alias("name"), F.min("id").alias("least"))
+    per_class = steps.write(per_class, "per-class")
+    met = steps.write(shared_signatures(rows, size, percent).withColumnRenamed("sig", "band"), "signatures")
+    members = steps.write(with_low(met), "members")
+    steps.drop("signatures")
+    stars = steps.write(members.where("class <> low").select(F.col("class").alias("a"), F.col("low").alias("b")).distinct(), "stars")
+    wanted = stars.select(F.col("a").alias("class")).union(stars.select("b")).distinct()
+    texts = steps.write(representatives(rows, per_class.select("class", "name"), wanted, size), "texts")
+    labels = linked_components(steps, members, stars, texts, lambda pairs: possible(pairs, texts, percent), size, percent, tasks)
+    steps.drop("members", "stars", "texts")
+
+    named = per_class.join(labels, "class", "left").select("class", "least", F.coalesce("label", "class").alias("label"))
     found = named.withColumnRenamed("class", "of").join(
         named.groupBy("label").agg(F.min("least").alias("component_id")), "label"
     )
@@ -436,13 +293,21 @@ def similarity_groups(
     )
 
 
+def free_name(base: str, columns: list[str]) -> str:
+    """A column name that none of ``columns`` has, in any case of letters."""
+    while base.lower() in {c.lower() for c in columns}:
+        base += "_"
+    return base
+
+
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with one document of each component, that of the least id
-    (of rows with equal id and set, any one); texts without words all stay."""
-    groups = written(similarity_groups(docs, size, percent, id_col, text_col), "groups")
-    chosen = groups.where("class is not null").groupBy("group").agg(F.min(F.struct(F.col(id_col).isNull(), F.col(id_col).alias("id"), "class")).alias("kept"))
-    chosen = chosen.select(F.col("kept.id").alias("kept_id"), F.col("kept.class").alias("kept_class"))
-    name = "class_of_" + text_col
+    """The rows of ``docs``, with all their columns, of one document of each component,
+    that of the least id (of rows with equal id and set, any one); texts without words
+    all stay."""
+    groups = similarity_groups(docs, size, percent, id_col, text_col).where("class is not null")
+    best = F.min(F.struct(F.col(id_col).isNull(), F.col(id_col).alias("id"), "class")).alias("kept")
+    chosen = groups.groupBy("group").agg(best)
+    name = free_name("class", docs.columns)
 
     def tag(batches):
         for batch in batches:
@@ -452,12 +317,13 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "d
             yield pa.RecordBatch.from_arrays([*batch.columns, classes], names=[*batch.schema.names, name])
 
     tagged = docs.mapInArrow(tag, StructType([*docs.schema.fields, StructField(name, LongType())]))
+    kept_id, kept_class = (free_name(n, tagged.columns) for n in ("kept_id", "kept_class"))
+    chosen = chosen.select(F.col("kept.id").alias(kept_id), F.col("kept.class").alias(kept_class))
+    worded = tagged.where(F.col(f"`{name}`").isNotNull())
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col(kept_id)) & (F.col(f"`{name}`") == F.col(kept_class))
     # Rows of one id and class lie together after the join: one of them stays.
-    kept_key = "key_of_" + text_col
-    chosen = chosen.select(known("kept_id").alias(kept_key), F.col("kept_class").alias(name))
-    kept = tagged.where(F.col(name).isNotNull()).withColumn(kept_key, known(id_col).cast("long"))
-    kept = kept.join(chosen, [kept_key, name], "left_semi").dropDuplicates([kept_key, name]).drop(kept_key)
-    return kept.unionByName(tagged.where(F.col(name).isNull())).drop(name)
+    kept = worded.join(chosen, same, "left_semi").dropDuplicates([id_col, name])
+    return kept.unionByName(tagged.where(F.col(f"`{name}`").isNull())).drop(name)
 
 
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

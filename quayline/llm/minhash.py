@@ -13,16 +13,12 @@ of agreeing coordinates is concentrated about that share as that of independent
    sets so large that an unequal one can be similar.
 2. Bands: ``rows`` coordinates are one key; there are so many bands that a pair at the
    threshold shares none with a chance of ``miss`` (1e-9) only.
-3. Of the classes of a band the least is the centre.  Every class is first compared with
-   the least of its centres, then with its other centres if these lie in unlike
-   components, at last with every class of unlike component in one of its bands.
-4. A pair with a centre whose sketches agree in fewer coordinates than a similar pair's
-   do (but for a chance of ``miss``) is dropped, another pair only if sizes or parts of
-   the sets prove it unlike; every other pair is decided on the whole sets.
+3. Classes that share a band are compared (see ``linking``): with centres first, a pair
+   being dropped if its sketches agree in fewer coordinates than a similar pair's do (but
+   for a chance of ``miss``), then what lies in unlike components, a pair being dropped
+   only if it is proved unlike.  Every other pair is decided on the whole sets.
 
-Texts of a hub and its spokes meet as sorted streams, a hub's spokes dealt over many
-tasks; a task holds one hub's set at a time.  Steps are written to the shared folder and
-deleted as soon as nothing reads them any more.
+Steps are written to the shared folder and deleted as soon as nothing reads them any more.
 
 Cases: null, empty and blank texts have empty sets, are linked with nothing and keep
 themselves; a text of fewer words than an n-gram is one n-gram.  Repeated rows fall into
@@ -43,17 +39,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quayline.llm.hashing import U, mix, text_bytes
-from quayline.llm.jaccard import components, document_set, set_class
+from quayline.llm.linking import document_set, linked_components, representatives, set_class, with_low
 from quayline.llm.tables import Steps, bucket_count, map_batches, read_table
 
 #: Coordinates in a band, and the chance with which a similar pair may be missed.
 ROWS = 5
 MISS = 1e-9
-#: Spokes that meet one copy of their hub, and members of a band that lie in one block.
-SPOKES = 64
-BLOCK = 1024
-#: Parts of the feature domain by which members of a band are told apart.
-PARTS = 512
 #: Input bytes per task where texts meet.
 MEET_BYTES = 32 << 20
 
@@ -139,9 +130,7 @@ def band_members(sketches: DataFrame, bands: int, rows: int) -> DataFrame:
     beside the least class of the band."""
     width = 2 * rows
     keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda k: F.xxhash64(k, F.substring("sketch", k * width + 1, F.lit(width))))
-    keyed = sketches.select("class", F.explode(keys).alias("band"))
-    shared = keyed.groupBy("band").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high")
-    return keyed.join(shared.select("band", "low"), "band").select("band", "class", "low")
+    return with_low(sketches.select("class", F.explode(keys).alias("band")))
 
 
 def likely(pairs: DataFrame, sketches: DataFrame, least: int) -> DataFrame:
@@ -159,133 +148,6 @@ def likely(pairs: DataFrame, sketches: DataFrame, least: int) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long")
 
 
-def first_texts(docs: DataFrame) -> DataFrame:
-    """name, text of every unlike text of a task, once, however often it is repeated."""
-
-    def run(batches):
-        seen: set[int] = set()
-        for batch in batches:
-            names = batch.column(0).to_pylist()
-            new = [not (n in seen or seen.add(n)) for n in names]
-            yield batch.filter(pa.array(new, pa.bool_()))
-
-    return docs.select(F.xxhash64("text").alias("name"), "text").mapInArrow(run, "name long, text string")
-
-
-def similar(pairs: DataFrame, texts: DataFrame, size: int, percent: int, tasks: int) -> DataFrame:
-    """Of pairs (a, b) of classes those whose whole sets are similar.
-
-    The text of ``a`` travels to ``b``, the hub.  A hub's spokes are dealt over places of
-    about SPOKES each, and each place gets the hub's text before those of its spokes.
-    """
-    places = pairs.groupBy("b").agg(F.ceil(F.count("*") / SPOKES).cast("long").alias("places"))
-    dealt = pairs.join(places, "b").select("a", "b", "places", F.pmod(F.xxhash64("a"), "places").alias("place"))
-    spokes = dealt.join(texts, dealt.a == texts["class"]).select("b", "place", F.lit(1).alias("side"), "class", "text")
-    hubs = places.join(texts, places.b == texts["class"]).select(
-        "b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("places") - 1)).alias("place"), F.lit(0).alias("side"), "class", "text"
-    )
-
-    def run(batches):
-        hub, held = None, None
-        for batch in batches:
-            keys, places, sides, classes = (batch.column(k).to_pylist() for k in range(4))
-            found = []
-            for k, data in enumerate(text_bytes(batch.column(4))):
-                elements = document_set(data, size)
-                if set_class(elements) != classes[k]:
-                    continue  # another text of the same name
-                if sides[k] == 0:
-                    hub, held = (keys[k], places[k]), elements
-                elif hub == (keys[k], places[k]):
-                    both = len(np.intersect1d(held, elements, assume_unique=True))
-                    if 100 * both >= percent * (len(held) + len(elements) - both):
-                        found.append((classes[k], keys[k]))
-            a, b = zip(*found, strict=True) if found else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    met = spokes.unionByName(hubs).repartition(tasks, "b", "place").sortWithinPartitions("b", "place", "side")
-    return met.mapInArrow(run, "a long, b long")
-
-
-def set_parts(elements: np.ndarray) -> bytes:
-    """One byte for each of PARTS parts of the feature domain, from the elements there:
-    every element that only one of two sets has changes one of them at most."""
-    place = mix(elements + U(0x2545F4914F6CDD1D))
-    sums = np.zeros(PARTS, U)
-    np.add.at(sums, (place % U(PARTS)).astype(np.int64), place >> U(16))
-    return (mix(sums) & U(0xFF)).astype(np.uint8).tobytes()
-
-
-def with_parts(texts: DataFrame, size: int) -> DataFrame:
-    """class, n, parts, text: the set's size and its parts beside the text."""
-
-    def make():
-        def one(batch: pa.RecordBatch) -> dict:
-            sets = [document_set(data, size) for data in text_bytes(batch.column(1))]
-            return {"class": batch.column(0), "n": [len(s) for s in sets], "parts": [set_parts(s) for s in sets], "text": batch.column(1)}
-
-        return one
-
-    return map_batches(texts, ["class", "text"], "class long, n int, parts binary, text string", make)
-
-
-def unlike_pairs(members: DataFrame, labels: DataFrame, texts: DataFrame, percent: int, tasks: int) -> DataFrame:
-    """Pairs (a, b) of classes of one band but of unlike labels, as far as sizes and
-    parts let them be similar; this loses no similar pair.
-
-    Within a band the label with most members is left out of one side: only the other
-    members are copied to all blocks of the band, so a band that is nearly one component
-    costs what it has members.  Blocks are streams in which the copied members come first.
-    Pairs that can't be similar never leave a block.
-    """
-    named = members.select("band", "class").join(labels, "class", "left").select("band", "class", F.coalesce("label", "class").alias("label"))
-    per_label = named.groupBy("band", "label").agg(F.count("*").alias("n"))
-    split = per_label.groupBy("band").agg(
-        F.sum("n").alias("size"), F.count("*").alias("labels"), F.max(F.struct("n", "label")).alias("most")
-    )
-    split = split.where("labels > 1").select("band", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"), F.col("most.label").alias("most"))
-    rest = named.join(split, "band").join(texts.select("class", "n", "parts"), "class")
-    columns = ["class", "label", "n", "parts"]
-    own = rest.select("band", F.pmod("class", "blocks").cast("int").alias("block"), F.lit(1).alias("side"), *columns)
-    copied = rest.where(F.col("label") != F.col("most")).select(
-        "band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("side"), *columns
-    )
-
-    def run(batches):
-        here, held, table = None, [], None
-        for batch in batches:
-            bands, blocks, sides, classes, labels_, sizes, parts = (batch.column(k).to_pylist() for k in range(7))
-            left, right = [], []
-            for k, side in enumerate(sides):
-                if here != (bands[k], blocks[k]):
-                    here, held, table = (bands[k], blocks[k]), [], None
-                if side == 0:
-                    held.append((classes[k], labels_[k], sizes[k], parts[k]))
-                    continue
-                if not held:
-                    continue
-                if table is None:
-                    names, kinds, counts = (np.array([h[c] for h in held]) for c in range(3))
-                    table = np.frombuffer(b"".join([h[3] for h in held]), np.uint8).reshape(len(held), -1)
-                most = (100 - percent) * (counts + sizes[k]) // (100 + percent)
-                some = np.flatnonzero((kinds != labels_[k]) & (np.abs(counts - sizes[k]) <= most))
-                differ = (table[some] != np.frombuffer(parts[k], np.uint8)).sum(axis=1)
-                found = names[some[differ <= most[some]]].tolist()
-                left += [min(x, classes[k]) for x in found]
-                right += [max(x, classes[k]) for x in found]
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
-
-    met = own.unionByName(copied).repartition(tasks, "band", "block").sortWithinPartitions("band", "block", "side")
-    return met.mapInArrow(run, "a long, b long").distinct()
-
-
-def of_unlike_labels(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    one = labels.select(F.col("class").alias("a"), F.col("label").alias("la"))
-    two = labels.select(F.col("class").alias("b"), F.col("label").alias("lb"))
-    joined = pairs.join(one, "a", "left").join(two, "b", "left")
-    return joined.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
-
-
 def near_duplicates(
     docs: DataFrame,
     size: int = 5,
@@ -312,22 +174,9 @@ def near_duplicates(
     # One text stands for each class that is compared; texts travel once to meet its name.
     per_class = all_rows.where("class is not null").groupBy("class").agg(F.min("name").alias("name"), F.min("id").alias("least"))
     per_class = steps.write(per_class, "classes")
-    names = per_class.select("class", "name").join(wanted, "class", "left_semi")
-    texts = steps.write(with_parts(first_texts(docs).join(names, "name"), size), "texts")
-
-    first = likely(stars.groupBy("a").agg(F.min("b").alias("b")), sketches, least)
-    links = steps.write(similar(steps.write(first, "first"), texts, size, percent, tasks), "links-1")
-    labels = components(links)
-    second = likely(of_unlike_labels(stars, labels), sketches, least)
-    links = links.union(steps.write(similar(steps.write(second, "second"), texts, size, percent, tasks), "links-2"))
-    labels = components(links)
-    tried = stars.select(F.col("b").alias("a"), F.col("a").alias("b"))  # a centre is less than its members
-    third = steps.write(unlike_pairs(members, labels, texts, percent, tasks).join(tried, ["a", "b"], "left_anti"), "third")
-    steps.drop("members", "stars", "sketches", "first", "second")
-    more = steps.write(similar(third, texts, size, percent, tasks), "links-3")
-    if more.limit(1).count():
-        labels = components(links.union(more))
-    steps.drop("texts", "third")
+    texts = steps.write(representatives(docs, per_class.select("class", "name"), wanted, size), "texts")
+    labels = linked_components(steps, members, stars, texts, lambda pairs: likely(pairs, sketches, least), size, percent, tasks)
+    steps.drop("members", "stars", "sketches", "texts")
 
     named = per_class.join(labels, "class", "left").select("class", "least", F.coalesce("label", "class").alias("label"))
     found = named.join(named.groupBy("label").agg(F.min("least").alias("component_id")), "label")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
+from contextlib import suppress
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -40,11 +43,23 @@ class Steps:
     def drop(self, *names: str) -> None:
         """Delete steps whose successors are written: no lost task will read them."""
         jvm = self.spark._jvm
+        # Spark removes the shuffle files of plans that nobody holds when the driver
+        # collects its garbage, which else may take until the disks are full.
+        gc.collect()
+        jvm.System.gc()
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
             path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def give_back() -> None:
+    """Return what this worker has freed to the system, so that the JVM beside it can use
+    it while the worker waits for its next task."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def input_bytes(df: DataFrame) -> int:
     """Spark's own estimate of a plan's size, from file sizes; no job runs."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())

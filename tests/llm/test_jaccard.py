@@ -120,21 +120,12 @@ def test_large_groups(spark):
     assert {r.component_id for r in rows} == {0} and len(rows) == 500
 
 
-@pytest.mark.parametrize("block", [1024, 7])
-def test_unlike_pairs_are_all_that_can_be_similar(spark, monkeypatch, block):
-    monkeypatch.setattr(j, "GROUP_BLOCK", block)
-    docs = corpus(9, 25, 80)
-    sets = {j.set_class(e): e for _, t in docs if len(e := j.document_set(np.frombuffer(t.encode(), np.uint8), 3))}
-    rows = [(k % 3, 0, c, (c >> 5) % 4, bytearray(j.sketch_of(e)), len(e)) for k, (c, e) in enumerate(sets.items())]
-    size = {s: sum(r[0] == s for r in rows) for s in range(3)}
-    df = spark.createDataFrame([(r[0], size[r[0]], *r[2:]) for r in rows], "sig long, size long, class long, label long, sketch binary, n int")
-    got = {(r.a, r.b) for r in j.unlike_pairs(df, 80).collect()}
-    for x in rows:
-        for y in rows:
-            if x[0] == y[0] and x[2] < y[2] and x[3] != y[3] and similar(set(sets[x[2]].tolist()), set(sets[y[2]].tolist()), 80):
-                assert (x[2], y[2]) in got
-    named = {r[2]: r for r in rows}
-    assert all(a < b and named[a][0] == named[b][0] and named[a][3] != named[b][3] for a, b in got)
+def test_keep_one_passes_all_columns_on(spark):
+    rows = [("b", "one two three four five six", 1, 2, 3, 4), ("a", "one two three four five six", 5, 6, 7, 8), (None, "", 9, 9, 9, 9), ("c", None, 0, 0, 0, 0)]
+    names = "doc_id string, text string, class int, Kept_Class int, class_of_text int, key_of_text int"
+    kept = j.keep_one(spark.createDataFrame(rows * 2, names))
+    assert kept.columns == ["doc_id", "text", "class", "Kept_Class", "class_of_text", "key_of_text"]
+    assert sorted(map(tuple, kept.collect()), key=repr) == sorted([rows[1], *[rows[2], rows[3]] * 2], key=repr)
 
 
 def test_empty(spark):

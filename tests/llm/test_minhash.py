@@ -3,9 +3,10 @@ import random
 import numpy as np
 import pytest
 
+from quayline.llm import linking
 from quayline.llm import minhash as m
 from quayline.llm.hashing import U, mix
-from tests.llm.test_jaccard import brute, corpus, shingles, similar
+from tests.llm.test_jaccard import brute, corpus
 
 
 def elements(rng, n):
@@ -66,8 +67,8 @@ def test_equals_brute_force(spark, size, percent):
 
 def test_chain_without_a_common_centre(spark, monkeypatch):
     """Neighbours are similar, ends are not: all links are found though blocks are small."""
-    monkeypatch.setattr(m, "BLOCK", 3)
-    monkeypatch.setattr(m, "SPOKES", 2)
+    monkeypatch.setattr(linking, "BLOCK", 3)
+    monkeypatch.setattr(linking, "SPOKES", 2)
     words = [f"w{k}" for k in range(400)]
     docs = [(k, " ".join(words[12 * k : 12 * k + 100])) for k in range(25)] + [(100, "quite another text of some words here")]
     random.Random(2).shuffle(docs)
@@ -76,23 +77,6 @@ def test_chain_without_a_common_centre(spark, monkeypatch):
     assert {r.component_id for r in got} == {0, 100}
 
 
-def test_unlike_pairs_are_all_that_can_be_similar(spark, monkeypatch):
-    monkeypatch.setattr(m, "BLOCK", 4)
-    docs = corpus(9, 25, 80)
-    sets = [shingles(t, 3) for _, t in docs]
-    parts = [m.set_parts(np.array([hash(x) & (1 << 62) - 1 for x in s]).astype(U)) for s in sets]
-    members = spark.createDataFrame([(k % 3, k) for k in range(len(sets))], "band long, class long")
-    labels = spark.createDataFrame([(k, k // 2 % 4) for k in range(len(sets)) if k % 5], "class long, label long")
-    held = spark.createDataFrame([(k, len(s), bytearray(p)) for k, (s, p) in enumerate(zip(sets, parts, strict=True))], "class long, n int, parts binary")
-    label = lambda k: k // 2 % 4 if k % 5 else k
-    pairs = [(a, b) for b in range(len(sets)) for a in range(b) if a % 3 == b % 3 and label(a) != label(b)]
-    rows = m.unlike_pairs(members, labels, held, 80, 4).collect()
-    got = {(r.a, r.b) for r in rows}
-    assert len(rows) == len(got) and got <= set(pairs) and len(got) < len(pairs) / 2
-    linked = {(a, b) for a, b in pairs if similar(sets[a], sets[b], 80)}
-    assert linked and linked <= got
-
-
 def test_large_groups(spark):
     """A third are copies of one text, a third near copies with edits of their own."""
     base = [f"w{i}" for i in range(200)]
