@@ -52,7 +52,7 @@ from pyspark.sql.types import StructType
 
 from quayline.llm.bpe import BYTE_LEVEL_PATTERN, byte_letters, read_spec
 from quayline.llm.packing import pack, unpack
-from quayline.llm.tables import Steps, read_table
+from quayline.llm.tables import Steps, give_back, read_table
 
 #: Bytes of text that are aligned at once, and that make a block.
 RUN_BYTES = 1 << 20
@@ -272,9 +272,10 @@ def aligned_blocks(docs: DataFrame, spec: str, model: bytes, keep_groups: bool)
                 if block.size >= BLOCK_BYTES:
                     yield block.row(first + made, arrow)
                     made, block = made + 1, Block()
-                    pa.default_memory_pool().release_unused()
+                    give_back()
         if block.pairs:
             yield block.row(first + made, arrow)
+        give_back()
 
     return docs.select("id", "text").mapInArrow(run, fields)
 

@@ -33,7 +33,7 @@ from quayline.llm.tables import map_batches, read_table
 
 #: Words remembered per worker, and the longest that is remembered: bounds of a cache,
 #: which only save work.
-MOST_WORDS = 500_000
+MOST_WORDS = 200_000
 LONGEST_WORD = 48
 #: Up to this many symbols a plain search for the best pair is faster than a heap.
 SHORT = 40

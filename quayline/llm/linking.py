@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quayline.llm.hashing import U, mix, shingle_hashes, text_bytes, word_hashes
-from quayline.llm.tables import Steps, map_batches
+from quayline.llm.tables import Steps, give_back, map_batches
 
 #: Spokes that meet one copy of their hub, and members of a place that lie in one block.
 SPOKES = 64
@@ -123,6 +123,7 @@ def similar(pairs: DataFrame, texts: DataFrame, size: int, percent: int, tasks:
                         found.append((classes[k], keys[k]))
             a, b = zip(*found, strict=True) if found else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        give_back()
 
     met = spokes.unionByName(hubs).repartition(tasks, "b", "place").sortWithinPartitions("b", "place", "side")
     return met.mapInArrow(run, "a long, b long")
@@ -173,6 +174,7 @@ def unlike_pairs(members: DataFrame, labels: DataFrame, texts: DataFrame, percen
                 left += [min(x, classes[k]) for x in found]
                 right += [max(x, classes[k]) for x in found]
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+        give_back()
 
     met = own.unionByName(copied).repartition(tasks, "band", "block").sortWithinPartitions("band", "block", "side")
     return met.mapInArrow(run, "a long, b long").distinct()

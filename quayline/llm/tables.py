@@ -93,5 +93,6 @@ def map_batches(
                     [made[f.name] if isinstance(made[f.name], pa.Array) else pa.array(made[f.name], f.type) for f in arrow],
                     schema=arrow,
                 )
+        give_back()
 
     return df.select(*columns).mapInArrow(run, fields)
