@@ -3,7 +3,9 @@
 Classes that meet somewhere (in a band of sketch coordinates, under a signature) are
 candidates.  Of the classes of a place the least is its centre.  Every class is first
 compared with the least of its centres, then with its other centres if these lie in unlike
-components, at last with every class of unlike component in one of its places.  A pair is
+components, then in a few of its places with the nearest class of another component, which
+joins what has no common centre, at last with every class that is still of unlike
+component in one of its places.  A pair is
 dropped if the caller's test or sizes and parts of the sets rule it out, and decided on
 the whole sets otherwise, so no link that matters for components is lost.
 
@@ -18,7 +20,7 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quayline.llm.hashing import U, mix, shingle_hashes, text_bytes, word_hashes
@@ -27,6 +29,9 @@ from quayline.llm.tables import Steps, give_back, map_batches
 #: Spokes that meet one copy of their hub, and members of a place that lie in one block.
 SPOKES = 64
 BLOCK = 1024
+#: Turns in which every class is compared with its nearest one in so many bands.
+TURNS = 2
+FEW = 4
 #: Parts of the feature domain by which sets are told apart.
 PARTS = 512
 
@@ -129,14 +134,23 @@ def similar(pairs: DataFrame, texts: DataFrame, size: int, percent: int, tasks:
     return met.mapInArrow(run, "a long, b long")
 
 
-def unlike_pairs(members: DataFrame, labels: DataFrame, texts: DataFrame, percent: int, tasks: int) -> DataFrame:
+def few_bands(members: DataFrame, turn: int) -> DataFrame:
+    """Of each class its rows of FEW bands, the first ones in an order that all share."""
+    first = Window.partitionBy("class").orderBy(F.xxhash64("band", F.lit(turn)))
+    return members.withColumn("n", F.row_number().over(first)).where(F.col("n") <= FEW).drop("n")
+
+
+def unlike_pairs(
+    members: DataFrame, labels: DataFrame, texts: DataFrame, percent: int, tasks: int, nearest: bool = False
+) -> DataFrame:
     """Pairs (a, b) of classes of one band but of unlike labels, as far as sizes and
     parts let them be similar; this loses no similar pair.
 
     Within a band the label with most members is left out of one side: only the other
     members are copied to all blocks of the band, so a band that is nearly one component
     costs what it has members.  Blocks are streams in which the copied members come first.
-    Pairs that can't be similar never leave a block.
+    Pairs that can't be similar never leave a block.  With ``nearest`` a member gives only
+    the pair that differs least.
     """
     named = members.select("band", "class").join(labels, "class", "left").select("band", "class", F.coalesce("label", "class").alias("label"))
     per_label = named.groupBy("band", "label").agg(F.count("*").alias("n"))
@@ -170,7 +184,10 @@ def unlike_pairs(members: DataFrame, labels: DataFrame, texts: DataFrame, percen
                 most = (100 - percent) * (counts + sizes[k]) // (100 + percent)
                 some = np.flatnonzero((kinds != labels_[k]) & (np.abs(counts - sizes[k]) <= most))
                 differ = (table[some] != np.frombuffer(parts[k], np.uint8)).sum(axis=1)
-                found = names[some[differ <= most[some]]].tolist()
+                fits = np.flatnonzero(differ <= most[some])
+                if nearest and len(fits):
+                    fits = fits[[np.argmin(differ[fits])]]
+                found = names[some[fits]].tolist()
                 left += [min(x, classes[k]) for x in found]
                 right += [max(x, classes[k]) for x in found]
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
@@ -241,6 +258,10 @@ def linked_components(
     second = steps.write(likely(of_unlike_labels(stars, labels)), "second")
     links = links.union(verify(second, "links-2"))
     labels = components(links)
+    for turn in range(TURNS):
+        near = unlike_pairs(few_bands(members, turn), labels, texts, percent, tasks, nearest=True)
+        links = links.union(verify(steps.write(near, f"near-{turn}"), f"links-near-{turn}"))
+        labels = components(links)
     tried = stars.select(F.col("b").alias("a"), F.col("a").alias("b"))  # a centre is less than its members
     third = steps.write(unlike_pairs(members, labels, texts, percent, tasks).join(tried, ["a", "b"], "left_anti"), "third")
     steps.drop("first", "second")
