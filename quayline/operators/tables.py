@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quayline.functions.documents import typed_columns
+from quayline.functions.documents import field, typed_columns
 from quayline.operators.writes import write_partitioned
 
 PARTITIONS = ("org", "project", "table", "load_id")
@@ -123,25 +123,46 @@ def document_schema(df: DataFrame, doc: str = "doc") -> DataFrame:
 
 
 def infer_schema(df: DataFrame, doc: str = "doc") -> T.StructType:
-    """Typed columns that hold every top-level field of the documents.
-
-    One aggregation over the table; only the merged schema reaches the driver.
-    Numbers become BIGINT or DOUBLE (which keeps 15 digits); a field that is of unlike types in different
-    rows, or NULL in all, becomes text, so no value is lost.  Documents that are
-    no objects have no fields.
+    """Typed columns that hold every top-level field of the documents without loss.
+
+    One aggregation over the table, and a second over the fields in which it met
+    fractions; only the merged schema reaches the driver.  Numbers become
+    BIGINT, DOUBLE if that keeps the digits of every value (up to 15), or DECIMAL of the
+    width they need.  A field of unlike types in different rows, one that
+    is NULL in all, and numbers no such type holds become text, so no value is lost.
+    Documents that are no objects have no fields.
     """
     objects = df.where(F.startswith(F.schema_of_variant(doc), F.lit("OBJECT<")))
     text = document_schema(objects, doc).first()["schema"]
     if not text or not text.startswith("OBJECT<"):
         return T.StructType([])
     merged = T.StructType.fromDDL(text.replace("OBJECT<", "STRUCT<")[len("STRUCT<") : -1])
-    return T.StructType([T.StructField(f.name, _column_type(f.dataType)) for f in merged.fields])
+    doubtful = [f.name for f in merged.fields if isinstance(f.dataType, (T.DoubleType, T.DecimalType))]
+    lossy = _lossy_doubles(objects, doc, doubtful) if doubtful else set()
+    return T.StructType([T.StructField(f.name, _column_type(f.dataType, f.name in lossy)) for f in merged.fields])
+
+
+def _lossy_doubles(objects: DataFrame, doc: str, names: Sequence[str]) -> set[str]:
+    """Those fields in which some whole number or decimal is none that DOUBLE keeps."""
+
+    def lost(name: str) -> Column:
+        exact = F.regexp_replace(field(doc, name, "string"), "^-?0*[.]?0*|[.]", "")
+        digits = F.length(F.regexp_replace(exact, "0+$", ""))
+        fraction = F.schema_of_variant(field(doc, name, "variant")) == "DOUBLE"
+        return F.coalesce(F.bool_or(~fraction & (digits > DOUBLE_DIGITS)), F.lit(False))
+
+    found = objects.agg(*[lost(name).alias(f"lost_{i}") for i, name in enumerate(names)]).first()
+    return {name for i, name in enumerate(names) if found[i]}
+
+
+#: Decimal digits that DOUBLE always keeps.
+DOUBLE_DIGITS = 15
 
 
-def _column_type(kind: T.DataType) -> T.DataType:
+def _column_type(kind: T.DataType, lossy: bool) -> T.DataType:
     if isinstance(kind, T.DecimalType):
-        return T.DoubleType()
-    return T.StringType() if isinstance(kind, T.VariantType) else _without_void(kind)
+        return kind if lossy else T.DoubleType()
+    return T.StringType() if lossy or isinstance(kind, T.VariantType) else _without_void(kind)
 
 
 def _without_void(kind: T.DataType) -> T.DataType:
@@ -192,15 +213,32 @@ _FRACTION = (T.FloatType, T.DoubleType)
 _NESTED = (T.StructType, T.ArrayType, T.MapType, T.VariantType)
 
 
-def merged_type(a: T.DataType, b: T.DataType, on_conflict: str = "string") -> T.DataType:
-    """A type that holds every value of both; unlike kinds become text or VARIANT."""
+def _digits(kind: T.DataType) -> tuple[int, int]:
+    """Digits before and behind the point."""
+    if isinstance(kind, T.DecimalType):
+        return kind.precision - kind.scale, kind.scale
+    return {T.ByteType: 3, T.ShortType: 5, T.IntegerType: 10, T.LongType: 19}[type(kind)], 0
+
+
+def merged_type(a: T.DataType, b: T.DataType, on_conflict: str = "string", exact: bool = False) -> T.DataType:
+    """A type that holds every value of both; unlike kinds become text or VARIANT.
+
+    Decimals and whole numbers become a decimal of the width both need.  BIGINT beside
+    fractions becomes DOUBLE, which rounds beyond 2^53; ``exact`` takes it, as decimals
+    beside fractions always, for unlike kinds.
+    """
     if a == b or isinstance(b, T.NullType):
         return a
     if isinstance(a, T.NullType):
         return b
     if isinstance(a, _WHOLE) and isinstance(b, _WHOLE):
         return T.LongType()
-    if isinstance(a, _WHOLE + _FRACTION) and isinstance(b, _WHOLE + _FRACTION):
+    if isinstance(a, _WHOLE + (T.DecimalType,)) and isinstance(b, _WHOLE + (T.DecimalType,)):
+        before, behind = (max(pair) for pair in zip(_digits(a), _digits(b), strict=True))
+        if before + behind <= 38:
+            return T.DecimalType(before + behind, behind)
+    rounds = exact and T.LongType() in (a, b)
+    if isinstance(a, _WHOLE + _FRACTION) and isinstance(b, _WHOLE + _FRACTION) and not rounds:
         return T.DoubleType()
     return T.VariantType() if on_conflict == "variant" else T.StringType()
 
@@ -215,21 +253,21 @@ def _as_type(column: Column, have: T.DataType, want: T.DataType) -> Column:
     return column.cast(want)
 
 
-def merge_schemas(dfs: Sequence[DataFrame], on_conflict: str = "string") -> T.StructType:
+def merge_schemas(dfs: Sequence[DataFrame], on_conflict: str = "string", exact: bool = False) -> T.StructType:
     """Columns of all inputs by name, in order of first appearance."""
     if on_conflict not in ("string", "variant"):
         raise ValueError("on_conflict must be 'string' or 'variant'")
     types: dict[str, T.DataType] = {}
     for df in dfs:
         for f in df.schema.fields:
-            types[f.name] = merged_type(types[f.name], f.dataType, on_conflict) if f.name in types else f.dataType
+            types[f.name] = merged_type(types[f.name], f.dataType, on_conflict, exact) if f.name in types else f.dataType
     return T.StructType([T.StructField(name, kind) for name, kind in types.items()])
 
 
-def union_all(dfs: Sequence[DataFrame], on_conflict: str = "string") -> DataFrame:
+def union_all(dfs: Sequence[DataFrame], on_conflict: str = "string", exact: bool = False) -> DataFrame:
     """Append inputs with unlike columns.  Absent columns are NULL; a column whose
     types clash is widened before the union, so no value fails to convert."""
-    schema = merge_schemas(dfs, on_conflict)
+    schema = merge_schemas(dfs, on_conflict, exact)
 
     def widened(df: DataFrame) -> DataFrame:
         have = {f.name: f.dataType for f in df.schema.fields}

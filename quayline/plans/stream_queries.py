@@ -15,7 +15,7 @@ from quayline.sources.changes import cdc_changes, pipeline_checkpoint
 from quayline.streaming.changes import cdc_stream
 from quayline.streaming.deliveries import ENVELOPE, dedup_stream, delivery_stream
 from quayline.streaming.ingest import drain, ingest_stream, stream_objects
-from quayline.streaming.rates import rate_exceeded_stream
+from quayline.streaming.rates import end_marker, rate_exceeded_stream
 from quayline.streaming.versions import Store, merge_changes, read_current
 
 ENVELOPE_SCHEMA = (
@@ -138,10 +138,11 @@ def stream_cdc_log(spark, sf_dir):
 
 
 def stream_rate(spark, sf_dir):
-    """Users with more than 5 events in a day, looked at every 12 hours.  Only
-    windows that closed before the end of the stream are known."""
+    """Users with more than 5 events in a day, looked at every 12 hours; a
+    marker behind the last event closes the last windows."""
     rows = table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("at"))
     folder = staged_parquet(spark, rows, "rate")
+    end_marker(rows, "at", "1 day", "1 hour").write.mode("append").parquet(folder)
     stream = spark.readStream.schema(rows.schema).parquet(folder)
     out = run_folder(spark, "rates")
     over = rate_exceeded_stream(stream, "user_id", "at", 5, "1 day", "12 hours", "1 hour")
@@ -186,5 +187,5 @@ ORACLES = {
           FROM events, (VALUES (0), (1)) v(n)),
         c AS (SELECT user_id, window_start, count(*) AS requests FROM w GROUP BY ALL)
         SELECT user_id, requests, window_start, window_start + INTERVAL 1 DAY AS window_end FROM c
-        WHERE requests > 5 AND window_start + INTERVAL 1 DAY <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR FROM events)""",
+        WHERE requests > 5""",
 }

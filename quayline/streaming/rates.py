@@ -22,3 +22,12 @@ def rate_exceeded_stream(
     return counted.where(F.col("requests") > limit).select(
         F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), key, "requests"
     )
+
+
+def end_marker(rows: DataFrame, ts: str, window: str = "5 minutes", delay: str = "1 minute") -> DataFrame:
+    """One row, NULL but for its time, that closes every window of a stream that has come
+    to its end: written behind the rows, it moves the watermark past their last window.
+    Its own windows stay open, so it is never counted.  Without rows its time is NULL."""
+    last = rows.agg(F.max(ts).alias("last"))
+    late = F.col("last") + F.expr(f"interval {window}") + F.expr(f"interval {delay}")
+    return last.select(*[(late if f.name == ts else F.lit(None)).cast(f.dataType).alias(f.name) for f in rows.schema.fields])

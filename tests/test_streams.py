@@ -11,6 +11,7 @@ from quayline.streaming import versions
 from quayline.streaming.changes import cdc_stream
 from quayline.streaming.versions import read_current
 from quayline.streaming.deliveries import dedup_stream, delivery_stream
+from quayline.streaming.rates import end_marker, rate_exceeded_stream
 from quayline.streaming.ingest import buffer_trigger, drain, ingest_stream, stream_objects
 from test_changes import SCHEMA, found, random_log, state
 from test_deliveries import PATH, b64, body
@@ -190,3 +191,20 @@ def test_change_stream_goes_on_after_a_kill(spark, tmp_path, monkeypatch):
     run()
     assert found(read_current(spark, current, df.schema)) == state(log)
     assert count_table(spark, str(tmp_path / "log"), "public_superstore__sales__data").first()["cnt"] == len(log)
+
+
+def test_end_marker_closes_the_last_windows(spark, tmp_path):
+    """The last rows of a stream are over the limit only where the marker follows."""
+    start = datetime(2024, 1, 1)
+    rows = spark.createDataFrame([("a", start + timedelta(seconds=k)) for k in range(6)] + [("b", start)], "user string, at timestamp")
+    counts = []
+    for name, marker in (("with", end_marker(rows, "at")), ("without", rows.limit(0))):
+        folder, out = str(tmp_path / name), str(tmp_path / f"{name}-out")
+        rows.write.parquet(folder)
+        marker.write.mode("append").parquet(folder)
+        over = rate_exceeded_stream(spark.readStream.schema(rows.schema).parquet(folder), "user", "at", 5)
+        query = over.writeStream.option("checkpointLocation", str(tmp_path / f"{name}-cp")).trigger(availableNow=True).format("parquet")
+        drain(query.start(out))
+        counts.append([tuple(r) for r in spark.read.schema(over.schema).parquet(out).select("user", "requests").collect()])
+    assert counts == [[("a", 6)] * 5, []]
+    assert end_marker(rows.limit(0), "at").first().asDict() == {"user": None, "at": None}

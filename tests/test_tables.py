@@ -1,5 +1,6 @@
 import json
 from datetime import datetime
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -288,3 +289,37 @@ def test_dump_holds_whole_documents(spark, tmp_path):
     root = str(tmp_path / "lake")
     tables.append_table(spark.sql("select 'ü' as text, array(1,2) as xs"), root, "t", "l1")
     assert [json.loads(r.json) for r in tables.dump_tables(spark, root).collect()] == [{"text": "ü", "xs": [1, 2]}]
+
+
+def test_evolution_keeps_every_digit(spark, tmp_path):
+    """Whole numbers beyond 2^53, wide decimals and exponents beside small fractions."""
+    loads = {
+        "a": ['{"n": 9007199254740993, "d": 0.25, "m": 9007199254740993, "x.\'y": 1e300}', '{"n": 0.5, "d": 3, "m": 1e300}'],
+        "b": ['{"n": 1234567890123456789012, "d": -7.125, "m": 0.5, "x.\'y": 9007199254740993}'],
+    }
+    for load, texts in loads.items():
+        docs = spark.createDataFrame([(t,) for t in texts], "t string").select(F.parse_json("t").alias("doc"))
+        tables.append_table(docs, str(tmp_path), "t", load)
+    rows = tables.read_typed(spark, str(tmp_path), "t")
+    got = [r.asDict() for r in rows.collect()]
+    # 22 digits before the point, one behind it.
+    assert rows.schema["n"].dataType.simpleString().startswith("decimal(")
+    assert {r["n"] for r in got} == {Decimal("9007199254740993"), Decimal("0.5"), Decimal("1234567890123456789012")}
+    assert rows.schema["m"].dataType == rows.schema["x.'y"].dataType == T.StringType()
+    assert {"9007199254740993", "0.5"} <= {r["m"] for r in got} and "9007199254740993" in {r["x.'y"] for r in got}
+    assert sorted(float(r["d"]) for r in got) == [-7.125, 0.25, 3]
+
+
+def test_merged_numbers_are_wide_enough():
+    whole, wide = T.LongType(), T.DecimalType(22, 4)
+    assert tables.merged_type(whole, wide) == T.DecimalType(23, 4)
+    assert tables.merged_type(T.DecimalType(5, 5), T.DecimalType(9, 0)) == T.DecimalType(14, 5)
+    assert tables.merged_type(T.DecimalType(38, 0), T.DecimalType(38, 38)) == T.StringType()
+    assert tables.merged_type(wide, T.DoubleType(), "variant") == T.VariantType()
+    assert tables.merged_type(whole, T.DoubleType()) == tables.merged_type(T.IntegerType(), T.DoubleType(), exact=True) == T.DoubleType()
+    assert tables.merged_type(whole, T.DoubleType(), "variant", exact=True) == T.VariantType()
+
+
+def test_union_keeps_long_numbers(spark):
+    a, b = spark.sql("SELECT 9007199254740993L AS v"), spark.sql("SELECT 0.5D AS v")
+    assert {r.v for r in tables.union_all([a, b], exact=True).collect()} == {"9007199254740993", "0.5"}
