@@ -18,10 +18,12 @@ from quayline.functions.constants import FORMAT_EXTENSIONS
 from quayline.functions.documents import STRICT_JSON, document, parsed_document, type_text, typed_columns
 from quayline.functions.rows import computed_once
 from quayline.functions.text import trim_space
+from quayline.sources.arrays import array_elements
 from quayline.sources.objects import file_key, load_keys
 
 LINES_NAME = r"(?i)[.](jsonl|ndjson)([.]gz)?$"
 WHOLE_FILE_LIMIT = 128 * 1024 * 1024
+LINE_LIMIT = 16 * 1024 * 1024
 LAYOUTS = ("auto", "lines", "whole")
 BYTE_ORDER_MARK = "\ufeff"
 
@@ -90,22 +92,28 @@ def _elements(doc):
 
 
 def json_big(df: DataFrame) -> DataFrame:
-    """``key, line, at_start`` of files that no task should hold -> ``key, doc``, as
-    ``json_whole`` reads them.
+    """``key, line, split`` of files that no task should hold -> ``key, doc``, as
+    ``json_whole`` reads them.  ``split`` is the place in the file where the split of the
+    line begins.
 
-    The first line that is not blank, found among the rows ``at_start`` (of the split a
-    file begins with), decides.  If it is no document the file is one body: if that has
-    no other line it is kept as text, else the query stops.
+    The first line that is not blank, found in the split a file begins with, decides.  If
+    it is no document the file is one body: one line is kept as text, else it is one
+    array, which is read element by element, or the query stops.
     """
     filled = df.where(trim_space("line") != "")
-    starts = filled.where("at_start").select("key", "line", F.monotonically_increasing_id().alias("_line"))
+    starts = filled.where("split = 0").select("key", "line", F.monotonically_increasing_id().alias("_line"))
     heads = starts.groupBy("key").agg(F.min_by("line", "_line").alias("head"), F.count("*").alias("_n"))
-    heads = heads.select(F.col("key").alias("_of"), parsed_document(_strip("head")).isNotNull().alias("_is_lines"), "_n")
-    rows = filled.join(F.broadcast(heads), F.col("key") == F.col("_of"), "left")
+    # An array in a line longer than a value may be is cut into its elements, too.
+    fits = (F.length("head") <= LINE_LIMIT) | ~F.startswith(_strip("head"), F.lit("["))
+    is_lines = F.when(fits, parsed_document(_strip("head")).isNotNull()).otherwise(False)
+    alone = ~is_lines & fits & (F.col("_n") == 1)
+    heads = heads.select(F.col("key").alias("_of"), (is_lines | alone).alias("_by_line"), alone.alias("_alone"))
+    rows = filled.join(heads, F.col("key") == F.col("_of"), "left").withColumn("_by_line", F.coalesce("_by_line", F.lit(False)))
+    by_line = rows.where("_by_line")
     stop = F.raise_error(F.concat(F.lit("not JSON Lines, pass layout='whole': "), F.col("key"))).cast("string").cast("variant")
-    alone = F.col("at_start") & (F.col("_n") == 1)
-    doc = F.when(F.col("_is_lines") | alone, document(_strip("line"))).otherwise(stop)
-    return rows.select("key", doc.alias("doc")).select("key", F.explode(_elements(F.col("doc"))).alias("doc"))
+    docs = by_line.select("key", F.when(F.col("_alone") & (F.col("split") > 0), stop).otherwise(document(_strip("line"))).alias("doc"))
+    docs = docs.select("key", F.explode(_elements(F.col("doc"))).alias("doc"))
+    return docs.unionByName(array_elements(rows.where("not _by_line").select("key", "split", "line")))
 
 
 def scan_json(
@@ -128,8 +136,9 @@ def scan_json(
     line that is not blank is a document the file is JSON Lines.  Files over
     ``whole_file_limit`` bytes, which no task should hold, are read line by line by the
     same rule with the same result; a second pass over the beginning of each finds its
-    first line.  If that is no document and others follow (an array or a document over
-    many lines, or a text), the query stops and says so.
+    first line.  If that is no document, an array is cut into its elements where it lies
+    (see ``array_elements``); one document or text over many lines, which could only be
+    one value of that size, stops the query, and ``layout="whole"`` reads it.
     Gzip is decoded by file name.
 
     ``lines`` with a schema parses straight into columns, without documents in
@@ -164,7 +173,7 @@ def scan_json(
         # Scans of disjoint files: the predicates use file metadata only, so each
         # scan drops the files of the others while it is planned.
         big = ~named_as_lines() & (F.col("_metadata.file_size") > whole_file_limit)
-        some_lines = lines().where(big).withColumn("at_start", F.col("_metadata.file_block_start") == 0)
+        some_lines = lines().where(big).withColumn("split", F.col("_metadata.file_block_start"))
         named = json_lines(lines().where(named_as_lines()))
         rows = named.unionByName(json_big(some_lines)).unionByName(json_whole(whole().where(~named_as_lines() & ~big)))
     return _typed(rows, schema, keep_key)

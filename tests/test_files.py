@@ -10,6 +10,7 @@ from quayline.functions.documents import document, field, parsed_document, typed
 from quayline.operators.outcomes import batch_summary
 from quayline.operators.tables import append_table, count_table, document_schema, read_table
 from quayline.plans.backfill import backfill
+from quayline.session import setting
 from quayline.sources.files import json_whole, read_objects, scan_csv, scan_json, scan_parquet
 from quayline.sources.objects import object_catalog
 
@@ -108,9 +109,11 @@ def test_big_files_are_read_as_lines(spark, tmp_path):
     (tmp_path / "big.json").write_text(lines(LOGS * 20))
     assert scan_json(spark, str(tmp_path), whole_file_limit=100).count() == 100
     (tmp_path / "array.json").write_text("[\n" + ",\n".join(json.dumps(r) for r in LOGS) + "\n]")
+    assert scan_json(spark, str(tmp_path), whole_file_limit=100).count() == 105
+    assert scan_json(spark, str(tmp_path), layout="whole").count() == 105
+    (tmp_path / "document.json").write_text(json.dumps({"rows": list(range(99))}, indent=1))
     with pytest.raises(Exception, match="pass layout='whole'"):
         scan_json(spark, str(tmp_path), whole_file_limit=100).collect()
-    assert scan_json(spark, str(tmp_path), layout="whole").count() == 105
 
 
 @pytest.mark.parametrize("limit", [1, 1 << 27])
@@ -300,3 +303,41 @@ def test_first_line_decides_over_many_splits(spark, tmp_path):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+ODD = ['a"b\\', "],[", "\\\"", "{", "é\u2028", "", "x" * 700]
+
+
+def odd_array(n):
+    """An array whose strings hold brackets, quotes, commas and escapes; deep elements."""
+    return [None, 5, "a,b", [], {}, [[1, [2]], {"k": [{}]}]] + [{"i": i, "s": ODD[i % len(ODD)], "deep": [[i], {"x": [i, {"y": ODD[-i % 7]}]}]} for i in range(n)]
+
+
+@pytest.mark.parametrize("split", [400, 1 << 27])
+@pytest.mark.parametrize("indent", [2, None])
+def test_arrays_of_any_size(spark, tmp_path, split, indent):
+    items = odd_array(40)
+    body = json.dumps(items, indent=indent, ensure_ascii=False) if indent is not None else "[\n" + ",".join(json.dumps(x) + "\n" * (k % 3) for k, x in enumerate(items)) + "]"
+    (tmp_path / "a.json").write_text("\ufeff" + body + "\n \n")
+    (tmp_path / "b.json").write_text("[\n\n]\n")
+    (tmp_path / "c.json").write_text('{"line":1}\n' * 40)
+    with gzip.open(tmp_path / "d.json.gz", "wt") as f:
+        f.write(body.replace("\n", "\r\n"))
+    with setting(spark, "spark.sql.files.maxPartitionBytes", str(split)), setting(spark, "spark.sql.files.openCostInBytes", "100"):
+        small = documents(scan_json(spark, str(tmp_path)))
+        assert documents(scan_json(spark, str(tmp_path), whole_file_limit=1)) == small
+    assert small.total() == 2 * len(items) + 40
+
+
+@pytest.mark.parametrize("body", ["[\n1,\n]", "[\n1\n", "[\n1\n]\n]", "[\n1\n]\n[2]", "[\n1\n}", "x\n[1]", "[\n1 2\n]", '[\n"a\n]', "[\n,1]", "[\n]\n1", "]\n["])
+def test_big_bodies_that_are_no_array(spark, tmp_path, body):
+    (tmp_path / "a.json").write_text(body)
+    assert scan_json(spark, str(tmp_path)).count() == 1
+    with pytest.raises(Exception, match="pass layout='whole'"):
+        scan_json(spark, str(tmp_path), whole_file_limit=1).collect()
+
+
+def test_a_line_longer_than_a_value(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("quayline.sources.files.LINE_LIMIT", 100)
+    (tmp_path / "a.json").write_text(json.dumps(odd_array(30)))
+    assert documents(scan_json(spark, str(tmp_path), whole_file_limit=1)) == documents(scan_json(spark, str(tmp_path)))
