@@ -6,13 +6,16 @@ are the labelled URLs.  Trees trained on them by their lexical features (length,
 digits, entropy, parameters, statistics of host suffixes) judge all others.
 
 Features are built-in functions, the trees are Spark ML's.  The trees are fitted on at
-most about ``fit_rows`` distinct labelled URLs, chosen by a hash; suffix statistics
-count all labelled URLs and every URL is judged.
+most ``fit_rows`` distinct labelled URLs, half of each label, those with the least hashes,
+weighted by their labels' shares; suffix statistics count all labelled URLs (for the rows
+that are fitted, those of the other folds of URLs) and every URL is judged.
 
 Cases: a null URL, or one without ``://``, has empty host and path, fits no rule with a
-path and is judged by the trees.  Rules of equal length are taken in reverse order of
+path and is judged by the trees; so does one with a host and an empty path.  Rules of equal length are taken in reverse order of
 their text.  Without labelled URLs everything left is allowed; if all labels agree,
-they decide the rest.  Repeated rows give repeated results.
+they decide the rest.  Repeated rows give repeated results.  URLs are taken whole, an
+empty table gives no rows, and other columns, whatever their names, are neither read nor
+returned.
 """
 
 from __future__ import annotations
@@ -37,6 +40,7 @@ RULES = (
 FIT_ROWS = 20_000
 #: Labelled URLs of a suffix count as if so many more had the average label.
 PRIOR = 20.0
+FOLDS = 5
 FEATURES = (
     "url_length host_length path_length query_length depth labels params digit_ratio upper_ratio mark_ratio "
     "entropy longest_part host_digits path_digits extension suffix_rate suffix_seen"
@@ -99,6 +103,21 @@ def lexical(url: Column, host: Column, path: Column) -> dict[str, Column]:
     }
 
 
+def fit_sample(labelled: DataFrame, totals: dict[float, int], fit_rows: int) -> DataFrame:
+    """Of each label's rows the ``fit_rows / 2`` with the least hashes of their URLs (all
+    if there are no more), beside a ``weight`` that gives each label its share again."""
+    each, parts = max(1, fit_rows // 2), []
+    for label, n in totals.items():
+        rows = labelled.where(F.col("blocked") == label).withColumn("place", F.xxhash64("url"))
+        if n > each:
+            # Hashes are spread evenly: about twice as many as are needed are sorted.
+            share = (2 * each + 1000) / n
+            rows = rows.where(F.col("place") < -(1 << 63) + int(share * (1 << 64))) if share < 1 else rows
+            rows = rows.orderBy("place", "url").limit(each)
+        parts.append(rows.drop("place").withColumn("weight", F.lit(n / min(n, each))))
+    return parts[0].unionByName(parts[1])
+
+
 def judge_urls(
     pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url", fit_rows: int = FIT_ROWS, trees: int = 12
 ) -> DataFrame:
@@ -123,21 +142,26 @@ def judge_urls(
         score = F.when(F.col("label").isNull(), F.lit(rate))
         return base.select(F.col("id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"), score.alias("block_score"))
 
-    suffixes = labelled.groupBy("suffix").agg(
-        ((F.sum("blocked") + PRIOR * rate) / (F.count("*") + PRIOR)).alias("suffix_rate"),
-        F.log1p(F.count("*")).alias("suffix_seen"),
-    )
-
-    def features(rows: DataFrame) -> DataFrame:
-        rows = rows.join(suffixes, "suffix", "left").fillna({"suffix_rate": rate, "suffix_seen": 0.0})
+    fold = F.pmod(F.xxhash64(F.lit("fold"), "url"), F.lit(FOLDS))
+    counts = F.sum("blocked").alias("b"), F.count("*").alias("n")
+    per_fold = written(labelled.withColumn("fold", fold).groupBy("suffix", "fold").agg(*counts), "url-suffixes")
+    per_suffix = per_fold.groupBy("suffix").agg(F.sum("b").alias("b"), F.sum("n").alias("n"))
+
+    def features(rows: DataFrame, held_out: bool = False) -> DataFrame:
+        """Features of rows; if ``held_out``, rates come from URLs of other folds, so
+        that no labelled row's own label is among them."""
+        rows = rows.join(per_suffix, "suffix", "left").fillna({"b": 0.0, "n": 0})
+        if held_out:
+            own = per_fold.select("suffix", "fold", F.col("b").alias("own_b"), F.col("n").alias("own_n"))
+            rows = rows.withColumn("fold", fold).join(own, ["suffix", "fold"], "left")
+            rows = rows.withColumns({"b": F.col("b") - F.col("own_b"), "n": F.col("n") - F.col("own_n")})
+        rows = rows.withColumns({"suffix_rate": (F.col("b") + PRIOR * rate) / (F.col("n") + PRIOR), "suffix_seen": F.log1p("n")})
         made = rows.select("*", *[c.alias(k) for k, c in lexical(F.col("url"), F.col("host"), F.col("path")).items()])
         return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(made)
 
-    chosen = F.pmod(F.xxhash64("url"), F.lit(1_000_000)) < F.lit(1_000_000 * fit_rows / total.n)
-    fit = written(features(labelled.where(chosen)).select("features", "blocked"), "url-fit")
-    if fit.select("blocked").distinct().count() < 2:  # a tiny sample of one class: fit on all
-        fit = features(labelled).select("features", "blocked")
-    model = GBTClassifier(labelCol="blocked", maxIter=trees, maxDepth=4, maxBins=32, stepSize=0.3, seed=7).fit(fit)
+    sample = fit_sample(labelled, {0.0: total.n - int(total.b), 1.0: int(total.b)}, fit_rows)
+    fit = written(features(sample, held_out=True).select("features", "blocked", "weight"), "url-fit")
+    model = GBTClassifier(labelCol="blocked", weightCol="weight", maxIter=trees, maxDepth=4, maxBins=32, stepSize=0.3, seed=7).fit(fit)
 
     open_rows = F.col("label").isNull()
     judged = model.transform(features(base.where(open_rows)))

@@ -78,6 +78,27 @@ def test_trees_learn_held_out_labels(spark):
     assert sum((r.verdict == "block") == (r.page_id % 2 == 0) for r in held) > 0.95 * len(held)
 
 
+def test_sample_of_each_label(spark):
+    """One blocked URL among many is fitted with its weight; bounds hold at any share."""
+    rows = [(f"x://h/{i}", float(i == 77)) for i in range(5000)]
+    df = spark.createDataFrame(rows, "url string, blocked double")
+    got = u.fit_sample(df, {0.0: 4999, 1.0: 1}, 10).collect()
+    assert Counter(r.blocked for r in got) == {0.0: 5, 1.0: 1}
+    assert sum(r.weight for r in got if not r.blocked) == pytest.approx(4999) and [r.weight for r in got if r.blocked] == [1.0]
+    places = df.where("blocked = 0").select("url", F.xxhash64("url").alias("p")).orderBy("p").limit(5).collect()
+    assert {r.url for r in got if not r.blocked} == {r.url for r in places}
+    assert u.fit_sample(df, {0.0: 4999, 1.0: 1}, 100_000).count() == 5000
+
+
+def test_a_rare_label_is_found(spark):
+    """Fitted on 40 rows of 3,000, of which 30 are blocked: short hosts with long paths."""
+    urls = [f"http://h{i % 7}.net/{'a' * (60 if i % 100 == 0 else 5)}{i}" for i in range(3000)]
+    rules = [("block" if i % 100 == 0 else "allow", u_[len("http://"):]) for i, u_ in enumerate(urls) if i % 20 == 0]
+    rows = u.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules=rules, fit_rows=40).collect()
+    held = [r for r in rows if r.rule is None]
+    assert len(held) > 2700 and sum(r.verdict == "allow" for r in held) > 0.95 * len(held)
+
+
 def test_query(spark):
     sf = "/root/testdata/sf0.001"
     pages = {r.page_id: r.url for r in spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url").collect()}
