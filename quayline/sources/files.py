@@ -175,7 +175,10 @@ def scan_json(
         big = ~named_as_lines() & (F.col("_metadata.file_size") > whole_file_limit)
         some_lines = lines().where(big).withColumn("split", F.col("_metadata.file_block_start"))
         named = json_lines(lines().where(named_as_lines()))
-        rows = named.unionByName(json_big(some_lines)).unionByName(json_whole(whole().where(~named_as_lines() & ~big)))
+        rows = named.unionByName(json_whole(whole().where(~named_as_lines() & ~big)))
+        # The listing has no big file in most cases: this reads nothing then, else one row.
+        if not some_lines.select("key").isEmpty():
+            rows = rows.unionByName(json_big(some_lines))
     return _typed(rows, schema, keep_key)
 
 
