@@ -5,6 +5,7 @@ Each derived input keeps every row of its table, so its size grows with it.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,7 +48,8 @@ def staged_arrays(spark: SparkSession, rows: DataFrame, name: str) -> str:
                 texts.iloc[1:] = "," + texts.iloc[1:]
                 lead = ","
                 yield texts.to_frame()
-        yield batch.head(0).reindex([0]).assign(value="]" if lead == "," else "[]")
+        # A partition without rows may come without any batch.
+        yield pd.DataFrame({"value": ["]" if lead == "," else "[]"]})
 
     lines = rows.select(F.to_json(F.struct(*rows.columns)).alias("value"))
     lines.mapInPandas(brackets, "value string").write.text(folder)

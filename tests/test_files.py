@@ -10,6 +10,7 @@ from quayline.functions.documents import document, field, parsed_document, typed
 from quayline.operators.outcomes import batch_summary
 from quayline.operators.tables import append_table, count_table, document_schema, read_table
 from quayline.plans.backfill import backfill
+from quayline.plans.inputs import staged_arrays
 from quayline.session import setting
 from quayline.sources.files import json_whole, read_objects, scan_csv, scan_json, scan_parquet
 from quayline.sources.objects import object_catalog
@@ -341,3 +342,8 @@ def test_a_line_longer_than_a_value(spark, tmp_path, monkeypatch):
     monkeypatch.setattr("quayline.sources.files.LINE_LIMIT", 100)
     (tmp_path / "a.json").write_text(json.dumps(odd_array(30)))
     assert documents(scan_json(spark, str(tmp_path), whole_file_limit=1)) == documents(scan_json(spark, str(tmp_path)))
+
+
+def test_arrays_are_staged_from_partitions_without_rows(spark):
+    root = staged_arrays(spark, spark.range(2, numPartitions=4), "few")
+    assert documents(scan_json(spark, root)) == as_counter([{"id": 0}, {"id": 1}])
