@@ -14,15 +14,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quayline.functions.constants import FORMAT_EXTENSIONS
+from quayline.functions.constants import FORMAT_EXTENSIONS, WHITE_SPACE
 from quayline.functions.documents import STRICT_JSON, document, parsed_document, type_text, typed_columns
-from quayline.functions.rows import computed_once
-from quayline.functions.text import trim_space
-from quayline.sources.arrays import array_elements
+from quayline.functions.text import col, trim_space
+from quayline.sources.arrays import BLANK, array_elements
 from quayline.sources.objects import file_key, load_keys
 
 LINES_NAME = r"(?i)[.](jsonl|ndjson)([.]gz)?$"
 WHOLE_FILE_LIMIT = 128 * 1024 * 1024
+#: Bigger files are cut into lines where they lie if they are JSON Lines.
+LOOKED_INTO = 8 * 1024 * 1024
 LINE_LIMIT = 16 * 1024 * 1024
 LAYOUTS = ("auto", "lines", "whole")
 BYTE_ORDER_MARK = "\ufeff"
@@ -60,30 +61,59 @@ def json_lines(df: DataFrame) -> DataFrame:
     return df.where(trim_space("line") != "").select("key", document(_strip("line")).alias("doc"))
 
 
-def json_whole(df: DataFrame) -> DataFrame:
+def json_whole(df: DataFrame, with_lines: bool = True) -> DataFrame:
     """``key, body`` (one row per file) -> ``key, doc``.
 
     If the first line that is not blank is a document by itself the file is JSON
     Lines, and a line that is none is kept as text; otherwise the body is one array or
-    one document.  An array yields its elements.
+    one document.  An array yields its elements.  Only bodies of JSON Lines are cut into
+    lines; without ``with_lines`` they yield nothing, as what reads them line by line
+    has their rows.
     """
-    body = _strip("body")
-    # The line ends of Spark's text reader; what stands between \r and \n is blank.
-    lines = F.filter(F.split(body, "[\r\n]", -1), lambda x: trim_space(x) != "")
-    split = computed_once(df.select("key", "body"), {"body": body, "lines": lines})
-    first_parses = (F.size("lines") == 0) | parsed_document(_strip(F.get("lines", F.lit(0)))).isNotNull()
-    parsed = F.when(first_parses, F.transform("lines", lambda x: document(_strip(x))))
-    tried = computed_once(split, {"parsed": parsed})
-    is_lines = F.col("parsed").isNotNull()
-    of_lines = F.flatten(F.transform("parsed", _elements))
+    body = _json_text("body")
+    is_lines = _is_lines(_first_line(_strip_left("body")))
     # Text after the end of an array makes the wrapped text malformed.
-    wrapped = F.from_json(F.concat(F.lit('{"items":'), "body", F.lit("}")), "items array<variant>", STRICT_JSON)
-    of_body = F.coalesce(wrapped["items"], F.array(document("body")))
-    return tried.select("key", F.explode(F.when(is_lines, of_lines).otherwise(of_body)).alias("doc"))
+    wrapped = F.from_json(F.concat(F.lit('{"items":'), body, F.lit("}")), "items array<variant>", STRICT_JSON)
+    of_body = F.coalesce(wrapped["items"], F.array(F.coalesce(parsed_document(body), _strip("body").cast("variant"))))
+    # The line ends of Spark's text reader; what stands between \r and \n is blank.
+    lines = F.filter(F.split(_strip("body"), "[\r\n]", -1), lambda x: trim_space(x) != "")
+    of_lines = F.flatten(F.transform(F.transform(lines, lambda x: document(_strip(x))), _elements))
+    if not with_lines:
+        return df.where(~is_lines).select("key", F.explode(of_body).alias("doc"))
+    return df.select("key", F.explode(F.when(is_lines, of_lines).otherwise(of_body)).alias("doc"))
+
+
+def _filled(c: Column | str) -> Column:
+    """The text from its first sign on that is neither blank nor a byte order mark."""
+    return F.ltrim(col(c), F.lit(BYTE_ORDER_MARK + WHITE_SPACE))
+
+
+def _first_line(body: Column) -> Column:
+    """The first line with anything in it, "" if there is none."""
+    filled = _filled(body)
+    before = F.substring(body, F.lit(1), F.length(body) - F.length(filled))
+    begin = F.substring_index(F.substring_index(before, "\n", -1), "\r", -1)
+    return F.concat(begin, F.substring_index(F.substring_index(filled, "\n", 1), "\r", 1))
+
+
+def _is_lines(head: Column | str) -> Column:
+    """Whether a file with this first line is JSON Lines; so is one without any."""
+    return F.coalesce((_filled(head) == "") | parsed_document(_json_text(head)).isNotNull(), F.lit(False))
 
 
 def _strip(c: Column | str):
-    return F.btrim(F.col(c) if isinstance(c, str) else c, F.lit(BYTE_ORDER_MARK + " \t\r\n"))
+    return F.btrim(col(c), F.lit(BLANK))
+
+
+def _strip_left(c: Column | str):
+    return F.ltrim(col(c), F.lit(BLANK))
+
+
+def _json_text(c: Column | str):
+    """A text that may be a file, stripped as far as parsing needs it.  Trimming on the
+    right takes eight bytes of memory for each byte of a text; blanks there hurt no parser."""
+    left = _strip_left(c)
+    return F.when(F.contains(left, F.lit(BYTE_ORDER_MARK)), _strip(left)).otherwise(left)
 
 
 def _elements(doc):
@@ -101,8 +131,7 @@ def json_big(df: DataFrame) -> DataFrame:
     array, which is read element by element, or the query stops.
     """
     filled = df.where(trim_space("line") != "")
-    starts = filled.where("split = 0").select("key", "line", F.monotonically_increasing_id().alias("_line"))
-    heads = starts.groupBy("key").agg(F.min_by("line", "_line").alias("head"), F.count("*").alias("_n"))
+    heads = _heads(filled)
     # An array in a line longer than a value may be is cut into its elements, too.
     fits = (F.length("head") <= LINE_LIMIT) | ~F.startswith(_strip("head"), F.lit("["))
     is_lines = F.when(fits, parsed_document(_strip("head")).isNotNull()).otherwise(False)
@@ -116,6 +145,19 @@ def json_big(df: DataFrame) -> DataFrame:
     return docs.unionByName(array_elements(rows.where("not _by_line").select("key", "split", "line")))
 
 
+def _heads(lines: DataFrame) -> DataFrame:
+    """``key, head, _n``: the first line of each file and how many its first split has."""
+    starts = lines.where("split = 0").select("key", "line", F.monotonically_increasing_id().alias("_line"))
+    return starts.groupBy("key").agg(F.min_by("line", "_line").alias("head"), F.count("*").alias("_n"))
+
+
+def json_by_line(df: DataFrame) -> DataFrame:
+    """``key, line, split`` -> ``key, doc`` of those files that are JSON Lines."""
+    named = _heads(df.where(_filled("line") != "")).where(_is_lines("head")).select(F.col("key").alias("_of"))
+    docs = json_lines(df.join(named, F.col("key") == F.col("_of"), "left_semi"))
+    return docs.select("key", F.explode(_elements(F.col("doc"))).alias("doc"))
+
+
 def scan_json(
     spark: SparkSession,
     root: str,
@@ -127,13 +169,16 @@ def scan_json(
     internal_prefixes: Iterable[str] = (),
     keep_key: bool = False,
     whole_file_limit: int = WHOLE_FILE_LIMIT,
+    looked_into: int = LOOKED_INTO,
 ) -> DataFrame:
     """Documents of JSON files: arrays, single documents and JSON Lines.
 
     ``lines`` splits big files over tasks; ``whole`` holds one file at a time in
     memory, of 2 GB at most, as an array cannot be split; ``auto``
     reads ``.jsonl``/``.ndjson`` names as lines and looks into all others: if the first
-    line that is not blank is a document the file is JSON Lines.  Files over
+    line that is not blank is a document the file is JSON Lines.  Files over ``looked_into``
+    bytes (gzip: an eighth of it) are looked into first, and those that are JSON Lines are
+    split as such; only arrays and single documents are held.  Files over
     ``whole_file_limit`` bytes, which no task should hold, are read line by line by the
     same rule with the same result; a second pass over the beginning of each finds its
     first line.  If that is no document, an array is cut into its elements where it lies
@@ -172,11 +217,17 @@ def scan_json(
     else:
         # Scans of disjoint files: the predicates use file metadata only, so each
         # scan drops the files of the others while it is planned.
-        big = ~named_as_lines() & (F.col("_metadata.file_size") > whole_file_limit)
-        some_lines = lines().where(big).withColumn("split", F.col("_metadata.file_block_start"))
+        size, held = F.col("_metadata.file_size"), min(looked_into, whole_file_limit)
+        big = ~named_as_lines() & (size > whole_file_limit)
+        packed = F.rlike(F.col("_metadata.file_name"), F.lit("(?i)[.]gz$"))
+        middle = ~named_as_lines() & ~big & (size > F.when(packed, held // 8).otherwise(held))
         named = json_lines(lines().where(named_as_lines()))
-        rows = named.unionByName(json_whole(whole().where(~named_as_lines() & ~big)))
-        # The listing has no big file in most cases: this reads nothing then, else one row.
+        rows = named.unionByName(json_whole(whole().where(~named_as_lines() & ~big & ~middle)))
+        # The listing has none of them in most cases: this reads nothing then, else one row.
+        some_lines = lines().where(middle).withColumn("split", F.col("_metadata.file_block_start"))
+        if not some_lines.select("key").isEmpty():
+            rows = rows.unionByName(json_by_line(some_lines)).unionByName(json_whole(whole().where(middle), with_lines=False))
+        some_lines = lines().where(big).withColumn("split", F.col("_metadata.file_block_start"))
         if not some_lines.select("key").isEmpty():
             rows = rows.unionByName(json_big(some_lines))
     return _typed(rows, schema, keep_key)

@@ -347,3 +347,25 @@ def test_a_line_longer_than_a_value(spark, tmp_path, monkeypatch):
 def test_arrays_are_staged_from_partitions_without_rows(spark):
     root = staged_arrays(spark, spark.range(2, numPartitions=4), "few")
     assert documents(scan_json(spark, root)) == as_counter([{"id": 0}, {"id": 1}])
+
+
+@pytest.mark.parametrize("packed", [False, True])
+def test_files_that_are_looked_into_give_the_same_rows(spark, tmp_path, packed):
+    bodies = [body for body, _ in LAYOUTS_OF_ANY_SIZE.values()] + ["﻿ \r\n\x0b\n{\"i\":1}\r\n\r\nbad\n", "\n  \n", "﻿\n\x0b\n﻿\n{}\n", "[1,2]\r[3]\r", json.dumps(odd_array(9), indent=1)]
+    for k, body in enumerate(bodies):
+        with (gzip.open(tmp_path / f"{k}.json.gz", "wb") if packed else open(tmp_path / f"{k}.json", "wb")) as f:
+            f.write(body.encode())
+
+    def rows(**options):
+        return Counter(map(tuple, scan_json(spark, str(tmp_path), **options).select("key", F.to_json("doc")).collect()))
+
+    held = rows()
+    assert rows(looked_into=1) == held
+    assert len({key for key, _ in held}) > 5
+
+
+def test_lines_of_files_that_are_looked_into_are_split(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"i":1}\n' * 2000)
+    with setting(spark, "spark.sql.files.maxPartitionBytes", "1000"), setting(spark, "spark.sql.files.openCostInBytes", "1000"):
+        found = scan_json(spark, str(tmp_path), looked_into=1000).groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in found) == 2000 and max(r["count"] for r in found) < 200
