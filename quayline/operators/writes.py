@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from quayline.session import setting
 
+OPEN_FILES = 4
+
 
 def write_partitioned(
     df: DataFrame, root: str, fmt: str, targets: Sequence[str], folders: Sequence[str] | None = None, replace_all: bool = False, **options
@@ -22,6 +24,10 @@ def write_partitioned(
     is switched on, because a stream turns it off for its batches and Spark then
     ignores the rebalancing: each task would write a file for each target.
 
+    A task keeps the files of its first ``OPEN_FILES`` targets open together, so the rows of
+    a few big targets go straight to their files instead of being sorted by target, which
+    held what the task read; only tasks with more targets sort, from there on.
+
     Folders that get rows are replaced, all others stay (``replace_all`` drops
     them too).
     """
@@ -29,6 +35,7 @@ def write_partitioned(
     with (
         setting(spark, "spark.sql.adaptive.enabled", "true"),
         setting(spark, "spark.sql.adaptive.coalescePartitions.enabled", "false"),
+        setting(spark, "spark.sql.maxConcurrentOutputFileWriters", str(OPEN_FILES)),
     ):
         # The hint is dropped right here unless adaptive execution is on.
         rows = df.hint("rebalance", *[F.col(c) for c in targets])

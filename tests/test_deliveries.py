@@ -148,3 +148,33 @@ def test_bodies_that_close_their_wrapper_are_malformed(spark):
     bodies = ['{"requestId":"a","records":[]}} x', '{"requestId":"a"},"r":{"requestId":"b"}', '{"requestId":"a"}],[2']
     assert answers(spark, [{"body": b} for b in bodies]) == [(400, "invalid JSON body")] * 3
     assert answers(spark, [{"body": "null"}, {"body": '{"requestId":"a","records":[]}'}]) == [(200, None)] * 2
+
+
+def test_a_body_is_parsed_as_a_document_once(spark):
+    from quayline.sources.events import delivery_requests
+
+    df = spark.createDataFrame([('{"requestId":"a","timestamp":1,"records":[]}',)], "body string")
+    plan = delivery_requests(df, "body")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(ArrayType(VariantType") == 1
+
+
+def test_big_targets_are_written_without_sorting(spark, tmp_path, monkeypatch):
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    from quayline.operators.writes import write_partitioned
+
+    name, save, open_files = "spark.sql.maxConcurrentOutputFileWriters", DataFrameWriter.save, []
+
+    def noted(writer, *args, **options):
+        open_files.append(int(spark.conf.get(name)))
+        return save(writer, *args, **options)
+
+    monkeypatch.setattr(DataFrameWriter, "save", noted)
+    before = spark.conf.get(name)
+    # More targets than are held open, and fewer.
+    for n in (30, 2):
+        rows = spark.range(4000, numPartitions=4).selectExpr("id", f"id % {n} as target")
+        write_partitioned(rows, str(tmp_path / str(n)), "parquet", ["target"])
+        found = spark.read.parquet(str(tmp_path / str(n))).select("id", "target").collect()
+        assert sorted(map(tuple, found)) == [(k, k % n) for k in range(4000)]
+    assert min(open_files) > 1 and spark.conf.get(name) == before
