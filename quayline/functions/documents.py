@@ -11,12 +11,19 @@ from quayline.functions.text import col
 
 STRICT_JSON = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 
+#: What documents begin with.
+BEGINNINGS = '{["-0123456789tfn'
+
 
 def parsed_document(c: Column | str) -> Column:
     """One JSON text -> VARIANT, NULL if the text is not exactly one document."""
     items = as_element(c)
     alone = F.get(F.transform(F.array(items), lambda x: F.when(F.size(x) == 1, F.get(x, F.lit(0)))), F.lit(0))
-    return F.when(fits_object(c), alone)
+    # A failed parse costs more than a good one: words are told by their first sign.
+    first = F.substring(F.ltrim(col(c), F.lit(" \t\r\n")), 1, 1)
+    begins = F.contains(F.lit(BEGINNINGS), first)
+    # Without a bracket that closes, no text gets out of the array.
+    return F.when(begins & (~F.contains(col(c), F.lit("]")) | fits_object(c)), alone)
 
 
 def as_element(c: Column | str) -> Column:

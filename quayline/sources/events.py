@@ -65,10 +65,11 @@ def delivery_requests(df: DataFrame, body_col: str = "body", header_id_col: str
     request = F.col("_parsed.r")
     # Nor may it close that object: it must also be the only element of an array.
     alone = F.coalesce(F.size(as_element(body_col)) == 1, F.lit(False))
-    valid = F.col("_parsed").isNotNull() & F.col("_parsed._malformed").isNull() & alone
+    valid = F.col("_parsed").isNotNull() & F.col("_parsed._malformed").isNull() & F.col("_alone")
     data = F.transform(F.when(valid, request.records), lambda r: F.coalesce(r["data"], F.lit("")))
     return computed_once(
-        df.withColumn("_parsed", parsed),
+        # Both parses are columns: within the generator each use would parse again.
+        df.withColumns({"_parsed": parsed, "_alone": alone}),
         {
             "valid_json": valid,
             "request_id": F.when(
@@ -77,7 +78,7 @@ def delivery_requests(df: DataFrame, body_col: str = "body", header_id_col: str
             "sent_at": F.when(valid, request.timestamp),
             "payloads": F.coalesce(base64_texts(data), F.array().cast("array<string>")),
         },
-    ).drop("_parsed")
+    ).drop("_parsed", "_alone")
 
 
 def _struct_fields(ddl: str) -> str:
