@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 
 from quayline.llm import alignment as m
@@ -129,3 +130,22 @@ def test_query(spark, libraries):
     sf = "/root/testdata/sf0.001"
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert values(m.op12_alignment(spark, sf)) == brute(libraries, docs)[0]
+
+
+def test_shared_ends_are_those_of_the_same_text():
+    rng = np.random.default_rng(5)
+    words = pa.array([b"", b"x", b"yy", b"zzz"], pa.binary())
+
+    def cut(n):
+        ids = []
+        while n or rng.random() < 0.3:
+            ids.append(int(rng.integers(0, min(n, 3) + 1)))
+            n -= ids[-1]
+        return ids
+
+    sizes = [0, 1, 7, 0, 0, 40, 3] * 20
+    sides = [[cut(n) for n in sizes] for _ in range(2)]
+    tables = [m.token_ends(m.id_lists([np.array(x, np.int32).tobytes() for x in side]), words) for side in sides]
+    ends = [list(zip(t["doc"].to_pylist(), t["end"].to_pylist(), strict=True)) for t in tables]
+    for own, other, found in zip(ends, ends[::-1], m.shared_ends(*tables), strict=True):
+        assert found.tolist() == [k for k, end in enumerate(own) if end in set(other)]
