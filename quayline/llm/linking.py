@@ -5,7 +5,8 @@ candidates.  Of the classes of a place the least is its centre.  Every class is
 compared with the least of its centres, then with its other centres if these lie in unlike
 components, then in a few of its places with the nearest class of another component, which
 joins what has no common centre, at last with every class that is still of unlike
-component in one of its places.  A pair is
+component in one of its places.  In the last two steps the centre of a place, which has met
+all others there, is left out, and of places with the same classes one stays.  A pair is
 dropped if the caller's test or sizes and parts of the sets rule it out, and decided on
 the whole sets otherwise, so no link that matters for components is lost.
 
@@ -34,6 +35,8 @@ TURNS = 2
 FEW = 4
 #: Parts of the feature domain by which sets are told apart.
 PARTS = 512
+#: Pairs that a task remembers, so that it gives a pair of many common bands once.
+REMEMBERED = 1 << 18
 
 
 def document_set(data: np.ndarray, size: int) -> np.ndarray:
@@ -149,8 +152,9 @@ def unlike_pairs(
     Within a band the label with most members is left out of one side: only the other
     members are copied to all blocks of the band, so a band that is nearly one component
     costs what it has members.  Blocks are streams in which the copied members come first.
-    Pairs that can't be similar never leave a block.  With ``nearest`` a member gives only
-    the pair that differs least.
+    Pairs that can't be similar never leave a block, and a task gives a pair of many
+    bands once as long as it remembers it.  With ``nearest`` a member gives only the pair
+    that differs least.
     """
     named = members.select("band", "class").join(labels, "class", "left").select("band", "class", F.coalesce("label", "class").alias("label"))
     per_label = named.groupBy("band", "label").agg(F.count("*").alias("n"))
@@ -166,8 +170,10 @@ def unlike_pairs(
     )
 
     def run(batches):
-        here, held, table = None, [], None
+        here, held, table, sent = None, [], None, set()
         for batch in batches:
+            if len(sent) > REMEMBERED:
+                sent.clear()
             bands, blocks, sides, classes, labels_, sizes, parts = (batch.column(k).to_pylist() for k in range(7))
             left, right = [], []
             for k, side in enumerate(sides):
@@ -187,9 +193,12 @@ def unlike_pairs(
                 fits = np.flatnonzero(differ <= most[some])
                 if nearest and len(fits):
                     fits = fits[[np.argmin(differ[fits])]]
-                found = names[some[fits]].tolist()
-                left += [min(x, classes[k]) for x in found]
-                right += [max(x, classes[k]) for x in found]
+                for x in names[some[fits]].tolist():
+                    pair = (x, classes[k]) if x < classes[k] else (classes[k], x)
+                    if pair not in sent:
+                        sent.add(pair)
+                        left.append(pair[0])
+                        right.append(pair[1])
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
         give_back()
 
@@ -236,11 +245,27 @@ def with_low(met: DataFrame) -> DataFrame:
     return met.join(shared.select("band", "low"), "band").select("band", "class", "low")
 
 
+def places_beside_centres(members: DataFrame) -> DataFrame:
+    """band, class: what is left to compare of rows (band, class, low) when every class
+    has met its centres.  Each band's other classes once, if there are two or more; of
+    bands with the same other classes one stays."""
+    rest = members.where("class <> low").select("band", "class").distinct()
+    name = F.xxhash64("class")
+    kinds = rest.groupBy("band").agg(
+        F.count("*").alias("n"), F.min("class").alias("least"),
+        F.sum(name.bitwiseAND(0xFFFFFFFF)).alias("low_sum"), F.sum(F.shiftrightunsigned(name, 32)).alias("high_sum"),
+    )
+    one = kinds.where("n > 1").groupBy("n", "least", "low_sum", "high_sum").agg(F.min("band").alias("band"))
+    return rest.join(one.select("band"), "band", "left_semi")
+
+
 def representatives(docs: DataFrame, names: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """class, n, parts, text of the wanted classes, from rows with a text; ``names`` are
-    (class, name): the hash of one text of each class."""
+    (class, name): the hash of one text of each class.  A text that many tasks have read
+    stands once; texts of one name are told apart by another hash."""
     named = names.join(wanted, "class", "left_semi")
-    return with_parts(first_texts(docs).join(named, "name"), size)
+    texts = first_texts(docs).join(named, "name").withColumn("other", F.hash("text"))
+    return with_parts(texts.dropDuplicates(["name", "class", "other"]), size)
 
 
 def linked_components(
@@ -258,15 +283,16 @@ def linked_components(
     second = steps.write(likely(of_unlike_labels(stars, labels)), "second")
     links = links.union(verify(second, "links-2"))
     labels = components(links)
+    places = steps.write(places_beside_centres(members), "places")
     for turn in range(TURNS):
-        near = unlike_pairs(few_bands(members, turn), labels, texts, percent, tasks, nearest=True)
+        near = unlike_pairs(few_bands(places, turn), labels, texts, percent, tasks, nearest=True)
         links = links.union(verify(steps.write(near, f"near-{turn}"), f"links-near-{turn}"))
         labels = components(links)
     tried = stars.select(F.col("b").alias("a"), F.col("a").alias("b"))  # a centre is less than its members
-    third = steps.write(unlike_pairs(members, labels, texts, percent, tasks).join(tried, ["a", "b"], "left_anti"), "third")
+    third = steps.write(unlike_pairs(places, labels, texts, percent, tasks).join(tried, ["a", "b"], "left_anti"), "third")
     steps.drop("first", "second")
     more = verify(third, "links-3")
     if more.limit(1).count():
         labels = components(links.union(more))
-    steps.drop("third")
+    steps.drop("third", "places")
     return labels

@@ -28,6 +28,37 @@ def test_unlike_pairs_are_all_that_can_be_similar(spark, monkeypatch):
     assert linked and linked <= got
 
 
+def test_places_keep_every_pair_beside_centres(spark):
+    rng = np.random.default_rng(4)
+    bands = {k: set(rng.choice(40, int(rng.integers(2, 6)), replace=False).tolist()) for k in range(300)}
+    bands |= {300 + k: bands[k % 20] for k in range(200)}
+    rows = [(k, c, min(v)) for k, v in bands.items() for c in sorted(v)] + [(0, c, min(bands[0])) for c in bands[0]] * 3
+    got = m.places_beside_centres(spark.createDataFrame(rows, "band long, class long, low long")).collect()
+    places = {}
+    for r in got:
+        places.setdefault(r.band, set()).add(r["class"])
+    assert len(got) == sum(len(v) for v in places.values())  # repeated rows stand once
+    want = {frozenset(v - {min(v)}) for v in bands.values() if len(v) > 2}
+    assert len(places) == len(want) and {frozenset(v) for v in places.values()} == want
+
+
+def test_a_pair_of_many_bands_leaves_a_task_once(spark, monkeypatch):
+    sets = [shingles(t, 3) for _, t in corpus(9, 25, 80)]
+    members = spark.createDataFrame([(band, k) for band in range(30) for k in range(len(sets))], "band long, class long")
+    labels = spark.createDataFrame([], "class long, label long")
+    whole = {(r.a, r.b) for r in m.unlike_pairs(members, labels, table(spark, sets), 80, 1).collect()}
+    monkeypatch.setattr(type(members), "distinct", lambda self: self)
+    rows = m.unlike_pairs(members, labels, table(spark, sets), 80, 1).collect()
+    assert whole and len(rows) == len(whole)
+
+
+def test_a_text_of_many_tasks_stands_once(spark):
+    docs = spark.createDataFrame([(k, "a b c d" if k % 2 else f"e f {k}") for k in range(64)], "id long, text string").repartition(8)
+    names = docs.select(m.F.pmod("id", m.F.lit(2)).alias("class"), m.F.xxhash64("text").alias("name")).where("class = 1 or id = 0").distinct()
+    texts = m.representatives(docs.select("id", "text"), names, names.select("class"), 3).collect()
+    assert sorted((r["class"], r.n, r.text) for r in texts) == [(0, 1, "e f 0"), (1, 2, "a b c d")]
+
+
 def test_possible_pairs_lose_no_similar_pair(spark):
     sets = [shingles(t, 3) for _, t in corpus(3, 20, 80)]
     pairs = [(a, b) for b in range(len(sets)) for a in range(b)]
