@@ -74,3 +74,36 @@ def test_query_equals_library(spark):
     sf = "/root/testdata/sf0.001"
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert sorted(map(tuple, t.op3_token_files(spark, sf).collect())) == expected(docs, WORD, [2])
+
+
+@pytest.mark.parametrize("hashes", ["two", "unlike words of one name"])
+def test_words_are_looked_up_together(monkeypatch, hashes):
+    """Texts of many slabs with a small memory get the library's ids, and a word that is
+    remembered isn't given to the library again."""
+    monkeypatch.setattr(t, "SLAB", 64)
+    monkeypatch.setattr(t, "HASHED", 16)
+    if hashes != "two":
+        two = t.two_hashes
+        monkeypatch.setattr(t, "two_hashes", lambda *args: (two(*args)[0] % t.U(3), two(*args)[1]))
+    texts = [r[1] for r in ROWS] + ["x" * 300 + " a\u0301 \u0301b of.\nOF \r\x0b of\u00a0of", "c\ud7ff\U0001fae9 <|ENDOFTEXT|>", " ", "\u03a3\u03a3 \u0130<|endoftext|>y"]
+    library, encoder = Tokenizer.from_file(WORD), t.LibraryEncoder(t.read_spec(WORD))
+    want = [library.encode(x or "", add_special_tokens=False).ids for x in texts]
+    column = t.pa.array(["before", *texts, "after"])[1:-1]
+    for most in (1_000_000, 3):
+        monkeypatch.setattr(t, "MOST_KNOWN", most)
+        for _ in range(2):
+            ids, counts = encoder.encode_column(column)
+            ends = counts.cumsum().tolist()
+            assert [ids[b - n : b].tolist() for b, n in zip(ends, counts.tolist(), strict=True)] == want
+            if most == 3 or hashes != "two":
+                continue
+            monkeypatch.setattr(encoder, "_encode_text", None)
+            many = t.pa.array(["the quick brown fox's d\x1cog word é ß Σ 你好"])
+            encoder.encode_column(many)
+            given = []
+            monkeypatch.setattr(encoder, "_encode_new", lambda words: given.extend(words) or [])
+            encoder.encode_column(many)
+            assert not given
+            monkeypatch.undo()
+            monkeypatch.setattr(t, "SLAB", 64)
+            monkeypatch.setattr(t, "HASHED", 16)
