@@ -81,3 +81,32 @@ def test_components_of_long_chains(spark):
     links = [(k, k + 1) for k in range(60)] + [(100, 102), (102, 101)] + [(200, k) for k in range(201, 230)]
     got = {r["class"]: r.label for r in m.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {k: 0 for k in range(61)} | {k: 100 for k in (100, 101, 102)} | {k: 200 for k in range(200, 230)}
+
+
+@pytest.mark.parametrize("percent", [60, 90])
+def test_marks_differ_in_no_more_than_parts(percent):
+    rng = np.random.default_rng(percent)
+    for n in (3, 50, 2000):
+        sets = [mix(rng.integers(0, 1 << 62, n).astype(U)) for _ in range(20)]
+        rows = [np.frombuffer(m.set_parts(s), np.uint8) for one in sets for s in (one, one[: max(1, n * percent // 100)])]
+        parts, marks = np.array(rows), m.set_marks(np.array(rows))
+        for k in range(40):
+            most, got = (parts != parts[k]).sum(axis=1), m.marks_differ(marks, marks[k])
+            two = np.array([(parts & 3) != (parts[k] & 3)])[0].sum(axis=1)
+            assert (got <= most).all() and (got == two).all() and got[k] == 0
+
+
+def test_what_meets_in_a_place_is_small(spark, monkeypatch):
+    """Rows that are copied to every block of a place carry a quarter of the parts."""
+    sets = [shingles(t, 3) for _, t in corpus(9, 25, 80)]
+    members = spark.createDataFrame([(0, k) for k in range(len(sets))], "band long, class long")
+    labels, held, widths = spark.createDataFrame([], "class long, label long"), table(spark, sets), []
+    met = type(members).sortWithinPartitions
+
+    def widest(self, *keys):
+        kind = [f.name for f in self.schema if f.dataType.simpleString() == "binary"][0]
+        widths.append(self.agg(m.F.max(m.F.length(kind))).collect()[0][0])
+        return met(self, *keys)
+
+    monkeypatch.setattr(type(members), "sortWithinPartitions", widest)
+    assert m.unlike_pairs(members, labels, held, 80, 2).count() and widths == [m.PARTS // 4]
