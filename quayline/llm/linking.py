@@ -64,16 +64,27 @@ def first_texts(docs: DataFrame) -> DataFrame:
 
 def set_parts(elements: np.ndarray) -> bytes:
     """One byte for each of PARTS parts of the feature domain, from the elements there:
-    every element that only one of two sets has changes one of them at most."""
+    every element that only one of two sets has changes one of them at most.  The lowest
+    bit is the parity of their number, so a part that differs in others only hides two."""
     place = mix(elements + U(0x2545F4914F6CDD1D))
+    part = (place % U(PARTS)).astype(np.int64)
     sums = np.zeros(PARTS, U)
-    np.add.at(sums, (place % U(PARTS)).astype(np.int64), place >> U(16))
-    return (mix(sums) & U(0xFF)).astype(np.uint8).tobytes()
+    np.add.at(sums, part, place >> U(16))
+    odd = np.bincount(part, minlength=PARTS).astype(U) & U(1)
+    return (mix(sums) << U(1) & U(0xFE) | odd).astype(np.uint8).tobytes()
+
+
+def parts_apart(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """How many elements at least only one of two sets has, by the parts in their rows:
+    one for each part of unlike parity, two for each other part that differs."""
+    unlike = one ^ two
+    return np.where(unlike & 1, 1, np.where(unlike, 2, 0)).sum(axis=1)
 
 
 def set_marks(parts: np.ndarray) -> np.ndarray:
-    """Two bits of each part of each row, as 64-bit numbers: no more of them differ
-    between two sets than parts do, and of four parts that differ three on average."""
+    """Two bits of each part of each row, its parity and another, as 64-bit numbers: no
+    more of them differ between two sets than parts do, and a part that differs by one
+    element always does."""
     two = (parts & 3).reshape(len(parts), PARTS // 4, 4) << np.array([0, 2, 4, 6], np.uint8)
     return np.bitwise_or.reduce(two, axis=2).astype(np.uint8).view("<u8")
 
@@ -84,6 +95,13 @@ def marks_differ(one: np.ndarray, two: np.ndarray) -> np.ndarray:
     return np.bitwise_count((unlike | unlike >> U(1)) & U(0x5555555555555555)).sum(axis=1, dtype=np.int64)
 
 
+def marks_apart(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """As ``parts_apart``, by the marks of each row of ``one`` and those of ``two``."""
+    unlike = one ^ two
+    even = unlike >> U(1) & ~unlike & U(0x5555555555555555)
+    return marks_differ(one, two) + np.bitwise_count(even).sum(axis=1, dtype=np.int64)
+
+
 def with_marks(texts: DataFrame) -> DataFrame:
     """class, n, marks: a quarter of the parts' bytes, for rows that are copied to many places."""
 
@@ -121,7 +139,7 @@ def possible(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
                 na, nb = (batch.column(k).to_numpy().astype(np.int64) for k in (2, 3))
                 one, two = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in (4, 5))
                 most = (100 - percent) * (na + nb) // (100 + percent)
-                yield batch.select([0, 1]).filter(pa.array(((one != two).sum(axis=1) <= most) & (np.abs(na - nb) <= most)))
+                yield batch.select([0, 1]).filter(pa.array((parts_apart(one, two) <= most) & (np.abs(na - nb) <= most)))
 
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "pa", "pb")
     return joined.mapInArrow(run, "a long, b long")
@@ -215,7 +233,7 @@ def unlike_pairs(
                     table = np.frombuffer(b"".join([h[3] for h in held]), "<u8").reshape(len(held), -1)
                 most = (100 - percent) * (counts + sizes[k]) // (100 + percent)
                 some = np.flatnonzero((kinds != labels_[k]) & (np.abs(counts - sizes[k]) <= most))
-                differ = marks_differ(table[some], np.frombuffer(marks[k], "<u8"))
+                differ = marks_apart(table[some], np.frombuffer(marks[k], "<u8"))
                 fits = np.flatnonzero(differ <= most[some])
                 if nearest and len(fits):
                     fits = fits[[np.argmin(differ[fits])]]

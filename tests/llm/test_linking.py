@@ -96,6 +96,35 @@ def test_marks_differ_in_no_more_than_parts(percent):
             assert (got <= most).all() and (got == two).all() and got[k] == 0
 
 
+@pytest.mark.parametrize("percent", [80, 90])
+def test_unlike_sets_are_told_apart_by_marks_and_parts(percent):
+    """The least number of elements that differ is never too high and seldom far too low."""
+    rng = np.random.default_rng(percent)
+    for n in (20, 150, 400):
+        some = mix(rng.integers(0, 1 << 62, n).astype(U))
+        sets = [np.append(some[d:], mix(rng.integers(0, 1 << 62, d).astype(U))) for d in rng.integers(0, n // 4 + 1, 60)]
+        true = np.array([len(np.setxor1d(some, s)) for s in sets])
+        parts = np.array([np.frombuffer(m.set_parts(s), np.uint8) for s in [some, *sets]])
+        marks = m.set_marks(parts)
+        for got, share in ((m.parts_apart(parts[1:], parts[:1]), 0.97), (m.marks_apart(marks[1:], marks[0]), 0.85)):
+            assert (got <= true).all() and got.sum() >= share * true.sum()
+
+
+def test_near_copies_that_are_not_similar_stay_in_their_blocks(spark, monkeypatch):
+    """Copies of one text that differ from each other by a little more than similar sets
+    may: few pairs of the group leave its blocks, not as many as grow with its square."""
+    rng = np.random.default_rng(6)
+    base, n, members, own = mix(rng.integers(0, 1 << 62, 150).astype(U)), 150, 60, 12
+    sets = [np.append(np.delete(base, rng.choice(n, own, replace=False)), mix(rng.integers(0, 1 << 62, own).astype(U))) for _ in range(members)]
+    apart = [len(np.setxor1d(a, b)) for k, a in enumerate(sets) for b in sets[:k]]
+    assert min(apart) > 2 * n * 20 // 180
+    held = spark.createDataFrame([(k, n, bytearray(m.set_parts(s))) for k, s in enumerate(sets)], "class long, n int, parts binary")
+    where, sent, possible = spark.createDataFrame([(0, k) for k in range(members)], "band long, class long"), [], m.possible
+    monkeypatch.setattr(m, "possible", lambda pairs, *rest: sent.append(pairs.count()) or possible(pairs, *rest))
+    m.unlike_pairs(where, spark.createDataFrame([], "class long, label long"), held, 80, 2).count()
+    assert sent[0] <= members
+
+
 def test_what_meets_in_a_place_is_small(spark, monkeypatch):
     """Rows that are copied to every block of a place carry a quarter of the parts."""
     sets = [shingles(t, 3) for _, t in corpus(9, 25, 80)]
