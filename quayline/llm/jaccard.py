@@ -317,13 +317,18 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "d
             yield pa.RecordBatch.from_arrays([*batch.columns, classes], names=[*batch.schema.names, name])
 
     tagged = docs.mapInArrow(tag, StructType([*docs.schema.fields, StructField(name, LongType())]))
-    kept_id, kept_class = (free_name(n, tagged.columns) for n in ("kept_id", "kept_class"))
-    chosen = chosen.select(F.col("kept.id").alias(kept_id), F.col("kept.class").alias(kept_class))
-    worded = tagged.where(F.col(f"`{name}`").isNotNull())
-    same = F.col(f"`{id_col}`").eqNullSafe(F.col(kept_id)) & (F.col(f"`{name}`") == F.col(kept_class))
-    # Rows of one id and class lie together after the join: one of them stays.
-    kept = worded.join(chosen, same, "left_semi").dropDuplicates([id_col, name])
-    return kept.unionByName(tagged.where(F.col(f"`{name}`").isNull())).drop(name)
+    key, kept_key, kept_id, kept_class = (free_name(n, tagged.columns) for n in ("key", "kept_key", "kept_id", "kept_class"))
+    chosen = chosen.select(
+        F.xxhash64("kept.id", "kept.class").alias(kept_key), F.col("kept.id").alias(kept_id), F.col("kept.class").alias(kept_class)
+    )
+    own_id, own_class = F.col(f"`{id_col}`"), F.col(f"`{name}`")
+    worded = tagged.where(own_class.isNotNull()).withColumn(key, F.xxhash64(own_id, own_class))
+    # The hash alone is the join's key, the rest a condition that is no equality, so that
+    # rows of one id and class lie together after the join without another shuffle of texts.
+    same_id = F.coalesce(own_id == F.col(kept_id), own_id.isNull() & F.col(kept_id).isNull())
+    same = (F.col(key) == F.col(kept_key)) & same_id & F.coalesce(own_class == F.col(kept_class), F.lit(False))
+    kept = worded.join(chosen, same, "left_semi").dropDuplicates([key, id_col, name]).drop(key)
+    return kept.unionByName(tagged.where(own_class.isNull())).drop(name)
 
 
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,10 +8,13 @@ joins what has no common centre, at last with every class that is still of unlik
 component in one of its places.  In the last two steps the centre of a place, which has met
 all others there, is left out, and of places with the same classes one stays.  A pair is
 dropped if the caller's test or sizes and parts of the sets rule it out, and decided on
-the whole sets otherwise, so no link that matters for components is lost.
+the whole sets otherwise, so no link that matters for components is lost.  Large sets,
+which so few parts can't tell apart, have parts in proportion to their size as well, which
+meet for the pairs that are left before any text moves.
 
 Texts of a hub and its spokes meet as sorted streams, a hub's spokes dealt over many
-tasks; a task holds one hub's set at a time.
+tasks; a task holds one hub's set at a time.  Only texts that may be wanted are shuffled: a
+bitmap of fixed size says of most others that they are not.
 """
 
 from __future__ import annotations
@@ -37,6 +40,8 @@ FEW = 4
 PARTS = 512
 #: Pairs that a task remembers, so that it gives a pair of many common bands once.
 REMEMBERED = 1 << 18
+#: Bits of the bitmap that texts are looked up in before they are shuffled: half a megabyte.
+BITS = 1 << 22
 
 
 def document_set(data: np.ndarray, size: int) -> np.ndarray:
@@ -49,14 +54,43 @@ def set_class(elements: np.ndarray) -> int:
     return int(mix(np.array([mix(elements).sum(dtype=U) + U(len(elements))], U)).view(np.int64)[0])
 
 
-def first_texts(docs: DataFrame) -> DataFrame:
-    """name, text of every unlike text of a task, once, however often it is repeated."""
+def bitmap(hashes: DataFrame) -> np.ndarray:
+    """BITS bits, one of them set for each value of the only column, 64-bit hashes; what
+    reaches the driver has one size, however many values there are."""
+    place = F.col(hashes.columns[0]).bitwiseAND(BITS - 1) + 1
+    groups = hashes.select(place.alias("place")).groupBy(F.bitmap_bucket_number("place").alias("k"))
+    out = np.zeros((-(-BITS // 32768), 4096), np.uint8)
+    for r in groups.agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits")).collect():
+        out[r.k - 1] = np.frombuffer(r.bits, np.uint8)
+    return out.reshape(-1)
+
+
+def in_bitmap(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether each hash may be among those of ``bits``; True for all that are."""
+    place = hashes & (BITS - 1)
+    return bits[place >> 3] >> (place & 7).astype(np.uint8) & 1 > 0
+
+
+def among(rows: DataFrame, bits: np.ndarray) -> DataFrame:
+    """Rows whose first column, a hash, may be among those of ``bits``."""
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(in_bitmap(bits, batch.column(0).to_numpy())))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def first_texts(docs: DataFrame, bits: np.ndarray) -> DataFrame:
+    """name, text of every unlike text of a task whose name may be among those of
+    ``bits``, once, however often it is repeated."""
 
     def run(batches):
         seen: set[int] = set()
         for batch in batches:
-            names = batch.column(0).to_pylist()
-            new = [not (n in seen or seen.add(n)) for n in names]
+            names = batch.column(0)
+            wanted = in_bitmap(bits, names.to_numpy()).tolist()
+            new = [w and not (n in seen or seen.add(n)) for n, w in zip(names.to_pylist(), wanted, strict=True)]
             yield batch.filter(pa.array(new, pa.bool_()))
 
     return docs.select(F.xxhash64("text").alias("name"), "text").mapInArrow(run, "name long, text string")
@@ -81,6 +115,21 @@ def parts_apart(one: np.ndarray, two: np.ndarray) -> np.ndarray:
     return np.where(unlike & 1, 1, np.where(unlike, 2, 0)).sum(axis=1)
 
 
+def fine_parts(elements: np.ndarray) -> np.ndarray:
+    """One byte for each of as many parts as half the set's elements or more, a power of
+    two: the exclusive or of odd numbers, so the lowest bit is the parity again, and parts
+    of a larger power become those of a smaller one by ``folded``."""
+    parts = max(PARTS, 1 << (len(elements) - 1).bit_length() - 1)
+    place = mix(elements + U(0x6A09E667F3BCC909))
+    out = np.zeros(parts, np.uint8)
+    np.bitwise_xor.at(out, (place & U(parts - 1)).astype(np.int64), (place >> U(48) | U(1)).astype(np.uint8))
+    return out
+
+
+def folded(parts: np.ndarray, size: int) -> np.ndarray:
+    return np.bitwise_xor.reduce(parts.reshape(-1, size), axis=0)
+
+
 def set_marks(parts: np.ndarray) -> np.ndarray:
     """Two bits of each part of each row, its parity and another, as 64-bit numbers: no
     more of them differ between two sets than parts do, and a part that differs by one
@@ -145,6 +194,49 @@ def possible(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long")
 
 
+def classes_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("class"))
+
+
+def finely_possible(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Of pairs (a, b) of classes those that sizes and, for sets of more than 2 * PARTS
+    elements, parts in proportion to them let be similar."""
+
+    def make():
+        def one(batch: pa.RecordBatch) -> dict:
+            classes, counts, fine = [], [], []
+            for name, n, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), text_bytes(batch.column(2)), strict=True):
+                elements = document_set(data, size) if n > 2 * PARTS else None
+                if elements is not None and set_class(elements) != name:
+                    continue  # another text of the same name
+                classes.append(name)
+                counts.append(n)
+                fine.append(None if elements is None else fine_parts(elements).tobytes())
+            return {"class": classes, "n": counts, "fine": fine}
+
+        return one
+
+    wanted = among(texts.select("class", "n", "text"), bitmap(classes_of(pairs)))
+    fine = map_batches(wanted, ["class", "n", "text"], "class long, n int, fine binary", make)
+    left, right = (fine.select(F.col("class").alias(x), F.col("n").alias(f"n{x}"), F.col("fine").alias(f"f{x}")) for x in "ab")
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for na, nb, *both in zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True):
+                most = (100 - percent) * (na + nb) // (100 + percent)
+                fits = abs(na - nb) <= most
+                if fits and None not in both:
+                    one, two = (np.frombuffer(x, np.uint8) for x in both)
+                    parts = min(len(one), len(two))
+                    fits = parts_apart(folded(one, parts)[None], folded(two, parts)[None])[0] <= most
+                keep.append(bool(fits))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "fa", "fb")
+    return joined.mapInArrow(run, "a long, b long").distinct()
+
+
 def similar(pairs: DataFrame, texts: DataFrame, size: int, percent: int, tasks: int) -> DataFrame:
     """Of pairs (a, b) of classes those whose whole sets are similar.
 
@@ -152,11 +244,10 @@ def similar(pairs: DataFrame, texts: DataFrame, size: int, percent: int, tasks:
     about SPOKES each, and each place gets the hub's text before those of its spokes.
     """
     places = pairs.groupBy("b").agg(F.ceil(F.count("*") / SPOKES).cast("long").alias("places"))
-    dealt = pairs.join(places, "b").select("a", "b", "places", F.pmod(F.xxhash64("a"), "places").alias("place"))
-    spokes = dealt.join(texts, dealt.a == texts["class"]).select("b", "place", F.lit(1).alias("side"), "class", "text")
-    hubs = places.join(texts, places.b == texts["class"]).select(
-        "b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("places") - 1)).alias("place"), F.lit(0).alias("side"), "class", "text"
-    )
+    spokes = pairs.join(places, "b").select("b", F.pmod(F.xxhash64("a"), "places").alias("place"), F.lit(1).alias("side"), F.col("a").alias("class"))
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("places") - 1))
+    hubs = places.select("b", each.alias("place"), F.lit(0).alias("side"), F.col("b").alias("class"))
+    wanted = among(texts.select("class", "text"), bitmap(classes_of(pairs)))
 
     def run(batches):
         hub, held = None, None
@@ -177,7 +268,8 @@ def similar(pairs: DataFrame, texts: DataFrame, size: int, percent: int, tasks:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
         give_back()
 
-    met = spokes.unionByName(hubs).repartition(tasks, "b", "place").sortWithinPartitions("b", "place", "side")
+    texted = spokes.unionByName(hubs).join(wanted, "class").select("b", "place", "side", "class", "text")
+    met = texted.repartition(tasks, "b", "place").sortWithinPartitions("b", "place", "side")
     return met.mapInArrow(run, "a long, b long")
 
 
@@ -309,7 +401,7 @@ def representatives(docs: DataFrame, names: DataFrame, wanted: DataFrame, size:
     (class, name): the hash of one text of each class.  A text that many tasks have read
     stands once; texts of one name are told apart by another hash."""
     named = names.join(wanted, "class", "left_semi")
-    texts = first_texts(docs).join(named, "name").withColumn("other", F.hash("text"))
+    texts = first_texts(docs, bitmap(named.select("name"))).join(named, "name").withColumn("other", F.hash("text"))
     return with_parts(texts.dropDuplicates(["name", "class", "other"]), size)
 
 
@@ -321,7 +413,13 @@ def linked_components(
     ``members`` are (band, class, low), ``stars`` their distinct pairs (a, b) of a class
     and a centre; ``likely`` drops pairs of these that can't be similar.
     """
-    verify = lambda pairs, name: steps.write(similar(pairs, texts, size, percent, tasks), name)
+
+    def verify(pairs: DataFrame, name: str) -> DataFrame:
+        close = steps.write(finely_possible(pairs, texts, size, percent), f"{name}-close")
+        links = steps.write(similar(close, texts, size, percent, tasks), name)
+        steps.drop(f"{name}-close")
+        return links
+
     first = steps.write(likely(stars.groupBy("a").agg(F.min("b").alias("b"))), "first")
     links = verify(first, "links-1")
     labels = components(links)

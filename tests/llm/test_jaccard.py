@@ -138,3 +138,19 @@ def test_query(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in j.op7_jaccard(spark, sf).collect())
     assert got == brute(docs, 3, 90)
+
+
+def test_kept_texts_are_shuffled_once(spark):
+    rows = [(None if k % 7 == 0 else k % 50, f"some words of text {k % 9}" if k % 5 else "", "x") for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept_key string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = j.keep_one(docs)
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert "LeftSemi" in plan and "Exchange" not in plan.split("LeftSemi")[0]  # none above the join
+        got = sorted((r.text, r.doc_id) for r in kept.collect() if r.text)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    worded = [(text, i) for i, text, _ in rows if text and i is not None]
+    assert got == sorted((text, min(i for t, i in worded if t == text)) for text in {t for t, _ in worded})
+    assert kept.columns == docs.columns and kept.where("text = ''").count() == 40

@@ -139,3 +139,49 @@ def test_what_meets_in_a_place_is_small(spark, monkeypatch):
 
     monkeypatch.setattr(type(members), "sortWithinPartitions", widest)
     assert m.unlike_pairs(members, labels, held, 80, 2).count() and widths == [m.PARTS // 4]
+
+
+def long_texts(rng, n):
+    """Texts of n words each that share 97, 50 and no % of their places with the first."""
+    base = rng.integers(0, 10**9, n)
+    texts = [base]
+    for share in (0.97, 0.5, 0.0):
+        text, some = base.copy(), rng.permutation(n)[: round((1 - share) * n)]
+        text[some] = rng.integers(10**9, 2 * 10**9, len(some))
+        texts.append(text)
+    return [" ".join(map(str, t)) for t in texts]
+
+
+@pytest.mark.parametrize("n", [300, 1500, 6000])
+def test_large_sets_are_told_apart_before_texts_move(spark, n):
+    texts = long_texts(np.random.default_rng(n), n)
+    sets = [m.document_set(np.frombuffer(t.encode(), np.uint8), 1) for t in texts]
+    names = [m.set_class(s) for s in sets]
+    rows = [(name, len(s), bytearray(m.set_parts(s)), t) for name, s, t in zip(names, sets, texts, strict=True)]
+    held = spark.createDataFrame(rows, "class long, n int, parts binary, text string")
+    pairs = spark.createDataFrame([(names[0], x) for x in names[1:]], "a long, b long")
+    fits = {r.b for r in m.finely_possible(m.possible(pairs, held, 80), held, 1, 80).collect()}
+    assert fits == {names[1]}
+    assert [(r.a, r.b) for r in m.similar(pairs, held, 1, 80, 2).collect()] == [(names[0], names[1])]
+
+
+def test_fine_parts_differ_in_no_more_than_elements():
+    rng = np.random.default_rng(2)
+    for n, d in ((1100, 100), (5000, 1200), (5000, 2600)):
+        some = mix(rng.integers(0, 1 << 62, n).astype(U))
+        other = np.append(some[d:], mix(rng.integers(0, 1 << 62, d // 3).astype(U)))
+        one, two = m.fine_parts(some), m.fine_parts(other)
+        assert all(len(s) / 2 <= len(p) for s, p in ((some, one), (other, two)))
+        parts = min(len(one), len(two))
+        got = m.parts_apart(m.folded(one, parts)[None], m.folded(two, parts)[None])[0]
+        assert 0.5 * (d + d // 3) < got <= d + d // 3
+
+
+def test_only_texts_that_may_be_wanted_are_kept(spark):
+    rng = np.random.default_rng(3)
+    keys = rng.integers(-(1 << 63), (1 << 63) - 1, 3000).tolist()
+    rows = spark.createDataFrame([(k, "x") for k in keys], "class long, text string")
+    bits = m.bitmap(spark.createDataFrame([(k,) for k in keys[:40]], "k long"))
+    got = {r["class"] for r in m.among(rows, bits).collect()}
+    assert set(keys[:40]) <= got and len(got) < 60 and bits.nbytes * 8 == m.BITS
+    assert m.among(rows, m.bitmap(rows.limit(0).select("class"))).count() == 0
