@@ -199,3 +199,88 @@ def test_query(spark):
     perplexity = lambda name: 10 ** (-sum(r[name] for r in held) / sum(r.n_tokens for r in held))
     print("perplexity", perplexity("score"), "base", perplexity("base_score"))
     assert perplexity("score") < 0.8 * perplexity("base_score")
+
+
+def some_pairs(counts, contexts, names):
+    """A bucket of one word: a training count and a context of each pair."""
+    packed = (m.pack(np.zeros(1, U)), m.pack(np.array([len(counts)], np.int32)), m.pack(np.array(contexts, np.int32)))
+    return m.Pairs((0, *packed, m.pack(np.array(names, U), m.CONTEXT_BYTES), m.pack(np.array(counts, np.int32))))
+
+
+def test_restaurants_of_words_have_the_exact_posterior():
+    """One word after three others, two of one class, beside fixed tables of other words:
+    means over the sweeps against enumerating all seatings with their weights."""
+    counts, names = [4, 3, 2], [1 << 12 | 5, 2 << 12 | 5, 3 << 12 | 9]
+    b = some_pairs(counts, [0, 1, 2], sorted(names))
+    t, start = np.array([2.0, 1.0]), np.array([2.0, 2.0, 1.0])
+    tables, customers = start + [3, 8, 0], np.zeros(m.CONTEXTS)
+    customers[b.group_class] = [30, 12]
+    customers[b.group_class] += np.bincount(b.group, start)
+    assert b.group.tolist() == [0, 0, 1] and b.group_class.tolist() == [5, 9]
+    d, weights = m.WORD_DISCOUNT, {}
+    for k in product(*[range(1, c + 1) for c in counts]):
+        w = math.prod(set_weight(c, x, d) * math.prod(m.WORD_STRENGTH + d * (o + j) for j in range(x)) for c, x, o in zip(counts, k, [3, 8, 0], strict=True))
+        for n, tt, o in ((k[0] + k[1], 2, 30), (k[2], 1, 12)):
+            w *= set_weight(n, tt, m.DISCOUNT[0]) / math.prod(m.STRENGTH[0] + o + j for j in range(n))
+        weights[k] = w
+    total = sum(weights.values())
+    want = np.sum([np.array(k) * w / total for k, w in weights.items()], axis=0)
+    seen = list(np.copy(k) for k in m.word_sweeps(b, start, t, tables, customers, 6000, np.random.default_rng(3)))
+    assert np.abs(np.mean(seen[100:], axis=0) - want).max() < 0.06
+    assert all(x[0] + x[1] >= 2 for x in seen)
+
+
+def test_weights_near_large_classes():
+    n, t = np.array([300.0, 5000.0, 90000.0, 300.0]), np.array([40.0, 700.0, 80.0, 299.0])
+    near = m.Served(m.DISCOUNT[0], n, t)
+    for step in (-30, -1, 0, 7, 32):
+        group, at = np.arange(4), n + step
+        got, want = near(group, at, np.zeros(4, bool)), m.log_stirling(m.DISCOUNT[0], at, t)
+        assert (np.isneginf(got) == np.isneginf(want)).all()
+        fits = ~np.isneginf(want)
+        assert got[fits] == pytest.approx(want[fits], abs=0.05)
+
+
+def test_a_word_is_scored_after_the_very_word_before_it(spark):
+    """Words that end alike, so of one class, are followed by words of their own."""
+    rows = [(k, f"x{k}ab left" if k % 2 else f"y{k}ab right", False) for k in range(6)] * 20
+    rows += [(100, "x1ab left", True), (101, "x1ab right", True), (102, "y2ab right", True), (103, "y2ab left", True)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, out boolean")
+    got = {r.doc_id: r.score for r in m.language_model_scores(df, F.col("out")).collect()}
+    assert got[100] - got[101] > 1 and got[102] - got[103] > 1
+
+
+@pytest.mark.parametrize("buckets", [1, 7])
+def test_probabilities_after_a_word_sum_to_one(spark, monkeypatch, buckets):
+    """Over all known words and the unknown one, in texts that hold each pair once."""
+    monkeypatch.setattr(m, "bucket_count", lambda *_: buckets)
+    words = [f"w{k}" for k in range(12)]
+    rng = np.random.default_rng(5)
+    train = [(k, " ".join(rng.choice(words, 9)), False) for k in range(30)]
+    pairs = [(1000 + k, f"w3 w3 {w}", True) for k, w in enumerate([*words, "new", "", "w3"])]
+    df = spark.createDataFrame(train + pairs, "doc_id long, text string, out boolean")
+    found = []
+    monkeypatch.setattr(m, "block_scores", lambda blocks, answers, shape, totals: found.append((shape, blocks, answers)) or blocks)
+    m.language_model_scores(df.coalesce(1), F.col("out"))
+    shape, blocks, answers = found[0]
+    (block,) = blocks.collect()
+    known = m.unpack(block.words, U)
+    _, word, context, _ = m.block_pairs(shape, known, m.unpack(block.stream, np.int32), m.unpack(block.sizes, np.int64))
+    logs = np.concatenate([m.unpack(r.a, np.float32) for r in sorted(answers.collect(), key=lambda r: r.sender)])
+    of = np.searchsorted(known, m.tokens(np.frombuffer(b"w3", np.uint8))[0])
+    after = context == of
+    assert len(np.unique(word[after])) == after.sum() == 14 and abs((10.0 ** logs[after]).sum() - 1) < 0.05
+
+
+def test_buckets_agree_with_one(spark, monkeypatch):
+    """Counts don't depend on the number of buckets, nor, but for chance, do scores."""
+    rng = np.random.default_rng(8)
+    rows = [(k, " ".join(rng.choice([f"{c}{e}" for c in "pqrstuv" for e in ("ab", "cd", "e")], 60)), k % 5 == 0) for k in range(60)]
+    df, found = spark.createDataFrame(rows, "doc_id long, text string, out boolean"), []
+    for buckets in (1, 9):
+        monkeypatch.setattr(m, "bucket_count", lambda *_, n=buckets: n)
+        found.append({r.doc_id: r for r in m.language_model_scores(df, F.col("out")).collect()})
+    for i, r in found[0].items():
+        other = found[1][i]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (other.n_tokens, other.n_known, other.train_tokens)
+        assert r.score == pytest.approx(other.score, rel=0.02)
